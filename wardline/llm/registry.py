@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import substring_dedup
+from wardline.llm import simhash_dedup, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": substring_dedup.query}
+    return {
+        "op1_substring_dedup": substring_dedup.query,
+        "op5_simhash_dedup": simhash_dedup.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

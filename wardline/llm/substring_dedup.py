@@ -172,9 +172,11 @@ def _splitter(k: int, m: int, hot: np.ndarray, buckets: int):
             for i in np.flatnonzero(same).tolist():
                 a, b = order[i], order[lead[i]]
                 same[i] = raw[begin[a] : end[a]] == raw[begin[b] : end[b]]
+            lead = order[lead]
+            later = same & ((who[order] != who[lead]) | (start[order] != start[lead]))  # a repeated row starts no later
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             for part in np.split(np.arange(len(order)), cuts):
-                sent, known = order[part[~same[part]]], order[part[same[part]]]
+                sent, known = order[part[~same[part]]], order[part[later[part]]]
                 text = b"".join([raw[a:b] for a, b in zip(begin[sent].tolist(), end[sent].tolist(), strict=True)])
                 held.setdefault(int(bucket[order[part[0]]]), []).append((who[sent], start[sent], count[sent], text, np.stack([who[known], start[known], start[known] + count[known]], axis=1)))
                 waiting += len(text)
@@ -242,8 +244,10 @@ def _repeats(k: int):
                     hit[rank[i]] = words in seen
                     seen.add(words)
                     i += 1
-        doc = np.repeat(who[order], windows)[hit]
-        at = concat_ranges(start[order].astype(np.int64), windows)[hit]
+        doc, at = np.repeat(who[order], windows), concat_ranges(start[order].astype(np.int64), windows)
+        a, b = rank[same], rank[lead[same]]
+        hit[a] &= (doc[a] != doc[b]) | (at[a] != at[b])  # a repeated row starts no later
+        doc, at = doc[hit], at[hit]
         new = np.ones(len(doc), dtype=bool)
         new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)
         i = np.flatnonzero(new)
@@ -260,7 +264,7 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW_WORDS, m: int = MINIMISER_W
     """
     hot, _, size = common_groups(docs, m, hot_share)
     buckets = max(1, -(-3 * size // bucket_bytes))
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_splitter(k, m, hot, buckets), "bucket int, packed binary")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(_splitter(k, m, hot, buckets), "bucket int, packed binary")
     return packed.groupBy("bucket").applyInArrow(_repeats(k), "doc_id long, a long, b long")
 
 
@@ -297,11 +301,12 @@ def substring_dedup(docs: DataFrame, k: int = WINDOW_WORDS, with_text: bool = Tr
     SHA-256 (``kept_sha256``) without ``with_text``.
 
     Null text: no words. Texts of fewer than ``k`` words: nothing removed.
-    Repeated rows: the copy of smaller doc_id stays. Empty table: no rows.
-    Other columns are ignored.
+    Copies: the one of smaller doc_id stays. Rows repeated with their doc_id:
+    neither starts earlier, each is treated alike. Rows without doc_id are left
+    out. Empty table: no rows. Other columns are ignored.
     """
     ranges = repeated_ranges(docs, k, **options).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ranges, "doc_id", "left")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").join(ranges, "doc_id", "left")
     return joined.mapInArrow(_cleaner(with_text), "doc_id long, n_words long, n_removed long, " + ("kept string" if with_text else "kept_sha256 string"))
 
 
