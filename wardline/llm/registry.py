@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import simhash_dedup, substring_dedup
+from wardline.llm import chat_format, simhash_dedup, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring_dedup.query,
         "op5_simhash_dedup": simhash_dedup.query,
+        "op9_chat_format": chat_format.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat_format": chat_format.ORACLE_SQL}
