@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat_format, simhash_dedup, substring_dedup
+from wardline.llm import chat_format, simhash_dedup, substring_dedup, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring_dedup.query,
         "op5_simhash_dedup": simhash_dedup.query,
+        "op7_topk_search": topk_search.query,
         "op9_chat_format": chat_format.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": chat_format.ORACLE_SQL}
+    return {
+        "op7_topk_search": topk_search.ORACLE_SQL,
+        "op9_chat_format": chat_format.ORACLE_SQL,
+    }
