@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat_format, embedding_dedup, simhash_dedup, substring_dedup, topk_search
+from wardline.llm import chat_format, embedding_dedup, language_id, quality, simhash_dedup, substring_dedup, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring_dedup.query,
+        "op2_quality_classifier": quality.query,
         "op3_embedding_dedup": embedding_dedup.query,
+        "op4_language_id": language_id.query,
         "op5_simhash_dedup": simhash_dedup.query,
         "op7_topk_search": topk_search.query,
         "op9_chat_format": chat_format.query,
