@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat_format, embedding_dedup, language_id, quality, simhash_dedup, substring_dedup, topk_search
+from wardline.llm import chat_format, embedding_dedup, language_id, packing, quality, simhash_dedup, substring_dedup, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_embedding_dedup": embedding_dedup.query,
         "op4_language_id": language_id.query,
         "op5_simhash_dedup": simhash_dedup.query,
+        "op6_best_fit_packing": packing.query,
         "op7_topk_search": topk_search.query,
         "op9_chat_format": chat_format.query,
     }
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_best_fit_packing": packing.query,
         "op7_topk_search": topk_search.ORACLE_SQL,
         "op9_chat_format": chat_format.ORACLE_SQL,
     }
