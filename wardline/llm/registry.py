@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import bpe_codec, chat_format, embedding_dedup, language_id, packing, quality, simhash_dedup, substring_dedup, topk_search
+from wardline.llm import bpe_codec, chat_format, embedding_dedup, language_id, license_scan, packing, quality, simhash_dedup, substring_dedup, topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_topk_search": topk_search.query,
         "op8_bpe_codec": bpe_codec.query,
         "op9_chat_format": chat_format.query,
+        "op10_license_scan": license_scan.query,
     }
 
 
