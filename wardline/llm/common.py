@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Slices of a batch handed to numpy hold at most about this many bytes of text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2_000_000
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

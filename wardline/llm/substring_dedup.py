@@ -26,15 +26,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import Ranges, U, Words, concat_ranges, mix, slices
+from wardline.llm.common import Ranges, U, Words, checkpointed, concat_ranges, mix, slices
 from wardline.session import table
 
 WINDOW_WORDS = 20
 MINIMISER_WORDS = 3
 HOT_SHARE = 1e-4
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 #: A map task sends what it has gathered when this many bytes of packed strings wait.
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 24 << 20
 _LAST = U(1 << 63)
 
 
@@ -80,7 +80,7 @@ def _hot_counter(m: int, share: float):
             if len(w.starts):
                 total += len(w.starts)
                 held.append(_groups(w, m))
-                if sum(map(len, held)) > 2_000_000:
+                if sum(map(len, held)) > 1_000_000:
                     settle()
         settle()
         out = [(k, n) for k, n in kept.items() if n >= max(3, share * total / 2)]
@@ -96,11 +96,11 @@ def common_groups(docs: DataFrame, m: int = MINIMISER_WORDS, share: float = HOT_
     how windows are dealt out, never which windows count as equal.
     """
     found = docs.select("text").mapInArrow(_hot_counter(m, share), "g long, n long, size long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
-    totals = found.filter("g = -1").withColumnRenamed("n", "all_n").withColumnRenamed("size", "all_size").drop("g")
-    rows = found.join(F.broadcast(totals)).filter((F.col("g") == -1) | (F.col("n") >= F.greatest(F.lit(64.0), F.col("all_n") * F.lit(share)))).select("g", "n", "size").collect()
-    n = next((r.n for r in rows if r.g == -1), 0)
-    size = next((r["size"] for r in rows if r.g == -1), 0)
-    return np.sort(np.array([r.g for r in rows if r.g != -1], dtype=np.uint64)), n, size
+    found = checkpointed(found)
+    whole = found.filter("g = -1").first()
+    n, size = (whole.n, whole["size"]) if whole else (0, 0)
+    rows = found.filter((F.col("g") != -1) & (F.col("n") >= max(64, n * share))).select("g").collect()
+    return np.sort(np.array([r.g for r in rows], dtype=np.uint64)), n, size
 
 
 def _pack(parts: list[tuple]) -> bytes:
