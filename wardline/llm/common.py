@@ -124,3 +124,11 @@ def concat_ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.empty(0, dtype=np.int64)
     heads = np.cumsum(counts) - counts
     return np.arange(total) - np.repeat(heads, counts) + np.repeat(starts, counts)
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, or with underscores before it until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -2,9 +2,10 @@
 
 A word's script (by code point ranges) leaves only the languages seen with
 that script in training; each left gets the log likelihood of the word's byte
-trigrams. Viterbi with a penalty for switching then labels spans of the text,
-and the text's language is the one with most words. A batch of texts runs
-through Viterbi together, one word of each at a time.
+trigrams. Viterbi with a penalty for switching then labels spans of the text.
+Its language is the one it both opens and closes in, others being quoted, or
+else the one with most words. A batch of texts runs through Viterbi together,
+one word of each at a time.
 
 Trained on a bounded sample of documents (``TRAIN_DOCS``); the model is one
 row of ``TABLE`` counts per language. All documents are then read once,
@@ -31,9 +32,11 @@ TABLE = 1 << 14
 SWITCH = 12.0
 #: A word is worth at most this many nats between two languages.
 WORD_NATS = 6.0
+#: The least share of words of the language a text opens and closes in; below, those are a frame around another text.
+HOST_SHARE = 0.1
 UNDETERMINED = "und"
 #: The least share of words in the named language that the pipeline keeps.
-ACCEPT = 0.34
+ACCEPT = 0.05
 
 #: First code points of ranges, and the script of each (fixed values of the Unicode block list).
 SCRIPT_RANGES = [
@@ -144,6 +147,11 @@ class Model:
         doc = np.repeat(np.arange(docs), w.counts)
         votes = np.bincount(doc * n + path, minlength=docs * n).reshape(docs, n)
         best = (votes + self.prior * 1e-6).argmax(axis=1)
+        # A text that opens and closes in one language is in that language and quotes the others.
+        full = np.flatnonzero(w.counts)
+        opens, closes = path[w.first[full]], path[w.first[full + 1] - 1]
+        host = (opens == closes) & (votes[full, opens] >= HOST_SHARE * w.counts[full])
+        best[full] = np.where(host, opens, best[full])
         share = votes[np.arange(docs), best] / np.maximum(w.counts, 1)
         new = np.ones(len(path), dtype=bool)
         new[1:] = (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])
@@ -194,34 +202,32 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Model:
     return Model([lang for lang, _ in got], np.log(counts / counts.sum(axis=0)), allowed, np.log(docs_of / docs_of.sum()))
 
 
-def _labeller(model: Model, spans: bool):
+def _labeller(model: Model, spans: bool, names: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             langs, share, found = model.label(texts)
             cols = [*batch.columns, pa.array(langs, pa.string()), pa.array(share, pa.float64())]
-            names = [*batch.schema.names, "lang_pred", "lang_score"]
             if spans:
                 cols.append(pa.array(found, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))))
-                names.append("lang_spans")
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, *names])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
+def identify(docs: DataFrame, model: Model, spans: bool = True, into: tuple[str, ...] = ("lang_pred", "lang_score", "lang_spans")) -> DataFrame:
     """``docs`` with lang_pred, lang_score (share of words in that language) and lang_spans; one narrow pass.
 
-    Spans count words of letters from 0. Null and empty texts and texts
-    without a letter: ``und`` and score 0. A script that no language was
-    learned with tells nothing: the commonest language. Very long texts are
-    read whole. Repeated rows stay and are labelled alike. Columns already
-    called as the new ones are replaced. Empty table: no rows.
+    ``into`` renames them. Spans count words of letters from 0. Null and empty
+    texts and texts without a letter: ``und`` and score 0. A script that no
+    language was learned with tells nothing: the commonest language. Very long
+    texts are read whole. Repeated rows stay and are labelled alike. Columns
+    already called as the new ones are replaced. Empty table: no rows.
     """
-    new = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
-    if spans:
-        new.append(T.StructField("lang_spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))))
-    docs = docs.drop("lang_pred", "lang_score", "lang_spans")
-    return docs.mapInArrow(_labeller(model, spans), T.StructType([*docs.schema.fields, *new]))
+    span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    into = into[: 3 if spans else 2]
+    new = [T.StructField(n, t) for n, t in zip(into, (T.StringType(), T.DoubleType(), T.ArrayType(span)), strict=False)]
+    docs = docs.drop(*into)
+    return docs.mapInArrow(_labeller(model, spans, into), T.StructType([*docs.schema.fields, *new]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,23 +174,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return fit(x, np.array([r.quality for r in got], dtype=float))
 
 
-def _scorer(model: Model, text: str):
+def _scorer(model: Model, text: str, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, text):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(statistics(texts)))], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(statistics(texts)))], [*batch.schema.names, into])
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with quality_score, a double from 0 to 1; one narrow pass.
+def score(docs: DataFrame, model: Model, into: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``into``, a double from 0 to 1; one narrow pass.
 
     Only the text counts. Null and empty texts get the score of no words; very
     long texts are read whole. Repeated rows stay and score alike. A column
-    already called quality_score is replaced. Empty table: no rows.
+    already called ``into`` is replaced. Empty table: no rows.
     """
-    docs = docs.drop("quality_score")
-    return docs.mapInArrow(_scorer(model, "text"), T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    docs = docs.drop(into)
+    return docs.mapInArrow(_scorer(model, "text", into), T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
