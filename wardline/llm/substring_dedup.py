@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import Ranges, U, Words, checkpointed, concat_ranges, mix, slices
+from wardline.llm.common import Ranges, U, Words, checkpointed, concat_ranges, fresh, mix, slices
 from wardline.session import table
 
 WINDOW_WORDS = 20
@@ -268,23 +268,23 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW_WORDS, m: int = MINIMISER_W
     return packed.groupBy("bucket").applyInArrow(_repeats(k), "doc_id long, a long, b long")
 
 
-def _cleaner(with_text: bool):
+def _without(text: bytes, cut: list[dict] | None) -> tuple[int, int, bytes]:
+    """Words, words removed, and the words kept joined by one space."""
+    words = text.split()
+    total = len(words)
+    if cut:
+        away = np.zeros(total + 1, dtype=np.int32)
+        np.add.at(away, [c["a"] for c in cut], 1)
+        np.add.at(away, [c["b"] for c in cut], -1)
+        words = [words[i] for i in np.flatnonzero(np.cumsum(away[:-1]) == 0).tolist()]
+    return total, total - len(words), b" ".join(words)
+
+
+def _cleaner(ranges: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            ranges = batch.column(batch.schema.get_field_index("ranges")).to_pylist()
-            n, gone, out = [], [], []
-            for text, cut in zip(texts, ranges, strict=True):
-                words = text.split()
-                total = len(words)
-                if cut:
-                    away = np.zeros(total + 1, dtype=np.int32)
-                    np.add.at(away, [c["a"] for c in cut], 1)
-                    np.add.at(away, [c["b"] for c in cut], -1)
-                    stay = np.cumsum(away[:-1]) == 0
-                    words = [words[i] for i in np.flatnonzero(stay).tolist()]
-                n.append(total)
-                gone.append(total - len(words))
-                out.append(b" ".join(words))
+            cut = batch.column(batch.schema.get_field_index(ranges)).to_pylist()
+            n, gone, out = zip(*map(_without, texts, cut), strict=True)
             cols = {"doc_id": batch.column(0), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
             cols |= {"kept": pa.array(out, pa.binary()).cast(pa.string())} if with_text else {"kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())}
             yield pa.RecordBatch.from_pydict(cols)
@@ -292,6 +292,30 @@ def _cleaner(with_text: bool):
     return run
 
 
+def _replacer(ranges: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            cut = batch.column(batch.schema.get_field_index(ranges)).to_pylist()
+            at = batch.schema.get_field_index("text")
+            old = batch.column(at)
+            new = [_without(t, c)[2].decode() if c else o for t, c, o in zip(texts, cut, old.to_pylist(), strict=True)]
+            keep = [i for i, name in enumerate(batch.schema.names) if name != ranges]
+            yield pa.RecordBatch.from_arrays([pa.array(new, old.type) if i == at else batch.column(i) for i in keep], [batch.schema.names[i] for i in keep])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, k: int = WINDOW_WORDS, **options) -> DataFrame:
+    """``docs`` with repeated windows cut out of text; texts without any stay byte for byte.
+
+    As ``substring_dedup``, but all columns stay and rows without doc_id pass unchanged.
+    """
+    name, key = fresh("ranges", docs), fresh("ranges_id", docs)
+    ranges = repeated_ranges(docs, k, **options).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("a", "b")).alias(name))
+    joined = docs.join(ranges, docs["doc_id"] == ranges[key], "left").drop(key)
+    return joined.mapInArrow(_replacer(name), docs.schema)
+
+
 def substring_dedup(docs: DataFrame, k: int = WINDOW_WORDS, with_text: bool = True, **options) -> DataFrame:
     """Remove every word covered by a ``k``-word window that also starts earlier.
 
@@ -307,7 +331,7 @@ def substring_dedup(docs: DataFrame, k: int = WINDOW_WORDS, with_text: bool = Tr
     """
     ranges = repeated_ranges(docs, k, **options).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").join(ranges, "doc_id", "left")
-    return joined.mapInArrow(_cleaner(with_text), "doc_id long, n_words long, n_removed long, " + ("kept string" if with_text else "kept_sha256 string"))
+    return joined.mapInArrow(_cleaner("ranges", with_text), "doc_id long, n_words long, n_removed long, " + ("kept string" if with_text else "kept_sha256 string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
