@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wardline.plans import records
+from wardline.plans import records, resolution
 
-_MODULES = (records,)
+_MODULES = (records, resolution)
 
 
 def queries():
