@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wardline.plans import records, resolution
+from wardline.plans import records, resolution, texts
 
-_MODULES = (records, resolution)
+_MODULES = (records, resolution, texts)
 
 
 def queries():
