@@ -133,7 +133,7 @@ def greedy_merges(scored: DataFrame, threshold: float = AUTO) -> DataFrame:
 def best_merge(decided: DataFrame) -> DataFrame:
     """One merge per new record: the best score, then the smallest existing id."""
     order = Window.partitionBy("id_b").orderBy(F.desc("score"), "id_a")
-    return decided.filter(F.col("decision") == "merge").withColumn("n", F.row_number().over(order)).filter(F.col("n") == 1).select(F.col("id_a").alias("primary_id"), F.col("id_b").alias("secondary_id"), "score")
+    return decided.filter(F.col("decision") == "merge").withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == 1).select(F.col("id_a").alias("primary_id"), F.col("id_b").alias("secondary_id"), "score")
 
 
 def apply_merges(df: DataFrame, merges: DataFrame) -> DataFrame:

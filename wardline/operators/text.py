@@ -138,14 +138,14 @@ def entity_key(text: Column) -> Column:
 def first_entities(entities: DataFrame) -> DataFrame:
     """The first of each (doc_id, entity_class, key) by pos."""
     order = Window.partitionBy("doc_id", "entity_class", entity_key(F.col("text"))).orderBy("pos")
-    return entities.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
+    return entities.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
 
 
 def best_encounters(encounters: DataFrame) -> DataFrame:
     """One encounter per document and visit day: the most informative, then the earliest."""
     score = F.when(F.col("boilerplate"), 0).otherwise(1000) + F.when(F.col("provider").isNotNull(), 100).otherwise(0) + F.when(F.col("effective_date").isNotNull(), 50).otherwise(0) + F.col("n_fields")
     order = Window.partitionBy("doc_id", F.to_date("effective_date")).orderBy(F.desc("score"), "pos")
-    return encounters.withColumn("score", score).withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
+    return encounters.withColumn("score", score).withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
 
 
 def best_medications(meds: DataFrame, alike: float = 90.0, length_floor: float = 0.6) -> DataFrame:
@@ -155,7 +155,7 @@ def best_medications(meds: DataFrame, alike: float = 90.0, length_floor: float =
     score = F.when(F.col("code_value").isNotNull(), 100).otherwise(0) + F.col("n_fields")
     order = Window.partitionBy("doc_id", "code_value").orderBy(F.desc("score"), "pos")
     scored = meds.withColumn("score", score)
-    coded = scored.filter("code_value IS NOT NULL").withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
+    coded = scored.filter("code_value IS NOT NULL").withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
 
     def same(a: str, b: str) -> bool:
         if a == b:

@@ -26,29 +26,29 @@ def plan_batch(incoming: DataFrame, existing: DataFrame, identity: list[str], ar
     known = F.lit(True)
     for c in identity:
         known = known & F.col(c).isNotNull()
-    base = existing.select(*identity, F.col(hash_column).alias("base_hash"), F.col("version").alias("base_version"))
-    rows = incoming.join(base, identity, "left").withColumn("known", known)
+    base = existing.select(*identity, F.col(hash_column).alias("_base_hash"), F.col("version").alias("_base_version"))
+    rows = incoming.join(base, identity, "left").withColumn("_known", known)
     # Rows without identity are spread by their arrival so that they do not meet in one task.
-    order = Window.partitionBy(*identity, F.when(~F.col("known"), F.xxhash64(*arrival))).orderBy(*arrival)
-    before = F.coalesce(F.lag(hash_column).over(order), F.col("base_hash"))
-    rows = rows.withColumn("changes", ~F.col("known") | before.isNull() | (before != F.col(hash_column)))
-    step = F.sum(F.when(F.col("changes"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    first = ~F.col("known") | (F.col("base_version").isNull() & (step == 1))
-    version = F.when(~F.col("known"), F.lit(1)).otherwise(F.coalesce("base_version", F.lit(0)) + step)
-    action = F.when(~F.col("changes"), "skip").when(first, "insert").otherwise("update")
-    return rows.withColumn("action", action).withColumn("version", version.cast("int")).drop("base_hash", "base_version", "known", "changes")
+    order = Window.partitionBy(*identity, F.when(~F.col("_known"), F.xxhash64(*arrival))).orderBy(*arrival)
+    before = F.coalesce(F.lag(hash_column).over(order), F.col("_base_hash"))
+    rows = rows.withColumn("_changes", ~F.col("_known") | before.isNull() | (before != F.col(hash_column)))
+    step = F.sum(F.when(F.col("_changes"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    first = ~F.col("_known") | (F.col("_base_version").isNull() & (step == 1))
+    version = F.when(~F.col("_known"), F.lit(1)).otherwise(F.coalesce("_base_version", F.lit(0)) + step)
+    action = F.when(~F.col("_changes"), "skip").when(first, "insert").otherwise("update")
+    return rows.withColumn("action", action).withColumn("version", version.cast("int")).drop("_base_hash", "_base_version", "_known", "_changes")
 
 
 def current(planned: DataFrame, identity: list[str]) -> DataFrame:
     """The row that stays per identity: its highest version that was not skipped."""
     order = Window.partitionBy(*identity).orderBy(F.desc("version"))
-    return planned.filter(F.col("action") != "skip").withColumn("n", F.row_number().over(order)).filter(F.col("n") == 1).drop("n")
+    return planned.filter(F.col("action") != "skip").withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == 1).drop("_place")
 
 
 def history(planned: DataFrame, identity: list[str]) -> DataFrame:
     """Earlier versions: every version that was replaced, one row each."""
     order = Window.partitionBy(*identity).orderBy(F.desc("version"))
-    return planned.filter(F.col("action") != "skip").withColumn("n", F.row_number().over(order)).filter(F.col("n") > 1).drop("n")
+    return planned.filter(F.col("action") != "skip").withColumn("_place", F.row_number().over(order)).filter(F.col("_place") > 1).drop("_place")
 
 
 def collapse(df: DataFrame, key: list[str], arrival: list[str], source: str) -> DataFrame:
@@ -60,25 +60,25 @@ def collapse(df: DataFrame, key: list[str], arrival: list[str], source: str) ->
 
 def soft_delete(df: DataFrame, keys: DataFrame, on: str, at: Column) -> DataFrame:
     """Set deleted_at of live rows whose ``on`` is in ``keys``."""
-    hit = df.join(keys.select(on, F.lit(True).alias("hit")).distinct(), on, "left")
-    return hit.withColumn("deleted_at", F.when(F.col("deleted_at").isNull() & F.col("hit"), at).otherwise(F.col("deleted_at"))).drop("hit")
+    hit = df.join(keys.select(on, F.lit(True).alias("_hit")).distinct(), on, "left")
+    return hit.withColumn("deleted_at", F.when(F.col("deleted_at").isNull() & F.col("_hit"), at).otherwise(F.col("deleted_at"))).drop("_hit")
 
 
 def earliest_same_file(files: DataFrame, done: list[str]) -> DataFrame:
     """Files whose content an earlier file in a ``done`` status has: (file_id, original_id)."""
     order = Window.partitionBy("file_hash").orderBy("created_at", "file_id")
-    origin = files.filter(F.col("status").isin(done)).withColumn("n", F.row_number().over(order)).filter(F.col("n") == 1).select("file_hash", F.col("file_id").alias("original_id"), F.col("created_at").alias("original_at"))
+    origin = files.filter(F.col("status").isin(done)).withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == 1).select("file_hash", F.col("file_id").alias("original_id"), F.col("created_at").alias("original_at"))
     return files.join(origin, "file_hash").filter((F.col("original_at") < F.col("created_at")) | ((F.col("original_at") == F.col("created_at")) & (F.col("original_id") < F.col("file_id")))).select("file_id", "original_id")
 
 
 def backfill_identity(df: DataFrame, claim: Column, arrival: list[str]) -> DataFrame:
     """Fill null external_id with ``claim``; the first claimant of a user and system keeps it, and only if nobody has it."""
-    wanted = df.withColumn("claim", F.when(F.col("external_id").isNull(), claim))
-    order = Window.partitionBy("user_id", "source_system", "claim").orderBy(*arrival)
-    taken = df.filter(F.col("external_id").isNotNull()).select("user_id", "source_system", F.col("external_id").alias("claim"), F.lit(True).alias("taken")).distinct()
-    rows = wanted.join(taken, ["user_id", "source_system", "claim"], "left").withColumn("n", F.row_number().over(order))
-    free = F.col("claim").isNotNull() & F.col("taken").isNull() & (F.col("n") == 1)
-    return rows.withColumn("external_id", F.when(free, F.col("claim")).otherwise(F.col("external_id"))).drop("claim", "taken", "n")
+    wanted = df.withColumn("_claim", F.when(F.col("external_id").isNull(), claim))
+    order = Window.partitionBy("user_id", "source_system", "_claim").orderBy(*arrival)
+    taken = df.filter(F.col("external_id").isNotNull()).select("user_id", "source_system", F.col("external_id").alias("_claim"), F.lit(True).alias("_taken")).distinct()
+    rows = wanted.join(taken, ["user_id", "source_system", "_claim"], "left").withColumn("_place", F.row_number().over(order))
+    free = F.col("_claim").isNotNull() & F.col("_taken").isNull() & (F.col("_place") == 1)
+    return rows.withColumn("external_id", F.when(free, F.col("_claim")).otherwise(F.col("external_id"))).drop("_claim", "_taken", "_place")
 
 
 def add_missing(basket: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
