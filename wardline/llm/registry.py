@@ -26,7 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op6_best_fit_packing": packing.query,
         "op7_topk_search": topk_search.ORACLE_SQL,
         "op9_chat_format": chat_format.ORACLE_SQL,
     }

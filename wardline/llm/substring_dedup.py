@@ -30,7 +30,7 @@ from wardline.llm.common import Ranges, U, Words, checkpointed, concat_ranges, f
 from wardline.session import table
 
 WINDOW_WORDS = 20
-MINIMISER_WORDS = 3
+MINIMISER_WORDS = 2
 HOT_SHARE = 1e-4
 BUCKET_BYTES = 6 << 20
 #: A map task sends what it has gathered when this many bytes of packed strings wait.
@@ -108,7 +108,7 @@ def _pack(parts: list[tuple]) -> bytes:
     docs, starts, counts, text, known = (list(x) for x in zip(*parts, strict=True))
     d, s, c, k = np.concatenate(docs), np.concatenate(starts), np.concatenate(counts), np.concatenate(known)
     head = np.array([len(d), len(k)], dtype=np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + d.astype("<i8").tobytes() + s.astype("<i4").tobytes() + c.astype("<i4").tobytes() + k.astype("<i8").tobytes() + b"".join(text))
+    return zstandard.ZstdCompressor(level=3).compress(head + d.astype("<i8").tobytes() + s.astype("<i4").tobytes() + c.astype("<i4").tobytes() + k.astype("<i8").tobytes() + b"".join(text))
 
 
 def _unpack(blob: bytes) -> tuple:
