@@ -34,9 +34,11 @@ from wardline.llm.common import Ranges, U, concat_ranges, slices
 from wardline.session import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 MAX_BUCKETS = 4096
+#: Words of a block put in order at a time.
+AT_A_TIME = 400_000
 #: Texts up to this character have letter classes that no Unicode version changed; others go to the library by stretches.
 STABLE = "ɏ"
 
@@ -58,44 +60,59 @@ def unpack_numbers(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_unzip(x), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _pre_tokens(pattern: regex.Pattern, stretch: bytes) -> list[str]:
+def _pre_tokens(pattern: regex.Pattern, stretch: bytes) -> list[bytes]:
+    """The pattern's matches in a stretch; one or two letters-only parts, the common case, are told without it."""
+    body = stretch[1:] if stretch[:1] == b" " else stretch
+    if body.isalpha():
+        return [stretch]
+    if body[-1:] in b".,;:!?" and body[:-1].isalpha():
+        return [stretch[:-1], stretch[-1:]]
     text = stretch.decode()
-    return pattern.findall(text) if max(text) <= STABLE else [text]
+    if max(text) > STABLE:
+        return [stretch]
+    if text[text[0] == " " :].isalpha():
+        return [stretch]
+    return [m.encode() for m in pattern.findall(text)]
 
 
 class Block:
-    """Texts as numbers of distinct words; words are ordered by bucket, then bytes."""
+    """Texts as numbers of distinct words; words are ordered by bucket, then by first place."""
 
     def __init__(self, ids: list, texts: list[bytes], pattern: str, buckets: int):
         compiled = regex.compile(pattern)
-        parts, which, counts = stretches(texts)
-        number: dict[str, int] = {}
+        parts, self.which, self.counts = stretches(texts)
+        number: dict[bytes, int] = {}
         codes, sizes = [], []
         for p in parts:
             found = _pre_tokens(compiled, p) if p else []
             sizes.append(len(found))
-            codes += [number.setdefault(w, len(number)) for w in found]
-        words = [w.encode() for w in number]
+            for w in found:
+                codes.append(number.setdefault(w, len(number)))
+        words = list(number)
         bucket = np.zeros(len(words), dtype=np.int64)
         if words:
             ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
             joined = np.frombuffer(b"".join(words), dtype=np.uint8)
             bucket = (Ranges(joined)(np.concatenate([[0], ends[:-1]]), ends) % U(buckets)).astype(np.int64)
-        order = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
-        place = np.empty(len(words), dtype=np.int64)
-        place[order] = np.arange(len(words))
-        sizes = np.array(sizes, dtype=np.int64)
-        heads = np.cumsum(sizes) - sizes
-        self.sequence = place[np.array(codes, dtype=np.int64)[concat_ranges(heads[which], sizes[which])]] if words else np.zeros(0, dtype=np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes[which])])
-        self.lengths = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
-        self.words, self.bucket = [words[i] for i in order], bucket[order]
+        order = np.argsort(bucket, kind="stable")
+        self.place = np.empty(len(words), dtype=np.int32)
+        self.place[order] = np.arange(len(words), dtype=np.int32)
+        self.codes, self.sizes = np.array(codes, dtype=np.int32), np.array(sizes, dtype=np.int64)
+        self.words, self.bucket = [words[i] for i in order.tolist()], bucket[order]
         digest = xxhash.xxh3_128(repr(ids).encode())
         for t in texts:
             digest.update(len(t).to_bytes(8, "little"))
             digest.update(t)
         self.key = digest.hexdigest()
 
+    def sequence(self) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of all texts in order, and words per text."""
+        heads = np.cumsum(self.sizes) - self.sizes
+        sizes = self.sizes[self.which]
+        sequence = self.place[self.codes[concat_ranges(heads[self.which], sizes)]] if len(self.place) else np.zeros(0, dtype=np.int32)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return sequence, np.diff(ends[np.concatenate([[0], np.cumsum(self.counts)])])
+
 
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, limit: int) -> Iterator[tuple[pa.RecordBatch, Block]]:
     for batch, texts in slices(batches, limit=limit):
@@ -125,7 +142,8 @@ def _sequences(pattern: str, buckets: int, limit: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, block in _blocks(batches, pattern, buckets, limit):
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block.key]), "ids": pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), "lengths": pa.array([pack_numbers(block.lengths)], pa.binary()), "sequence": pa.array([pack_numbers(block.sequence)], pa.binary()), "words": pa.array([len(block.words)], pa.int64())})
+            sequence, lengths = block.sequence()
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block.key]), "ids": pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), "lengths": pa.array([pack_numbers(lengths)], pa.binary()), "sequence": pa.array([pack_numbers(sequence)], pa.binary()), "words": pa.array([len(block.words)], pa.int64())})
 
     return run
 
@@ -180,18 +198,25 @@ def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
             tokens.append(unpack_numbers(right.column("tokens")[i].as_py()))
         last = bucket
     size = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, dtype=np.int64)
-    token = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.uint32)
+    token = (np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.uint32)).astype(np.int32)
     heads = np.cumsum(size) - size
     ids_out, lists = [], []
     for row in left.to_pylist():
         if row["words"] != len(size):
             raise RuntimeError("a block was made differently when it was computed again: its input is not deterministic")
-        seq = unpack_numbers(row["sequence"])
-        mine = size[seq]
-        flat = token[concat_ranges(heads[seq], mine)].astype(np.int32)
-        ends = np.concatenate([[0], np.cumsum(mine)])[np.concatenate([[0], np.cumsum(unpack_numbers(row["lengths"]), dtype=np.int64)])]
+        seq, lengths = unpack_numbers(row["sequence"]), unpack_numbers(row["lengths"]).astype(np.int64)
         ids_out += row["ids"]
-        lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
+        ends = np.cumsum(lengths)
+        first = 0
+        while first < len(lengths):  # some documents at a time
+            begin = ends[first] - lengths[first]
+            last = max(first + 1, int(np.searchsorted(ends, begin + AT_A_TIME)))
+            some = seq[begin : ends[last - 1]]
+            mine = size[some]
+            flat = token[concat_ranges(heads[some], mine)]
+            at = np.concatenate([[0], np.cumsum(mine)])[np.concatenate([[0], np.cumsum(lengths[first:last])])]
+            lists.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)))
+            first = last
     return pa.table({"doc_id": pa.array(ids_out, pa.int64()), "ids": pa.chunked_array(lists, pa.list_(pa.int32()))})
 
 
