@@ -83,11 +83,16 @@ class Block:
         parts, self.which, self.counts = stretches(texts)
         number: dict[bytes, int] = {}
         codes, sizes = [], []
+        add, new = codes.append, number.setdefault
         for p in parts:
-            found = _pre_tokens(compiled, p) if p else []
+            if p[1:].isalpha() and (p[0] == 32 or p[:1].isalpha()):  # a blank and letters, or letters: most stretches
+                add(new(p, len(number)))
+                sizes.append(1)
+                continue
+            found = _pre_tokens(compiled, p) if p else ()
             sizes.append(len(found))
             for w in found:
-                codes.append(number.setdefault(w, len(number)))
+                add(new(w, len(number)))
         words = list(number)
         bucket = np.zeros(len(words), dtype=np.int64)
         if words:
@@ -237,19 +242,40 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str = public_toke
     return sequences.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
+def _objects(values: dict[int, object]) -> np.ndarray:
+    """A table by id."""
+    out = np.empty(max(values, default=-1) + 1, dtype=object)
+    for i, v in values.items():
+        out[i] = v
+    return out
+
+
+_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _tables(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and decimal text of every id, read once per worker."""
+    if path not in _TABLES:
+        ranks = load_ranks(path)
+        _TABLES[path] = _objects({i: b for b, i in ranks.items()}), _objects({i: str(i) for i in ranks.values()})
+    return _TABLES[path]
+
+
 def _decoder(path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of: dict[int, bytes] = {i: b for b, i in load_ranks(path).items()}
-        plain = {i: str(i) for i in bytes_of}
+        bytes_of, plain = _tables(path)
         for batch in batches:
+            column = batch.column(1)
+            flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            known = column.is_valid().to_numpy(zero_copy_only=False)
             n, shas, out = [], [], []
-            for ids in batch.column(1):
-                ids = ids.values.to_pylist() if ids.is_valid else []
-                text = b"".join(map(bytes_of.__getitem__, ids))
+            for a, b, k in zip(ends[:-1].tolist(), ends[1:].tolist(), known.tolist(), strict=True):
+                ids = flat[a : b if k else a]
+                text = b"".join(bytes_of[ids].tolist())
                 n.append(len(ids))
                 out.append(hashlib.sha256(text).hexdigest() if digest else text)
                 if digest:
-                    shas.append(hashlib.sha256(",".join(map(plain.__getitem__, ids)).encode()).hexdigest())
+                    shas.append(hashlib.sha256(",".join(plain[ids].tolist()).encode()).hexdigest())
             if digest:
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(out, pa.string())})
             else:
