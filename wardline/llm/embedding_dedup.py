@@ -38,6 +38,7 @@ NEIGHBOURS = 12
 ORDERS = 8
 ORDER_BITS = 24
 BLOCK_ROWS = 128
+#: Neighbours a comparison hands on for each vector, besides close ones, of which it hands on a whole list.
 PER_BLOCK = 4
 PAGE_ROWS = 256
 ROUNDS = 6
@@ -88,13 +89,17 @@ def _orders(first: int, count: int, bits: int):
     return run
 
 
-def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    k = min(k, sims.shape[1])
-    col = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    return np.repeat(np.arange(len(sims)), k), col.ravel()
+def _best(sims: np.ndarray, keep: int, most: int, close: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of the ``most`` highest values along the last axis, best first, and which count: the first ``keep`` and all from ``close`` on."""
+    most = min(most, sims.shape[-1])
+    col = np.argpartition(-sims, most - 1, axis=-1)[..., :most]
+    s = np.take_along_axis(sims, col, axis=-1)
+    order = np.argsort(-s, axis=-1)
+    col, s = np.take_along_axis(col, order, axis=-1), np.take_along_axis(s, order, axis=-1)
+    return col, s, ((np.arange(most) < keep) | (s >= close)) & (s > -2)
 
 
-def _first_links(rows: int, keep: int):
+def _first_links(rows: int, keep: int, most: int, close: float):
     """Runs of one order to edges (u, v, s) of the nearest in overlapping blocks."""
 
     def edges(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
@@ -105,11 +110,10 @@ def _first_links(rows: int, keep: int):
                 continue
             sims = y @ y.T
             np.fill_diagonal(sims, -2)
-            r, c = _best(sims, keep)
-            fine = r != c
-            us.append(i[r[fine]])
-            vs.append(i[c[fine]])
-            ss.append(sims[r[fine], c[fine]])
+            col, s, fine = _best(sims, keep, most, close)
+            us.append(np.repeat(i, fine.sum(axis=1)))
+            vs.append(i[col[fine]])
+            ss.append(s[fine])
         cat = lambda p, kind: np.concatenate(p) if p else np.empty(0, dtype=kind)
         return pa.RecordBatch.from_pydict({"u": pa.array(cat(us, np.int64)), "v": pa.array(cat(vs, np.int64)), "s": pa.array(cat(ss, np.float32))})
 
@@ -137,7 +141,7 @@ def _first_links(rows: int, keep: int):
     return run
 
 
-def _around(keep: int):
+def _around(keep: int, most: int, close: float):
     """Members (centre, u, worst, q) of some centres to better edges between members of one centre."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -154,10 +158,8 @@ def _around(keep: int):
                     at = all_at[i : i + 512]
                     sims = np.einsum("cid,cjd->cij", x[at], x[at], optimize=True)
                     sims[:, np.arange(size), np.arange(size)] = -2
-                    k = min(keep, size)
-                    col = np.argpartition(-sims, k - 1, axis=2)[:, :, :k]
-                    s = np.take_along_axis(sims, col, axis=2)
-                    fine = (s > worst[at][:, :, None]) & (s > -2)
+                    col, s, fine = _best(sims, keep, most, close)
+                    fine &= s > worst[at][:, :, None]
                     us.append(np.broadcast_to(u[at][:, :, None], col.shape)[fine])
                     vs.append(np.take_along_axis(np.broadcast_to(u[at][:, None, :], sims.shape), col, axis=2)[fine])
                     ss.append(s[fine])
@@ -174,10 +176,10 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("u", "v").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("u", "v", "s")
 
 
-def _start(rows: DataFrame, first: int, count: int, k: int) -> DataFrame:
+def _start(rows: DataFrame, first: int, count: int, k: int, close: float) -> DataFrame:
     keyed = rows.select("id", "grp", "q").mapInArrow(_orders(first, count, ORDER_BITS), "tree int, grp string, code long, id long, q binary")
     sorted_rows = keyed.repartitionByRange("tree", "grp", "code", "id").sortWithinPartitions("tree", "grp", "code", "id")
-    return sorted_rows.mapInArrow(_first_links(BLOCK_ROWS, PER_BLOCK), "u long, v long, s float")
+    return sorted_rows.mapInArrow(_first_links(BLOCK_ROWS, PER_BLOCK, k, close), "u long, v long, s float")
 
 
 def _descend(rows: DataFrame, graph: DataFrame, n: int, k: int, close: float, rounds: int) -> DataFrame:
@@ -192,7 +194,7 @@ def _descend(rows: DataFrame, graph: DataFrame, n: int, k: int, close: float, ro
         worst = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-1.0)).cast("float").alias("worst"))
         held = rows.select("id", "q").join(worst, rows.id == worst.u, "left").select(F.col("id").alias("u"), "q", F.coalesce("worst", F.lit(-1.0)).cast("float").alias("worst"))
         dealt = members.join(held, members.member == held.u).select("centre", "u", "worst", "q", F.pmod(F.xxhash64("centre"), F.lit(max(1, n // 2000))).alias("bucket"))
-        better = dealt.groupBy("bucket").applyInArrow(_around(PER_BLOCK), "u long, v long, s float")
+        better = dealt.groupBy("bucket").applyInArrow(_around(PER_BLOCK, k, close), "u long, v long, s float")
         graph = checkpointed(_top(graph.union(better), k))
         now = graph.filter(F.col("s") >= close).count()
         if now <= links * 1.002 + 1:
@@ -290,7 +292,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
     close = threshold - MARGIN
     graph, first = None, 0
     for attempt in range(EXTRA_ROUNDS + 1):
-        start = _start(rows, first, orders, neighbours)
+        start = _start(rows, first, orders, neighbours, close)
         first += orders
         graph = checkpointed(_top(start if graph is None else graph.union(start), neighbours))
         graph = _descend(rows, graph, n, neighbours, close, rounds)
