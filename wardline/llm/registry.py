@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": substring_dedup.ORACLE_SQL,
         "op7_topk_search": topk_search.ORACLE_SQL,
         "op9_chat_format": chat_format.ORACLE_SQL,
     }
