@@ -343,8 +343,9 @@ ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 word AS (SELECT doc_id, unnest(range(0, len(words))) AS pos, unnest(words) AS word FROM d),
 spread AS (SELECT doc_id, unnest(range(0, len(words) - 19)) AS pos, words FROM d WHERE len(words) >= 20),
-windows AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(list_slice(words, pos + 1, pos + 20), ' ') ORDER BY doc_id, pos) AS place FROM spread),
-gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM windows WHERE place > 1),
+windows AS (SELECT doc_id, pos, array_to_string(list_slice(words, pos + 1, pos + 20), ' ') AS run FROM spread),
+seen AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS place FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM seen WHERE place > 1),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
 cut AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(cut.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
