@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.clinical import parse_dosage
+from wardline.functions.fhir import bound
 
 #: Entity class to record type and resource type; other classes are attributes and become no record.
 RECORDS = {
@@ -52,17 +53,25 @@ def parse_lab(s: Column) -> Column:
     The range goes first, then a flag in words, else a letter flag at the end,
     then the value with its unit; the analyte is what stands before the value.
     """
-    low, high = F.regexp_extract(s, RANGE, 1).try_cast("double"), F.regexp_extract(s, RANGE, 2).try_cast("double")
-    rest = F.regexp_replace(s, rf"^(.*?){RANGE}", "$1 ")
-    word = F.lower(_some(F.regexp_extract(rest, WORD_FLAG, 1)))
     codes = F.create_map(*[F.lit(x) for kv in INTERPRETATIONS.items() for x in kv])
-    rest = F.when(word.isNotNull(), F.regexp_replace(rest, rf"^(.*?){WORD_FLAG.replace('(?i)', '(?i:') + ')'}", "$1 ")).otherwise(rest)
-    letter = F.when(word.isNull(), F.upper(_some(F.regexp_extract(rest, LETTER_FLAG, 1))))
-    rest = F.when(letter.isNotNull(), F.regexp_replace(rest, LETTER_FLAG, "")).otherwise(rest)
-    value = _some(F.regexp_extract(rest, VALUE, 1))
-    unit = _some(F.regexp_replace(F.regexp_extract(rest, VALUE, 2), r"[.,;:]+$", ""))
-    before = F.when(value.isNotNull(), F.regexp_replace(F.left(s, F.position(value, s) - 1), r"[,;:\-\s]+$", "")).otherwise(s)
-    return F.struct(_some(before).alias("analyte"), value.try_cast("double").alias("value"), F.when(value.isNotNull(), unit).alias("unit"), low.alias("ref_low"), high.alias("ref_high"), F.coalesce(codes[word], letter).alias("interpretation"))
+    part = lambda x, pattern, i: _some(F.regexp_extract(x, pattern, i))
+    without_word = rf"^(.*?){WORD_FLAG.replace('(?i)', '(?i:') + ')'}"
+
+    def measured(x: Column) -> Column:
+        """Of text without range and flag: what stands before the value, the value, its unit."""
+        value = part(x["rest"], VALUE, 1)
+        before = F.when(value.isNotNull(), F.regexp_replace(F.left(s, F.position(value, s) - 1), r"[,;:\-\s]+$", "")).otherwise(s)
+        unit = F.when(value.isNotNull(), _some(F.regexp_replace(F.regexp_extract(x["rest"], VALUE, 2), r"[.,;:]+$", "")))
+        return F.struct(_some(before).alias("analyte"), value.try_cast("double").alias("value"), unit.alias("unit"), x["low"].alias("ref_low"), x["high"].alias("ref_high"), x["mark"].alias("interpretation"))
+
+    def lettered(x: Column) -> Column:
+        letter = F.when(x["word"].isNull(), F.upper(part(x["rest"], LETTER_FLAG, 1)))
+        rest = F.when(x["word"].isNotNull(), F.regexp_replace(x["rest"], without_word, "$1 ")).otherwise(F.regexp_replace(x["rest"], LETTER_FLAG, ""))
+        return F.struct(rest.alias("rest"), x["low"].alias("low"), x["high"].alias("high"), F.coalesce(codes[x["word"]], letter).alias("mark"))
+
+    ranged = F.struct(F.regexp_replace(s, rf"^(.*?){RANGE}", "$1 ").alias("rest"), part(s, RANGE, 1).try_cast("double").alias("low"), part(s, RANGE, 2).try_cast("double").alias("high"))
+    worded = lambda x: F.struct(x["rest"].alias("rest"), x["low"].alias("low"), x["high"].alias("high"), F.lower(part(x["rest"], WORD_FLAG, 1)).alias("word"))
+    return bound(bound(bound(ranged, worded), lettered), measured)
 
 
 def is_panel(s: Column) -> Column:

@@ -6,6 +6,8 @@ fields are told apart by trying both. Empty strings count as missing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def _map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def text(r: Column | str, path: str) -> Column:
     """A scalar as text, null if absent, empty or not a scalar."""
     return F.nullif(F.try_variant_get(r, path, "string"), F.lit(""))
@@ -263,6 +270,22 @@ def preview(r: str, kind: Column) -> Column:
     return F.when(F.coalesce(found["value"], found["flag"], F.get(found["facets"], F.lit(0)), found["low"].cast("string")).isNotNull(), found)
 
 
+def record_title(r: str, display: Column, kind: Column) -> Column:
+    """A title for people: the display text unless it is a bare resource type, else from the resource, else the record type in words."""
+    shown = F.nullif(F.trim(display), F.lit(""))
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    derived = [F.coalesce(some(text(r, f"$.{p}.text")), some(first_of(r, f"$.{p}.coding", "$.display", "$.code"))) for p in ("code", "vaccineCode", "medicationCodeableConcept", "type[0]", "type", "medication")]
+    words = F.replace(kind, F.lit("_"), F.lit(" "))
+    named = F.when(kind == "imaging", "Imaging study").when(kind.isin(*RECORD_TYPES.values()), F.concat(F.upper(F.left(words, F.lit(1))), F.substring(words, 2, 100)))
+    return F.coalesce(F.when(~shown.isin(*RECORD_TYPES), shown), *derived, some(text(r, "$.description")), some(text(r, "$.title")), named, shown, resource_type(r), F.lit("Record"))
+
+
+def observation_subtype(category: Column) -> Column:
+    """vital, social or lab: what the first telling category says, lab if none does."""
+    told = F.transform(category, lambda c: F.when(F.lower(c).contains("vital"), "vital").when(F.lower(c).contains("social"), "social").when(F.lower(c).contains("lab"), "lab"))
+    return F.coalesce(F.get(F.filter(told, lambda x: x.isNotNull()), F.lit(0)), F.lit("lab"))
+
+
 def project(resources: DataFrame, r: str = "resource", source_format: str = "fhir_r4") -> DataFrame:
     """Resources (VARIANT column ``r``) to canonical record columns; types that are no records are dropped."""
     rows = resources.withColumn("fhir_resource_type", resource_type(r)).withColumn("record_type", record_type(r)).filter(F.col("record_type").isNotNull())

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wardline.plans import records, resolution, texts
+from wardline.plans import clinical, records, resolution, texts
 
-_MODULES = (records, resolution, texts)
+_MODULES = (records, resolution, texts, clinical)
 
 
 def queries():
