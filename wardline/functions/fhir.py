@@ -83,16 +83,20 @@ def effective_date_end(r: str) -> Column:
     return parse_date(F.coalesce(text(r, "$.effectivePeriod.end"), text(r, "$.period.end")))
 
 
-def _coded(r: str, path: str) -> Column:
-    """A path below code, or below type (object or first of a list) where there is no code."""
-    has = F.try_variant_get(r, "$.code", "variant").isNotNull() & (F.to_json(F.try_variant_get(r, "$.code", "variant")) != "{}")
-    return F.when(has, text(r, f"$.code{path}")).otherwise(F.coalesce(text(r, f"$.type{path}"), text(r, f"$.type[0]{path}")))
+def _coded(r: str) -> Column:
+    """The concept that names a resource: its code, or its type (object or first of a list) where there is no code."""
+    code = F.try_variant_get(r, "$.code", "variant")
+    return F.when(code.isNotNull() & (F.to_json(code) != "{}"), code).otherwise(F.coalesce(F.try_variant_get(r, "$.type[0]", "variant"), F.try_variant_get(r, "$.type", "variant")))
 
 
 def coding(r: str) -> Column:
     """struct(code_system, code_value, code_display) of the first coding, or of the text alone."""
-    some = F.coalesce(_coded(r, ".coding[0].code"), _coded(r, ".coding[0].system"), _coded(r, ".coding[0].display")).isNotNull()
-    return F.struct(F.when(some, _coded(r, ".coding[0].system")).alias("code_system"), F.when(some, _coded(r, ".coding[0].code")).alias("code_value"), F.when(some, _coded(r, ".coding[0].display")).otherwise(_coded(r, ".text")).alias("code_display"))
+
+    def parts(x: Column) -> Column:
+        system, code, display = (text(x, f"$.coding[0].{f}") for f in ("system", "code", "display"))
+        return F.struct(system.alias("code_system"), code.alias("code_value"), F.when(F.coalesce(system, code, display).isNotNull(), display).otherwise(text(x, "$.text")).alias("code_display"))
+
+    return bound(_coded(r), parts)
 
 
 def categories(r: str) -> Column:
@@ -130,7 +134,7 @@ def display_text(r: str) -> Column:
     )
     has_code = F.try_variant_get(r, "$.code", "variant").isNotNull()
     shown = F.when(has_code, first_of(r, "$.code.coding", "$.display")).otherwise(F.coalesce(first_of(r, "$.type.coding", "$.display"), first_of(r, "$.type[0].coding", "$.display")))
-    return F.coalesce(_coded(r, ".text"), shown, by_type)
+    return F.coalesce(text(_coded(r), "$.text"), shown, by_type)
 
 
 def provider(r: str) -> Column:
