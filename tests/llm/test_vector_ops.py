@@ -70,3 +70,42 @@ def test_topk_ties_and_large_values(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [(r.vec_id, r.score) for r in topk_search.topk_search(df, F.col("vec_id") == 0, k=4).orderBy("rank").collect()]
     assert got == [(5, 1024 * 1024 * 10**6), (1, 1024 * 512), (2, 1024 * 512), (3, 1024 * 512)]
+
+
+def clumps():
+    """Two clumps of 60 in one label, about 0.99 inside and 0.95 across: every list fills with its own clump."""
+    rng = np.random.default_rng(5)
+    heads = np.zeros((2, 64))
+    heads[:, 0] = 1
+    heads[1, 1] = np.tan(np.arccos(0.96))
+    x = np.repeat(heads / np.linalg.norm(heads, axis=1)[:, None], 60, axis=0)
+    noise = rng.normal(size=x.shape) * (np.arange(64) > 1)
+    x = x + 0.1 * noise / np.linalg.norm(noise, axis=1)[:, None]
+    return [(i, [float(c) for c in np.float32(v)], 1) for i, v in enumerate(x)]
+
+
+def test_clumps_joined_beyond_full_lists(spark):
+    rows = clumps()
+    x = np.array([r[1] for r in rows])
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    assert (x @ x.T >= 0.93).all()
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert len(got) == 120 and {(r.n_links, r.component_id) for r in got} == {(119, 0)}
+
+
+def test_audit_counts_links(spark):
+    x = np.array([[1.0, 0.0], [1.0, 0.1], [1.0, 0.2]])
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, "2:1", bytearray(v.tobytes())) for i, v in enumerate(x)], "id long, grp string, x binary")
+    links = spark.createDataFrame([(0, 1), (1, 2)], "u long, v long")
+    none = links.select(F.col("u").alias("node")).filter(F.lit(False))
+    assert embedding_dedup.audit_recall(rows, links, none, 0.93) == pytest.approx(2 / 3)
+    assert embedding_dedup.audit_recall(rows, links, rows.select(F.col("id").alias("node")), 0.93) == 1
+
+
+def test_low_recall_ends_exact(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "audit_recall", lambda *a: 0.0)
+    monkeypatch.setattr(embedding_dedup, "EXTRA_ROUNDS", 0)
+    monkeypatch.setattr(embedding_dedup, "_confirm", lambda threshold: lambda batches: (b.select(["u", "v"]).slice(0, 0) for b in batches))
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame(clumps(), "vec_id long, embedding array<float>, label int")).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(119, 0)}

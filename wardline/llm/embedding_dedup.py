@@ -8,13 +8,18 @@ member's worst neighbour enter its list. Lists work on 8-bit vectors; every
 link is then confirmed by the cosine in double precision.
 
 A list whose entries are all above the threshold is saturated: its vector may
-have more links than the list holds. Lists of such a component are enlarged
-to all of its members, cut into pages of ``PAGE_ROWS``. Two pages are linked
-or not linked as a whole where their centres and radii decide that; only the
-rest is compared. Nothing is capped: counts are exact for a component found.
-
-Recall is audited on a bounded sample against all rows by brute force; below
-``TARGET_RECALL`` the descent goes on from further orders.
+have more links than the list holds, to its own component or to another. All
+members of such components are cut into pages of ``PAGE_ROWS`` and compared
+with those of all such components of the label, which joins components that
+the lists kept apart. Two pages are linked or not linked as a whole where
+their centres and radii decide that; the vectors of the rest are compared.
+Links between members of such components are exact; others have room in a
+list and are found as far as the descent goes.
+
+Each attempt is audited: the true links of a bounded sample, by brute force
+against all rows, are looked up among the links found. Below ``TARGET_RECALL``
+the descent goes on from further orders; after the last attempt all rows of
+each label are paged and compared, which is exact.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ BLOCK_ROWS = 128
 #: Neighbours a comparison hands on for each vector, besides close ones, of which it hands on a whole list.
 PER_BLOCK = 4
 PAGE_ROWS = 256
+#: Pages whose centres are compared at once.
+BLOCK_PAGES = 512
 ROUNDS = 6
 AUDIT_ROWS = 512
 TARGET_RECALL = 0.995
@@ -187,7 +194,7 @@ def _descend(rows: DataFrame, graph: DataFrame, n: int, k: int, close: float, ro
     links = graph.filter(F.col("s") >= close).count()
     for _ in range(rounds):
         back = graph.select(F.col("v").alias("centre"), F.col("u").alias("member"))
-        # Of those that point at a vector, k random ones take part in a round; the graph and the audit cover the rest.
+        # Of those that point at a vector, k random ones take part in a round; the others take part through their own lists, and the audit tells if that is too little.
         some = Window.partitionBy("centre").orderBy(F.xxhash64("member", "centre"))
         back = back.withColumn("r", F.row_number().over(some)).filter(F.col("r") <= k).drop("r")
         members = graph.select(F.col("u").alias("centre"), F.col("v").alias("member")).union(back).union(rows.select(F.col("id").alias("centre"), F.col("id").alias("member"))).distinct()
@@ -219,32 +226,85 @@ def _page(t: pa.Table) -> pa.Table:
     centre = x.mean(axis=0)
     size = np.linalg.norm(centre)
     centre = centre / size if size > 1e-9 else x[0]
-    return pa.table({"root": t.column("root").slice(0, 1), "page": t.column("page").slice(0, 1), "dim": pa.array([x.shape[1]], pa.int32()), "radius": pa.array([float(np.arccos(np.clip(x @ centre, -1, 1)).max())]), "centre": to_rows(centre[None]), "ids": pa.array([t.column("id").to_numpy().tobytes()], pa.binary()), "weights": pa.array([t.column("weight").to_numpy().tobytes()], pa.binary()), "xs": pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())})
+    weights = t.column("weight").to_numpy()
+    return pa.table({"grp": t.column("grp").slice(0, 1), "root": t.column("root").slice(0, 1), "page": t.column("page").slice(0, 1), "dim": pa.array([x.shape[1]], pa.int32()), "radius": pa.array([float(np.arccos(np.clip(x @ centre, -1, 1)).max())]), "centre": to_rows(centre[None]), "total": pa.array([int(weights.sum())], pa.int64()), "ids": pa.array([t.column("id").to_numpy().tobytes()], pa.binary()), "weights": pa.array([weights.tobytes()], pa.binary()), "xs": pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())})
 
 
-def _page_links(threshold: float):
-    """Pairs of pages to (id, links): the weight of all in the other page that an id is linked with."""
+def _block(t: pa.Table) -> pa.Table:
+    joined = lambda c: pa.array([b"".join(t.column(c).to_pylist())], pa.binary())
+    packed = lambda c: pa.array([t.column(c).to_numpy().tobytes()], pa.binary())
+    return pa.table({"grp": t.column("grp").slice(0, 1), "block": t.column("block").slice(0, 1), "pages": packed("pid"), "radii": packed("radius"), "centres": joined("centre")})
+
+
+def _page_pairs(threshold: float):
+    """Pairs of blocks to pairs of pages (a <= b) that can hold a link, and whether all their vectors are linked."""
     limit = float(np.arccos(threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, weights = np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["weights_b"], dtype=np.int64)
-                apart = float(np.arccos(np.clip(np.frombuffer(r["centre"]) @ np.frombuffer(r["centre_b"]), -1, 1)))
-                reach = r["radius"] + r["radius_b"]
-                if apart + reach < limit - 1e-6:
-                    links = np.full(len(ids), weights.sum())
-                elif apart - reach > limit + 1e-6:
+                pa_, pb = (np.frombuffer(r[c], dtype=np.int64) for c in ("pages", "pages_b"))
+                ra, rb = (np.frombuffer(r[c]) for c in ("radii", "radii_b"))
+                ca, cb = (np.frombuffer(r[c]).reshape(n, -1) for c, n in (("centres", len(pa_)), ("centres_b", len(pb))))
+                apart, reach = np.arccos(np.clip(ca @ cb.T, -1, 1)), ra[:, None] + rb
+                near = apart - reach <= limit + 1e-6
+                if r["block"] == r["block_b"]:
+                    near &= pa_[:, None] <= pb
+                i, j = np.nonzero(near)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(pa_[i]), "b": pa.array(pb[j]), "whole": pa.array((apart + reach < limit - 1e-6)[i, j])})
+
+    return run
+
+
+def _page_links(threshold: float):
+    """Pairs of pages to (id, links), the weight of all in the other page that an id is linked with, and one (root, root_b) if any is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, y = (np.frombuffer(r[c]).reshape(-1, r["dim"]) for c in ("xs", "xs_b"))
+                sims = (x[:, None, :] * y[None]).sum(axis=2) if len(x) * len(y) < 4096 else x @ y.T
+                fine = sims >= threshold
+                if not fine.any():
                     continue
-                else:
-                    x, y = (np.frombuffer(r[c]).reshape(-1, r["dim"]) for c in ("xs", "xs_b"))
-                    sims = (x[:, None, :] * y[None]).sum(axis=2) if len(x) * len(y) < 4096 else x @ y.T
-                    links = (sims >= threshold) @ weights
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "links": pa.array(links.astype(np.int64))})
+                ids, weights, ids_b, weights_b = (np.frombuffer(r[c], dtype=np.int64) for c in ("ids", "weights", "ids_b", "weights_b"))
+                links = fine @ weights_b
+                if r["a"] != r["b"]:
+                    ids, links = np.concatenate([ids, ids_b]), np.concatenate([links, weights @ fine])
+                n = len(ids)
+                root, root_b = np.full(n, r["root"]), np.full(n, r["root_b"])
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "links": pa.array(links.astype(np.int64)), "root": pa.array(root), "root_b": pa.array(root_b)})
 
     return run
 
 
+def _paged(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Exact links among ``members`` (root, id, grp, weight, x): (id, links), each with its own weight in it, and links (a, b) between roots."""
+    sized = members.groupBy("grp", "root").agg(F.ceil(F.count("*") / PAGE_ROWS).alias("pages"))
+    dealt = members.join(sized, ["grp", "root"]).withColumn("page", F.pmod(F.xxhash64("id"), F.col("pages")))
+    # A page is named by its smallest id.
+    names = dealt.groupBy("grp", "root", "page").agg(F.min("id").alias("pid"))
+    pages = dealt.groupBy("grp", "root", "page").applyInArrow(_page, "grp string, root long, page long, dim int, radius double, centre binary, total long, ids binary, weights binary, xs binary")
+    pages = checkpointed(pages.join(names, ["grp", "root", "page"]))
+    counted = pages.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_PAGES).alias("blocks"))
+    heads = pages.select("grp", "pid", "radius", "centre").join(counted, "grp").withColumn("block", F.pmod(F.xxhash64("pid", F.lit("block")), F.col("blocks")))
+    blocks = checkpointed(heads.groupBy("grp", "block").applyInArrow(_block, "grp string, block long, pages binary, radii binary, centres binary"))
+    other = blocks.select("grp", *[F.col(c).alias(f"{c}_b") for c in ("block", "pages", "radii", "centres")])
+    pairs = checkpointed(blocks.join(other, "grp").filter("block <= block_b").drop("grp").mapInArrow(_page_pairs(threshold), "a long, b long, whole boolean"))
+    left = pages.select(F.col("pid").alias("a"), "dim", "root", "ids", "weights", "xs")
+    right = pages.select(F.col("pid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("root", "ids", "weights", "xs")])
+    open_links = checkpointed(pairs.filter("not whole").join(left, "a").join(right, "b").mapInArrow(_page_links(threshold), "id long, links long, root long, root_b long"))
+    whole = pairs.filter("whole")
+    ways = whole.select("a", "b").union(whole.filter("a != b").select("b", "a"))
+    totals = pages.select(F.col("pid").alias("b"), F.col("root").alias("root_b"), "total")
+    all_of = checkpointed(ways.join(totals, "b").join(pages.select(F.col("pid").alias("a"), "root"), "a").groupBy("a", "root", "root_b").agg(F.sum("total").alias("links")))
+    placed = dealt.select("grp", "root", "page", "id").join(names, ["grp", "root", "page"]).select("id", F.col("pid").alias("a"))
+    of_pages = placed.join(all_of.groupBy("a").agg(F.sum("links").alias("links")), "a").select("id", "links")
+    counts = open_links.select("id", "links").union(of_pages).groupBy("id").agg(F.sum("links").alias("links"))
+    across = open_links.select("root", "root_b").union(all_of.select("root", "root_b")).filter("root != root_b").select(F.col("root").alias("a"), F.col("root_b").alias("b")).distinct()
+    return counts, across
+
+
 def _audit(sample: dict[str, tuple[np.ndarray, np.ndarray]], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,17 +320,18 @@ def _audit(sample: dict[str, tuple[np.ndarray, np.ndarray]], threshold: float):
     return run
 
 
-def audit_recall(rows: DataFrame, graph_links: DataFrame, roots: DataFrame, threshold: float, size: int = AUDIT_ROWS) -> float:
-    """Share of the true links of a bounded sample that lie inside one found component; brute force against all rows."""
+def audit_recall(rows: DataFrame, links: DataFrame, paged: DataFrame, threshold: float, size: int = AUDIT_ROWS) -> float:
+    """Share of the true links of a bounded sample that were found: in ``links`` (u < v), or between two of ``paged`` (node), which are all compared. Brute force against all rows."""
     some = rows.select("id", "grp", "x", F.xxhash64("id", F.lit("audit")).alias("h")).orderBy("h", "id").limit(size).collect()
     sample: dict[str, list] = {}
     for r in some:
         sample.setdefault(r.grp, []).append((r.id, np.frombuffer(r.x)))
     packed = {g: (np.array([i for i, _ in v]), np.stack([x for _, x in v])) for g, v in sample.items()}
-    true = rows.select("id", "grp", "x").mapInArrow(_audit(packed, threshold), "u long, v long")
-    a = roots.select(F.col("node").alias("u"), F.col("root").alias("ru"))
-    b = roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    got = true.join(a, "u", "left").join(b, "v", "left").agg(F.count("*").alias("n"), F.count_if(F.col("ru") == F.col("rv")).alias("hit")).first()
+    true = rows.select("id", "grp", "x").mapInArrow(_audit(packed, threshold), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    found = links.select("u", "v", F.lit(True).alias("linked"))
+    a, b = (paged.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_paged")) for c in ("u", "v"))
+    hit = F.col("linked").isNotNull() | (F.col("u_paged").isNotNull() & F.col("v_paged").isNotNull())
+    got = true.join(found, ["u", "v"], "left").join(a, "u", "left").join(b, "v", "left").agg(F.count("*").alias("n"), F.count_if(hit).alias("hit")).first()
     return got.hit / got.n if got.n else 1.0
 
 
@@ -300,17 +361,18 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
         left, right = rows.select(F.col("id").alias("u"), F.col("x").alias("xu")), rows.select(F.col("id").alias("v"), F.col("x").alias("xv"))
         links = checkpointed(pairs.join(left, "u").join(right, "v").select("u", "v", "xu", "xv").mapInArrow(_confirm(threshold), "u long, v long"))
         roots = checkpointed(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
-        if attempt == EXTRA_ROUNDS or audit_recall(rows, links, roots, threshold) >= target_recall:
+        # Components with a saturated list get all their links from pages, the others have theirs in the graph.
+        full = graph.filter(F.col("s") >= close).groupBy("u").count().filter(F.col("count") >= neighbours).select(F.col("u").alias("node"))
+        full_roots = full.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
+        placed = rows.select("id", "grp", "weight", "x").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        members = checkpointed(placed.join(full_roots, "root", "left_semi"))
+        if audit_recall(rows, links, members.select(F.col("id").alias("node")), threshold) >= target_recall:
             break
-    # Components with a saturated list get all their links counted by pages, the others have theirs in the graph.
-    full = graph.filter(F.col("s") >= close).groupBy("u").count().filter(F.col("count") >= neighbours).select(F.col("u").alias("node"))
-    dense = roots.join(full, "node", "left_semi").select("root").distinct()
-    members = roots.join(dense, "root", "left_semi")
-    sized = members.groupBy("root").agg(F.ceil(F.count("*") / PAGE_ROWS).alias("pages"))
-    paged = members.join(sized, "root").join(rows, F.col("node") == rows.id).select("root", F.pmod(F.xxhash64("id"), F.col("pages")).alias("page"), "id", "weight", "x")
-    pages = checkpointed(paged.groupBy("root", "page").applyInArrow(_page, "root long, page long, dim int, radius double, centre binary, ids binary, weights binary, xs binary"))
-    other = pages.select("root", *[F.col(c).alias(f"{c}_b") for c in ("radius", "centre", "ids", "weights", "xs")])
-    dense_links = pages.join(other, "root").drop("root", "page", "weights").mapInArrow(_page_links(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    else:
+        members = checkpointed(placed)  # the graph misses too much: all rows of a label are compared
+    dense_links, across = _paged(members, threshold)
+    merged = components(across).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+    roots = placed.select(F.col("id").alias("node"), "root").join(merged, "root", "left").select("node", F.coalesce("new_root", "root").alias("root"))
     weights = rows.select(F.col("id").alias("v"), F.col("weight"))
     both = links.union(links.select("v", "u"))
     few_links = both.join(weights, "v").groupBy(F.col("u").alias("id")).agg(F.sum("weight").alias("links"))
