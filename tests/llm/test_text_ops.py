@@ -330,3 +330,18 @@ def test_viterbi_against_all_paths():
         if n:
             value = lambda p: m.prior[p[0]] + sum(scores[a + i, k] for i, k in enumerate(p)) - 1.5 * sum(x != y for x, y in zip(p, p[1:], strict=False))  # noqa: B023, E731
             assert value(tuple(path[a : a + n])) == pytest.approx(max(map(value, itertools.product(range(3), repeat=n))), abs=1e-4)
+
+
+def test_packing_added_tokens(spark, tmp_path):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end} x", "plain text", "", f"it{end}'s  {end}\u3000 é", "<|endoftext", f"x{end}"]
+    encoder = bpe.json_encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for chosen in (slice(None), slice(3, 5)):
+        ids, at = encoder([t.encode() for t in texts[chosen]])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want[chosen]
+    assert want[0] == [64, 220, 50256, 275]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.query(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(w) + 1, zlib.crc32(np.array([*w, 0], dtype="<u4").tobytes())) for i, w in enumerate(want)}

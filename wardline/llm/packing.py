@@ -42,9 +42,9 @@ GROUPS = (12, 36)
 SALTS = 64
 
 
-def _cutter(path: str, pattern: str, length: int, end_id: int, with_ids: bool):
+def _cutter(path: str, pattern: str, length: int, end_id: int, with_ids: bool, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = json_encoder(path, pattern)
+        encode = json_encoder(path, pattern, added)
         for batch, texts in slices(batches):
             ids, at = encode(texts)
             n = np.diff(at)
@@ -67,11 +67,11 @@ def _cutter(path: str, pattern: str, length: int, end_id: int, with_ids: bool):
     return run
 
 
-def tokenized(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def tokenized(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Pieces of at most ``length`` ids: doc_id, piece, start, length, ids_crc32 (and ids); only a first piece of a longer document is shorter."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cutter(path, public_tokenizers.PATTERN, length, end_id, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cutter(path, public_tokenizers.PATTERN, length, end_id, with_ids, added), schema)
 
 
 def _simplex(columns: list[np.ndarray], demand: np.ndarray, sizes: np.ndarray, room: int) -> dict[tuple[int, ...], float]:
@@ -282,16 +282,19 @@ def pack(pieces: DataFrame, room: int = SEQUENCE) -> DataFrame:
     return ranked.mapInArrow(_placer(heads, runs), schema)
 
 
-def pack_documents(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | None = None, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Tokenise and pack whole documents: one row per piece.
 
+    With ``added``, strings of the file's added tokens become their ids, as the
+    tokenizers library has it by default; else they are ordinary text.
+
     Null and empty texts are the end id alone. Longer documents are cut into
     pieces of ``length``, the first of which may be shorter. Repeated rows and
     rows without doc_id are packed like others. Empty table: no rows. Other
     columns are ignored.
     """
-    return pack(tokenized(docs, length, tokenizer, with_ids=with_ids), length)
+    return pack(tokenized(docs, length, tokenizer, with_ids=with_ids, added=added), length)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), added=True)
