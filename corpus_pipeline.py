@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be named; a missing lang is filled in. Texts without letters go."""
+    """Documents in a language that can be named; a missing lang is filled in. Texts without letters go, and those with hardly a word in a script that some language was learned with."""
     pred, share = fresh("lang_pred", docs), fresh("lang_score", docs)
     found = language_id.identify(docs, language_id.train(docs), spans=False, into=(pred, share))
     kept = found.filter((F.col(pred) != language_id.UNDETERMINED) & (F.col(share) >= language_id.ACCEPT))

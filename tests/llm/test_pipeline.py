@@ -39,6 +39,14 @@ def test_language_stage(spark, docs):
     assert kept.filter("lang IS NULL").count() == 0
 
 
+def test_language_stage_unlearned_script(spark, docs):
+    greek = "και το σκυλί είναι στο σπίτι με τη γάτα " * 8
+    rows = [(101, greek), (102, greek + "the end"), (103, "привет это собака " * 10), (104, "the cat was in the house and the dog " * 5 + greek)]
+    more = spark.createDataFrame([(i, t, None, "s", None, "x", "y") for i, t in rows], docs.schema)
+    kept = pipeline.language_stage(spark, docs.union(more), SF)
+    assert ids(kept) & {101, 102, 103, 104} == {104} and ids(docs) - ids(kept) == {60, 61, 62}
+
+
 def test_near_copy_stage(spark, docs):
     kept = ids(pipeline.near_copy_stage(spark, docs, SF))
     assert 0 in kept and 40 not in kept and 41 not in kept and 60 in kept and 61 not in kept and None not in kept

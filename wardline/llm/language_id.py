@@ -100,7 +100,8 @@ class Model:
     allowed: np.ndarray
     prior: np.ndarray
 
-    def word_scores(self, w: Words) -> np.ndarray:
+    def word_scores(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by word and language, and which words' scripts have a language at all."""
         cell, script = _cells(w)
         out = np.empty((len(w.starts), len(self.langs)), dtype=np.float32)
         for k in range(len(self.langs)):
@@ -110,7 +111,7 @@ class Model:
         out = np.where(fit, out, -np.inf)
         best = out.max(axis=1, keepdims=True)
         out = np.where(np.isfinite(best), out - best, 0)
-        return np.maximum(out, -WORD_NATS)
+        return np.maximum(out, -WORD_NATS), fit.any(axis=1)
 
     def paths(self, scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
         """The language number of each word on the best path of its document."""
@@ -140,12 +141,13 @@ class Model:
         return path
 
     def label(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, list[list[dict]]]:
-        """Language, share of its words, and spans (lang, first word, end) of each text."""
+        """Language, share of its words among all, and spans (lang, first word, end) of each text; words of a script without a language vote for none."""
         w = Words([letters_only(t) for t in texts])
-        path = self.paths(self.word_scores(w), w.first)
+        scores, covered = self.word_scores(w)
+        path = self.paths(scores, w.first)
         docs, n = len(texts), len(self.langs)
         doc = np.repeat(np.arange(docs), w.counts)
-        votes = np.bincount(doc * n + path, minlength=docs * n).reshape(docs, n)
+        votes = np.bincount((doc * n + path)[covered], minlength=docs * n).reshape(docs, n)
         best = (votes + self.prior * 1e-6).argmax(axis=1)
         # A text that opens and closes in one language is in that language and quotes the others.
         full = np.flatnonzero(w.counts)
@@ -218,8 +220,9 @@ def identify(docs: DataFrame, model: Model, spans: bool = True, into: tuple[str,
     """``docs`` with lang_pred, lang_score (share of words in that language) and lang_spans; one narrow pass.
 
     ``into`` renames them. Spans count words of letters from 0. Null and empty
-    texts and texts without a letter: ``und`` and score 0. A script that no
-    language was learned with tells nothing: the commonest language. Very long
+    texts and texts without a letter: ``und`` and score 0. Words of a script that
+    no language was learned with vote for none; a text of such words alone is
+    in the commonest language with score 0. Very long
     texts are read whole. Repeated rows stay and are labelled alike. Columns
     already called as the new ones are replaced. Empty table: no rows.
     """
