@@ -6,11 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Slices of a batch handed to numpy hold at most about this many bytes of text.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+
+#: Arrow batches of texts hold at most about this many bytes, in the JVM and in the worker.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -34,6 +39,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, with its session's Arrow batches held to ``BATCH_BYTES``: the default of 10,000 rows is too much where texts are long."""
+    conf = docs.sparkSession.conf
+    held = conf.get(_BATCH_SETTING, "64m").lower()
+    unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(held[-1], 1)
+    size = int(held.rstrip("bkmg") or 0) * unit
+    if size <= 0 or size > BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return docs
+
+
 def held_out(id_col: str, modulus: int, remainder: int):
     """crc32(id as text) mod ``modulus`` equals ``remainder``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder
@@ -42,17 +58,14 @@ def held_out(id_col: str, modulus: int, remainder: int):
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut batches so that a slice holds about ``limit`` bytes of text (one row at least); null texts become empty."""
     for batch in batches:
-        i = batch.schema.get_field_index(text)
-        texts = batch.column(i).cast(pa.large_binary()).to_pylist()
-        at, size = 0, 0
-        for k, x in enumerate(texts):
-            n = len(x) if x else 0
-            if k > at and size + n > limit:
-                yield batch.slice(at, k - at), [y or b"" for y in texts[at:k]]
-                at, size = k, 0
-            size += n
-        if len(texts) > at:
-            yield batch.slice(at), [y or b"" for y in texts[at:]]
+        column = batch.column(batch.schema.get_field_index(text))
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        at = 0
+        while at < len(column):
+            k = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
+            yield batch.slice(at, k - at), [x or b"" for x in column.slice(at, k - at).cast(pa.large_binary()).to_pylist()]
+            at = k
 
 
 class Words:
@@ -85,17 +98,12 @@ class Words:
 U = np.uint64
 _BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, size=256, dtype=np.uint64) | U(1)
-_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(size, base, dtype=np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS
+def _powers(base: int, n: int) -> np.ndarray:
+    x = np.full(n, base, dtype=np.uint64)
+    x[0] = 1
+    return np.cumprod(x, dtype=np.uint64, out=x)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,9 +117,12 @@ class Ranges:
     """64-bit hashes of byte ranges of one buffer, equal for equal bytes; callers confirm equality on the bytes."""
 
     def __init__(self, buf: np.ndarray):
-        power, self.inverse = _powers(len(buf) + 1)
+        weighted = _powers(_BASE, len(buf) + 1)[:-1]
+        weighted *= _BYTES[buf]
         self.sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[buf] * power[: len(buf)], out=self.sums[1:])
+        np.cumsum(weighted, out=self.sums[1:])
+        del weighted
+        self.inverse = _powers(_INVERSE, len(buf) + 1)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))

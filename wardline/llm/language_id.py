@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.common import Words, concat_ranges, held_out, slices
+from wardline.llm.common import Words, bounded, concat_ranges, held_out, slices
 from wardline.session import table
 
 TRAIN_DOCS = 20_000
 TABLE = 1 << 14
+#: Bytes of text labelled at once: a step of Viterbi costs the same for many texts as for few.
+BATCH_BYTES = 2_000_000
 SWITCH = 12.0
 #: A word is worth at most this many nats between two languages.
 WORD_NATS = 6.0
@@ -120,7 +122,7 @@ class Model:
         counts, head = counts[order], first[:-1][order]
         active = np.searchsorted(-counts, -np.arange(1, counts.max(initial=0) + 1), side="right")
         path = np.zeros(len(scores), dtype=np.int16)
-        back: list[tuple[np.ndarray, np.ndarray]] = []
+        stays, tops = np.empty(scores.shape, dtype=bool), np.empty(len(scores), dtype=np.int16)
         alpha = np.tile(self.prior, (len(counts), 1))
         for t, n in enumerate(active.tolist()):
             a = alpha[:n]
@@ -128,7 +130,7 @@ class Model:
                 top = a.argmax(axis=1)
                 jump = a[np.arange(n), top] - switch
                 stay = a >= jump[:, None]
-                back.append((stay, top))
+                stays[head[:n] + t], tops[head[:n] + t] = stay, top
                 a = np.where(stay, a, jump[:, None])
             alpha[:n] = a + scores[head[:n] + t]
         at = alpha.argmax(axis=1)
@@ -136,8 +138,8 @@ class Model:
             n = active[t]
             path[head[:n] + t] = at[:n]
             if t:
-                stay, top = back[t - 1]
-                at[:n] = np.where(stay[np.arange(n), at[:n]], at[:n], top)
+                word = head[:n] + t
+                at[:n] = np.where(stays[word, at[:n]], at[:n], tops[word])
         return path
 
     def label(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, list[list[dict]]]:
@@ -190,7 +192,7 @@ def _adder(t: pa.Table) -> pa.Table:
 
 def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Model:
     """Count trigrams of about ``rows`` documents with a lang, picked by a hash of their id; crc32(doc_id) mod 4 = 2 is never read."""
-    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 4, 2))
+    known = bounded(docs).select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 4, 2))
     share = min(1.0, rows / max(1, known.count()))
     some = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < int(share * (1 << 30))).select("lang", "text")
     got = some.mapInArrow(_counter, "lang string, row binary").groupBy("lang").applyInArrow(_adder, "lang string, row binary").collect()
@@ -206,7 +208,7 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Model:
 
 def _labeller(model: Model, spans: bool, names: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, limit=BATCH_BYTES):
             langs, share, found = model.label(texts)
             cols = [*batch.columns, pa.array(langs, pa.string()), pa.array(share, pa.float64())]
             if spans:
@@ -229,7 +231,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = True, into: tuple[str,
     span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     into = into[: 3 if spans else 2]
     new = [T.StructField(n, t) for n, t in zip(into, (T.StringType(), T.DoubleType(), T.ArrayType(span)), strict=False)]
-    docs = docs.drop(*into)
+    docs = bounded(docs).drop(*into)
     return docs.mapInArrow(_labeller(model, spans, into), T.StructType([*docs.schema.fields, *new]))
 
 

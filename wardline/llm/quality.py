@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.common import Ranges, Words, held_out, slices
+from wardline.llm.common import Ranges, Words, bounded, held_out, slices
 from wardline.session import table
 
 TRAIN_ROWS = 20_000
@@ -47,6 +47,14 @@ def _logit(x: np.ndarray) -> np.ndarray:
     return np.log(x / (1 - x))
 
 
+def _sums(flags: np.ndarray, heads: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """How many flags are set from each head to the next; 0 where ``some`` is not (nothing lies there)."""
+    out = np.zeros(len(heads))
+    if some.any():
+        out[some] = np.add.reduceat(flags, heads[some], dtype=np.int32)
+    return out
+
+
 def statistics(texts: list[bytes]) -> np.ndarray:
     """One row of transformed statistics per text; an empty text has those of no words."""
     w = Words(texts)
@@ -66,12 +74,9 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     mean = total / some
     put("mean_word", np.log1p(mean))
     put("spread_word", np.log1p(np.sqrt(np.maximum(per_doc(sizes * sizes) / some - mean * mean, 0))))
-    sums = {}
+    heads = np.append(w.starts, len(w.buf))[first[:-1]]
     for name, lut in CLASSES.items():
-        c = np.concatenate([[0], np.cumsum(lut[w.buf])])
-        sums[name] = c
-        count = c[w.ends] - c[w.starts]
-        put(name, _logit(per_doc(count) / np.maximum(total, 1)))
+        put(name, _logit(_sums(lut[w.buf], heads, n > 0) / np.maximum(total, 1)))
     h = Ranges(w.buf)(w.starts, w.ends) if len(w.starts) else np.empty(0, dtype=np.uint64)
     same = np.zeros(len(h))
     same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
@@ -80,19 +85,17 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (doc[1:] != doc[:-1])
     put("distinct", np.log1p(per_doc(new.astype(float))) / np.maximum(np.log1p(n), 1e-9))
-    heads = np.flatnonzero(new)
-    runs = np.diff(np.append(heads, len(h)))
+    firsts = np.flatnonzero(new)
     top = np.zeros(docs)
-    np.maximum.at(top, doc[heads], runs)
+    np.maximum.at(top, doc[firsts], np.diff(np.append(firsts, len(h))))
     put("top_word", _logit(top / some))
     put("short_word", _logit(per_doc(sizes <= 3) / some))
     put("long_word", _logit(per_doc(sizes >= 12) / some))
     last = w.buf[w.ends - 1] if len(w.ends) else np.empty(0, dtype=np.uint8)
     put("end_mark", _logit(per_doc(np.isin(last, list(b".!?"))) / some))
-    symbol = sums["symbol"]
-    put("symbol_word", _logit(per_doc((symbol[w.ends] - symbol[w.starts]) > 0) / some))
-    upper = sums["upper"]
-    put("capital_word", _logit(per_doc((upper[w.ends] - upper[w.starts]) > 1) / some))
+    per_word = lambda name: _sums(CLASSES[name][w.buf], w.starts, np.ones(len(w.starts), dtype=bool))
+    put("symbol_word", _logit(per_doc(per_word("symbol") > 0) / some))
+    put("capital_word", _logit(per_doc(per_word("upper") > 1) / some))
     lines = np.array([t.count(b"\n") + 1 for t in texts], dtype=float)
     put("line_words", np.log1p(n / lines))
     put("repeat_line", _logit(np.array([1 - len(set(x)) / len(x) for x in (t.split(b"\n") for t in texts)])))
@@ -168,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     share = min(1.0, rows / max(1, known.count()))
     # At most about TRAIN_ROWS pairs of numbers: small enough to broadcast whatever the tables' sizes.
     some = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("quality", "text")
+    text = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("quality", "text")
     got = text.mapInArrow(_vectors, "quality int, x binary").collect()
     x = np.stack([np.frombuffer(r.x) for r in got]) if got else np.zeros((0, len(STATISTICS)))
     return fit(x, np.array([r.quality for r in got], dtype=float))
@@ -189,7 +192,7 @@ def score(docs: DataFrame, model: Model, into: str = "quality_score") -> DataFra
     long texts are read whole. Repeated rows stay and score alike. A column
     already called ``into`` is replaced. Empty table: no rows.
     """
-    docs = docs.drop(into)
+    docs = bounded(docs).drop(into)
     return docs.mapInArrow(_scorer(model, "text", into), T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import U, checkpointed, concat_ranges, slices
+from wardline.llm.common import U, bounded, checkpointed, concat_ranges, slices
 from wardline.llm.components import components
 from wardline.session import table
 
@@ -69,7 +69,7 @@ def _fingerprinter(words: int, seed: int):
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, fp) with fp the fingerprint's 64 bits as a long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(_fingerprinter(words, seed), "doc_id long, fp long")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(_fingerprinter(words, seed), "doc_id long, fp long")
 
 
 def _ranges(bits: int, parts: int) -> list[tuple[int, int]]:

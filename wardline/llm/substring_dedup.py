@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import Ranges, U, Words, checkpointed, concat_ranges, fresh, mix, slices
+from wardline.llm.common import Ranges, U, Words, bounded, checkpointed, concat_ranges, fresh, mix, slices
 from wardline.session import table
 
 WINDOW_WORDS = 20
@@ -35,6 +35,8 @@ HOT_SHARE = 1e-4
 BUCKET_BYTES = 6 << 20
 #: A map task sends what it has gathered when this many bytes of packed strings wait.
 FLUSH_BYTES = 24 << 20
+#: Texts whose equal packed strings travel once.
+SLICE_BYTES = 2_000_000
 _LAST = U(1 << 63)
 
 
@@ -95,7 +97,7 @@ def common_groups(docs: DataFrame, m: int = MINIMISER_WORDS, share: float = HOT_
     The list has at most 1 / share entries whatever the corpus; it steers only
     how windows are dealt out, never which windows count as equal.
     """
-    found = docs.select("text").mapInArrow(_hot_counter(m, share), "g long, n long, size long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    found = bounded(docs).select("text").mapInArrow(_hot_counter(m, share), "g long, n long, size long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
     found = checkpointed(found)
     whole = found.filter("g = -1").first()
     n, size = (whole.n, whole["size"]) if whole else (0, 0)
@@ -150,7 +152,7 @@ def _splitter(k: int, m: int, hot: np.ndarray, buckets: int):
             keys = sorted(held)
             return pa.RecordBatch.from_pydict({"bucket": pa.array(keys, pa.int32()), "packed": pa.array([_pack(held[b]) for b in keys], pa.binary())})
 
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, limit=SLICE_BYTES):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             w = Words(texts)
             if len(w.starts) < k:
