@@ -22,8 +22,8 @@ from wardline.llm.common import concat_ranges
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[*range(0x09, 0x0E), 0x20]] = True
-#: Stretches a worker remembers; beyond, it starts anew. Memory stays at some 100 MB.
-REMEMBERED = 300_000
+#: Stretches a worker remembers; beyond, and at the end of a task, it starts anew. Memory stays at some 40 MB.
+REMEMBERED = 100_000
 
 
 class Encoder:
@@ -31,9 +31,9 @@ class Encoder:
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], remembered: int = REMEMBERED):
         self.encode, self.remembered = encode, remembered
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.sizes = np.zeros(1024, dtype=np.int64)
         self.heads = np.zeros(1024, dtype=np.int64)
@@ -59,7 +59,7 @@ class Encoder:
         """Ids of all texts in order, and where each text's begin (one more entry than texts)."""
         parts, which, counts = stretches(texts)
         if len(self.known) > self.remembered:
-            self._clear()
+            self.forget()
         new = [x for x in parts if x not in self.known]
         if new:
             self._learn(new)
@@ -78,6 +78,9 @@ class AddedTokens:
         # Of tokens that begin at one place the longest counts.
         self.places = re.compile(b"(" + b"|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + b")")
 
+    def forget(self) -> None:
+        self.encode.forget()
+
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         split = [self.places.split(t) for t in texts]
         if all(len(s) == 1 for s in split):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.bpe import json_encoder
-from wardline.llm.common import checkpointed, concat_ranges, slices
+from wardline.llm.common import bounded, checkpointed, concat_ranges, slices
 from wardline.session import table
 
 SEQUENCE = 2048
@@ -39,7 +39,9 @@ END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 EPSILONS = (0.25, 0.4)
 GROUPS = (12, 36)
-SALTS = 64
+#: Windows number at most about this many pieces each; at least ``SALTS`` of them a length.
+WINDOW_ROWS = 2_000_000
+SALTS, MOST_SALTS = 64, 4096
 
 
 def _cutter(path: str, pattern: str, length: int, end_id: int, with_ids: bool, added: bool):
@@ -63,6 +65,7 @@ def _cutter(path: str, pattern: str, length: int, end_id: int, with_ids: bool, a
             if with_ids:
                 cols["ids"] = pa.array([np.frombuffer(raw[a:b], dtype="<u4").astype(np.int32) for a, b in places], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(cols)
+        encode.forget()
 
     return run
 
@@ -71,7 +74,7 @@ def tokenized(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | None = N
     """Pieces of at most ``length`` ids: doc_id, piece, start, length, ids_crc32 (and ids); only a first piece of a longer document is shorter."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cutter(path, public_tokenizers.PATTERN, length, end_id, with_ids, added), schema)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cutter(path, public_tokenizers.PATTERN, length, end_id, with_ids, added), schema)
 
 
 def _simplex(columns: list[np.ndarray], demand: np.ndarray, sizes: np.ndarray, room: int) -> dict[tuple[int, ...], float]:
@@ -262,8 +265,13 @@ def pack(pieces: DataFrame, room: int = SEQUENCE) -> DataFrame:
 
     Offsets in a sequence are gapless from 0. No pieces: no rows.
     """
-    salted = checkpointed(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    # At most room x SALTS rows, whatever the corpus.
+    pieces = checkpointed(pieces)
+    # At most ``room`` rows. A length is dealt to as many windows as its pieces need.
+    sized = {r.length: max(SALTS, min(MOST_SALTS, -(-r.n // WINDOW_ROWS))) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    hot = [F.lit(x) for length, n in sized.items() if n > SALTS for x in (length, n)]
+    salts = F.coalesce(F.create_map(*hot)[F.col("length")], F.lit(SALTS)) if hot else F.lit(SALTS)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts).cast("int"))
+    # At most room x SALTS rows, and one more for each ``WINDOW_ROWS`` pieces, never over room x MOST_SALTS.
     found = sorted((r.length, r.salt, r.n) for r in salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect())
     heads: dict[tuple[int, int], int] = {}
     counts: dict[int, int] = defaultdict(int)
