@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import Ranges, U, Words, mix, slices
+from wardline.llm.common import Ranges, U, Words, bounded, mix, slices
 from wardline.session import table
 
 #: Base phrases and their labels.
@@ -75,7 +75,7 @@ def _emit(k: int):
             inside = np.flatnonzero(doc[: len(g)] == doc[k - 1 :]) if len(g) else np.zeros(0, dtype=np.int64)
             for i in range(0, len(inside), 100_000):
                 at = inside[i : i + 100_000]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(doc[at])), "pos": pa.array(pos[at].astype(np.int32)), "h": pa.array(g[at])})
+                yield pa.RecordBatch.from_pydict({"row": batch.column(0).take(pa.array(doc[at])), "pos": pa.array(pos[at].astype(np.int32)), "h": pa.array(g[at])})
 
     return run
 
@@ -112,7 +112,7 @@ def _verify(base: list[tuple[str, str]], statements: list[tuple[str, str]], k: i
         for template, group in groupby(votes, key=lambda v: v[0]):
             label, want = phrases[template]
             if template < nb:
-                hits = [d for _, d, _ in group if d >= 0 and words[d : d + len(want)] == want]
+                hits = [d for d in sorted({d for _, d, _ in group}) if d >= 0 and words[d : d + len(want)] == want]
                 if hits:
                     places += hits
                     labels.add(label)
@@ -149,21 +149,27 @@ def license_scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, statements
     n_base counts all places of base phrases; labels adds those of statements;
     score is 1 with a base phrase, else the best statement's share of words
     found, else 0. Null and empty texts: no words, empty labels, null places.
-    Repeated rows and rows without doc_id are scanned like others. Empty
-    table: no rows. Other columns are ignored.
+    Repeated rows and rows without doc_id are scanned like others, each for
+    itself. Very long texts are scanned whole. Statements that tie give all
+    their labels. Empty table: no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     templates = base + statements
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # A row's votes go by its id and text, so rows without id or with one id don't meet; what stands twice is voted on once.
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     places = spark.createDataFrame(_template_rows(templates, k), "h long, template int, place int")
     need = F.create_map(*[F.lit(x) for i, (_, t) in enumerate(templates) for x in (i, float(len(t.split()) - k + 1) * (1.0 if i < len(base) else VOTES))])
     # The templates are a fixed list of a few hundred pairs.
-    matches = rows.mapInArrow(_emit(k), "doc_id long, pos int, h long").join(F.broadcast(places), "h")
-    diagonals = matches.groupBy("doc_id", "template", (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.count("*").alias("votes"))
-    diagonals = diagonals.filter((F.col("template") >= len(base)) | (F.col("votes") >= need[F.col("template")]))
-    voted = diagonals.groupBy("doc_id", "template").agg(F.sum("votes").alias("n"), F.collect_list(F.struct("template", "diagonal", "votes")).alias("some")).filter(F.col("n") >= need[F.col("template")])
-    by_doc = voted.groupBy(F.col("doc_id").alias("voted_id")).agg(F.flatten(F.collect_list("some")).alias("votes"))
-    joined = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("voted_id")), "left").select("doc_id", "text", "votes")
+    matches = rows.select("row", "text").mapInArrow(_emit(k), "row long, pos int, h long").join(F.broadcast(places), "h")
+    # Places vote as bits, 64 of a template at a time.
+    part = F.shiftright("place", 6)
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63))))
+    diagonals = matches.groupBy("row", "template", (F.col("pos") - F.col("place")).alias("diagonal"), part.alias("part")).agg(F.bit_count(bits).cast("long").alias("votes"))
+    diagonals = diagonals.filter((F.col("template") >= len(base)) | (F.col("votes") >= F.least(need[F.col("template")] - 64 * F.col("part"), F.lit(64.0))))
+    voted = diagonals.groupBy("row", "template").agg(F.sum("votes").alias("n"), F.collect_list(F.struct("template", "diagonal", "votes")).alias("some")).filter(F.col("n") >= need[F.col("template")])
+    by_row = voted.groupBy("row").agg(F.flatten(F.collect_list("some")).alias("votes"))
+    joined = rows.join(by_row, "row", "left").select("doc_id", "text", "votes")
     return joined.mapInArrow(_verify(base, statements, k), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
