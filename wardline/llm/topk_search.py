@@ -11,8 +11,8 @@ pages and kept as one row. Queries travel in blocks of ``BLOCK``: first to one
 part of their own pivot, which gives a k-th score, then to the parts whose
 covering radius that score can't rule out. In a tree each query goes best
 first; stored distances to the parent skip children and rows before their own
-distance is computed. Queries are dealt to chunks of about ``CHUNK``; a part
-meets one chunk at a time, so memory does not grow with either table.
+distance is computed. Blocks and trees meet in a sort-merge join on the part,
+one block at a time, so memory does not grow with either table.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ MAX_PIVOTS = 1024
 PART_ROWS = 4096
 PAGE = 64
 BLOCK = 256
-CHUNK = 50_000
 _LONG = 2**63 - 1
 
 
@@ -217,18 +216,20 @@ def _blocks(pivots, spread, block: int, first: bool):
 
 
 def _search(k: int):
-    def run(trees: pa.Table, blocks: pa.Table) -> pa.Table:
-        who, found, scores = [], [], []
-        if len(trees):
-            tree = pickle.loads(trees.column("tree")[0].as_py())
-            for block in blocks.column("block"):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tree = None, None
+        for batch in batches:
+            who, found, scores = [], [], []
+            for part, block, packed in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if part != now:  # rows come by part
+                    now, tree = part, pickle.loads(packed.as_py())
                 ids, v, floors = pickle.loads(block.as_py())
                 for own, q, floor in zip(ids.tolist(), v, floors, strict=True):
                     a, b = tree.search(q, own, k, floor)
                     who += [own] * len(a)
                     found += a
                     scores += b
-        return pa.table({"query_id": pa.array(who, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(scores, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(who, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(scores, pa.int64())})
 
     return run
 
@@ -264,12 +265,11 @@ def topk_search(vectors: DataFrame, is_query, k: int = K, scale: float = SCALE,
     key = F.concat_ws(":", "dim", "pivot")
     index = checkpointed(assigned.withColumn("part", F.concat_ws(":", key, F.pmod(F.xxhash64("vec_id"), salts[key]))).groupBy("part").applyInArrow(_index(pivots, page), "part string, tree binary"))
     queries = checkpointed(parsed.filter("is_query").select("vec_id", "embedding").mapInArrow(_parse(scale), "vec_id long, dim int, v binary, sq double").select("vec_id", "dim", "v").distinct())
-    chunks = max(1, -(-queries.count() // CHUNK))
 
     def visit(blocks: DataFrame) -> DataFrame:
-        right = blocks.withColumn("chunk", F.pmod(F.xxhash64("block"), F.lit(chunks)).cast("int"))
-        left = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        return left.groupBy("part", "chunk").cogroup(right.groupBy("part", "chunk")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+        # Each tree is shuffled once; a part that many blocks visit is split by its blocks (skew join).
+        met = blocks.hint("merge").join(index, "part").select("part", "block", "tree")
+        return met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
 
     near = checkpointed(visit(queries.mapInArrow(_blocks(pivots, spread, block, True), "part string, block binary")))
     floors = near.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
