@@ -256,6 +256,14 @@ def _page_pairs(threshold: float):
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x and y are linked; what a matrix product leaves in doubt is summed as ``_confirm`` does."""
+    sims = x @ y.T
+    i, j = np.nonzero(np.abs(sims - threshold) < 1e-9)
+    sims[i, j] = (x[i] * y[j]).sum(axis=1)
+    return sims >= threshold
+
+
 def _page_links(threshold: float):
     """Pairs of pages to (id, links), the weight of all in the other page that an id is linked with, and one (root, root_b) if any is."""
 
@@ -263,8 +271,7 @@ def _page_links(threshold: float):
         for batch in batches:
             for r in batch.to_pylist():
                 x, y = (np.frombuffer(r[c]).reshape(-1, r["dim"]) for c in ("xs", "xs_b"))
-                sims = (x[:, None, :] * y[None]).sum(axis=2) if len(x) * len(y) < 4096 else x @ y.T
-                fine = sims >= threshold
+                fine = _linked(x, y, threshold)
                 if not fine.any():
                     continue
                 ids, weights, ids_b, weights_b = (np.frombuffer(r[c], dtype=np.int64) for c in ("ids", "weights", "ids_b", "weights_b"))
