@@ -3,8 +3,9 @@
 Records of one user with the same type and code (or first 50 characters of
 text) form a bucket; pairs are an equi-join on the bucket with an order
 condition, never a nested loop over records. A bucket of n records has n(n-1)/2
-pairs by definition of the scan; large buckets are cut by day windows first
-where ``within_days`` is given, since pairs more than 7 days apart lose 0.35.
+pairs by definition of the scan. Where only scores above 0.70 count, ``pairs``
+can leave out those more than 7 days apart (``within_days``), since they score
+0.70 at most: the join then meets days by week, so a hot bucket is cut.
 """
 
 from __future__ import annotations
@@ -39,10 +40,24 @@ def _side(df: DataFrame, name: str) -> DataFrame:
     return df.select(*keep, *[F.col(c).alias(f"{c}_{name}") for c in df.columns if c not in keep])
 
 
-def pairs(df: DataFrame) -> DataFrame:
-    """All pairs inside a bucket, the earlier record as a."""
+def pairs(df: DataFrame, within_days: int | None = None) -> DataFrame:
+    """Pairs inside a bucket, the earlier record as a; with ``within_days`` only those no further apart, or with an undated record."""
     p = _prepared(df)
-    return _side(p, "a").join(_side(p, "b"), ["user_id", "record_type", "bucket"]).filter(F.col("place_a") < F.col("place_b"))
+    if within_days is None:
+        return _side(p, "a").join(_side(p, "b"), ["user_id", "record_type", "bucket"]).filter(F.col("place_a") < F.col("place_b"))
+    span = within_days * 86_400_000_000
+    at = F.unix_micros(F.col("effective_date").cast("timestamp"))
+    week = F.floor(at / span)
+    keys = ["user_id", "record_type", "bucket", "slot"]
+    dated = p.filter("effective_date IS NOT NULL")
+    a = _side(dated.withColumn("slot", week), "a").withColumnRenamed("slot_a", "slot")
+    # A later record within reach lies in the same slot or the next.
+    b = _side(dated.withColumn("slot", F.explode(F.array(week, week - 1))), "b").withColumnRenamed("slot_b", "slot")
+    gap = F.timestamp_diff("MICROSECOND", F.col("effective_date_a"), F.col("effective_date_b"))
+    near = a.join(b, keys).filter((F.col("place_a") < F.col("place_b")) & (gap <= span)).drop("slot")
+    # Undated records come last in the scan order and meet all others of their bucket.
+    undated = _side(p, "a").join(_side(p.filter("effective_date IS NULL"), "b"), keys[:3]).filter(F.col("place_a") < F.col("place_b"))
+    return near.unionByName(undated)
 
 
 def pairs_between(new: DataFrame, existing: DataFrame) -> DataFrame:

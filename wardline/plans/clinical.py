@@ -314,7 +314,7 @@ FROM lineitem WHERE l_partkey % 11 <> 0 GROUP BY ALL
 
 def q_encounter_people(spark, sf_dir):
     """Bundles of orders and their suppliers: names of those an encounter refers to, filled in from the bundle."""
-    l = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "l_suppkey")
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     person = F.struct(F.when(F.col("l_linenumber") == 2, F.lit("On call")).alias("display"), F.concat(F.lit("Practitioner/"), F.col("l_suppkey").cast("string")).alias("reference"))
     who = F.struct(F.lit("Practitioner").alias("resourceType"), F.col("l_suppkey").cast("string").alias("id"), F.array(F.struct(F.col("s_name").alias("text"))).alias("name"))
@@ -327,7 +327,7 @@ def q_encounter_people(spark, sf_dir):
 
 
 PEOPLE_SQL = """
-WITH x AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber = 2 THEN 'On call' WHEN l_suppkey % 4 <> 0 THEN s_name END AS who FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber <= 3)
+WITH x AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber = 2 THEN 'On call' WHEN l_suppkey % 4 <> 0 THEN s_name END AS who FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey)
 SELECT l_orderkey, string_agg(coalesce(who, '?'), '|' ORDER BY l_linenumber, l_suppkey) AS people FROM x GROUP BY 1
 """
 

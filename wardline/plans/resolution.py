@@ -81,7 +81,21 @@ def q_undone(spark, sf_dir):
 
 
 def q_greedy(spark, sf_dir):
-    return R.greedy_merges(_scored(spark, sf_dir), threshold=0.9)
+    return R.greedy_merges(R.score(R.pairs(active(records(spark, sf_dir)), within_days=7)), threshold=0.9)
+
+
+#: The pairs at the threshold of a bucket, folded in scan order.
+GREEDY_SQL = SCAN_SQL + """, hit AS (
+  SELECT s.user_id, s.record_type, s.bucket, list({'a': id_a, 'b': id_b, 's': score, 'gone': []::BIGINT[], 'merges': []::STRUCT(a BIGINT, b BIGINT, s DOUBLE)[]}
+    ORDER BY a.effective_date NULLS LAST, id_a, b.effective_date NULLS LAST, id_b) AS pairs
+  FROM scored s JOIN active a ON a.id = id_a JOIN active b ON b.id = id_b WHERE score >= 0.9 GROUP BY 1, 2, 3
+), walked AS (
+  SELECT list_reduce(list_prepend({'a': 0::BIGINT, 'b': 0::BIGINT, 's': 0.0::DOUBLE, 'gone': []::BIGINT[], 'merges': []::STRUCT(a BIGINT, b BIGINT, s DOUBLE)[]}, pairs), lambda w, x: {'a': x.a, 'b': x.b, 's': x.s,
+    'gone': CASE WHEN list_contains(w.gone, x.a) OR list_contains(w.gone, x.b) THEN w.gone ELSE list_append(w.gone, x.b) END,
+    'merges': CASE WHEN list_contains(w.gone, x.a) OR list_contains(w.gone, x.b) THEN w.merges ELSE list_append(w.merges, {'a': x.a, 'b': x.b, 's': x.s}) END}).merges AS merges FROM hit
+), m AS (SELECT unnest(merges) AS m FROM walked)
+SELECT m.a AS primary_id, m.b AS secondary_id, m.s AS score FROM m
+"""
 
 
 def q_unknown_pairs(spark, sf_dir):
@@ -297,7 +311,7 @@ QUERIES = {
     "q23_dedup_summary": (q_summary, DECIDED_SQL + " SELECT record_type, count(*) AS n_pairs, count(*) FILTER (WHERE decision = 'merge') AS n_merge, count(*) FILTER (WHERE decision = 'dismiss') AS n_dismiss, count(*) FILTER (WHERE decision = 'pending') AS n_pending, count(*) FILTER (WHERE decision <> 'pending') AS n_auto FROM decided GROUP BY 1"),
     "q24_apply_merges": (q_merged, BEST_SQL + " SELECT id, is_duplicate OR primary_id IS NOT NULL AS is_duplicate, primary_id AS merged_into_id FROM active LEFT JOIN best ON id = secondary_id"),
     "q25_undo_merges": (q_undone, f"WITH {RECORDS_SQL} SELECT id, is_duplicate, CAST(NULL AS BIGINT) AS merged_into_id, display_text FROM active"),
-    "q26_greedy_merges": (q_greedy, None),
+    "q26_greedy_merges": (q_greedy, GREEDY_SQL),
     "q27_unknown_pairs": (q_unknown_pairs, SCAN_SQL + " SELECT user_id, count(*) AS n FROM scored WHERE (id_a + id_b) % 3 <> 0 GROUP BY 1"),
     "q28_bulk_resolve": (q_bulk, SCAN_SQL + " SELECT CASE WHEN round_even(score * 100, 0) >= 60 AND round_even(score * 100, 0) < 80 THEN 'dismissed' ELSE 'pending' END AS status, count(*) AS n FROM scored WHERE score >= 0.5 GROUP BY 1"),
     "q29_review_page": (q_review_page, SCAN_SQL + ", placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, id_a, id_b) AS place FROM scored WHERE score >= 0.5) SELECT p.user_id, place, id_a, id_b, a.display_text AS text_a, b.display_text AS text_b, a.source_format AS format_a, b.source_format AS format_b FROM placed p JOIN active a ON a.id = id_a JOIN active b ON b.id = id_b WHERE place <= 20"),

@@ -17,7 +17,8 @@ from wardline.session import table
 def q_phi_report(spark, sf_dir):
     """How many identifiers of each kind all documents hold, and in how many documents."""
     d = scrub_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = d.select("doc_id", F.explode("counts").alias("kind", "n"))
+    # Outer, or else the optimizer scrubs once more to leave out documents without a find.
+    found = d.select("doc_id", F.explode_outer("counts").alias("kind", "n")).filter("kind IS NOT NULL")
     return found.groupBy("kind").agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("n_docs"))
 
 
@@ -138,20 +139,36 @@ SELECT CASE WHEN id % 3 = 2 THEN 'Clinic ' || (id % 7) WHEN source_format = 'fhi
 """
 
 
+HOUR, LIMIT = 3_600_000_000, 3
+
+
 def q_rate_limit(spark, sf_dir):
-    """Events a per-user limit of 3 an hour lets through: refused ones do not count, so each user's events are walked in order."""
+    """Events a per-user limit of 3 an hour lets through: refused ones do not count.
+
+    A gap of an hour forgets all, so a user's events are cut there and each
+    part is folded in order by itself.
+    """
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    order = Window.partitionBy("user_id").orderBy("us", "event_id")
+    cut = e.withColumn("new", F.coalesce(F.col("us") - F.lag("us").over(order) >= HOUR, F.lit(True)).cast("int")).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def walk(pdf):
-        pdf, recent, fine = pdf.sort_values(["us", "event_id"]), [], []
-        for t in pdf.us:
-            recent = [x for x in recent if x > t - 3_600_000_000]
-            fine.append(len(recent) < 3)
-            if fine[-1]:
-                recent.append(t)
-        return pdf.assign(allowed=fine)[["user_id", "event_id", "allowed"]]
+    def step(state, event):
+        recent = F.filter(state["recent"], lambda t: t > event["us"] - HOUR)
+        fine = F.size(recent) < LIMIT
+        return F.struct(F.when(fine, F.concat(recent, F.array(event["us"]))).otherwise(recent).alias("recent"), (state["n"] + fine.cast("long")).alias("n"))
 
-    return e.groupBy("user_id").applyInPandas(walk, "user_id long, event_id long, allowed boolean").groupBy("user_id").agg(F.count_if("allowed").alias("n_allowed"), F.count("*").alias("n"))
+    begin = F.struct(F.array().cast("array<bigint>").alias("recent"), F.lit(0).cast("long").alias("n"))
+    parts = cut.groupBy("user_id", "part").agg(F.sort_array(F.collect_list(F.struct("us", "event_id"))).alias("x"))
+    return parts.groupBy("user_id").agg(F.sum(F.aggregate("x", begin, step, lambda s: s["n"])).alias("n_allowed"), F.sum(F.size("x")).cast("long").alias("n"))
+
+
+RATE_SQL = f"""
+WITH x AS (SELECT user_id, list({{'us': epoch_us(ts), 'recent': []::BIGINT[], 'n': 0::BIGINT}} ORDER BY ts, event_id) AS events FROM events GROUP BY user_id)
+SELECT user_id, list_reduce(list_prepend({{'us': 0::BIGINT, 'recent': []::BIGINT[], 'n': 0::BIGINT}}, events), lambda s, e: {{'us': e.us,
+    'recent': CASE WHEN len(list_filter(s.recent, lambda t: t > e.us - {HOUR})) < {LIMIT} THEN list_append(list_filter(s.recent, lambda t: t > e.us - {HOUR}), e.us) ELSE list_filter(s.recent, lambda t: t > e.us - {HOUR}) END,
+    'n': s.n + CASE WHEN len(list_filter(s.recent, lambda t: t > e.us - {HOUR})) < {LIMIT} THEN 1 ELSE 0 END}}).n AS n_allowed, len(events) AS n
+FROM x
+"""
 
 
 def q_encounter_links(spark, sf_dir):
@@ -167,8 +184,8 @@ SELECT d.id, e.encounter FROM d LEFT JOIN e USING (user_id, day) WHERE d.record_
 """
 
 
-def _phi_sql() -> str:
-    """The same fold over text whose letters outside ASCII are plain ones, since the oracle's word edges know ASCII only."""
+def _phi_steps() -> tuple[str, str, list[tuple[str, str]]]:
+    """CTEs, the last one's name and (kind, count column): the same fold over text whose letters outside ASCII are plain ones, since the oracle's word edges know ASCII only."""
     expr, counts = "regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g')", []
     from wardline.functions.deident import AGES, DATES
 
@@ -180,15 +197,44 @@ def _phi_sql() -> str:
         ctes.append(f"s{i} AS (SELECT doc_id, {carried + ', ' if carried else ''}len(regexp_extract_all(t, '{quote(p)}')) AS n{i}, regexp_replace(t, '{quote(p)}', '{t}', 'g') AS t FROM {source})")
         source = f"s{i}"
         counts.append((k, f"n{i}"))
+    return ", ".join(ctes), source, counts
+
+
+def _phi_sql() -> str:
+    ctes, source, counts = _phi_steps()
     parts = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {n} AS n FROM {source}" for k, n in counts)
-    return f"WITH {', '.join(ctes)}, kinds AS ({parts}), per AS (SELECT doc_id, kind, sum(n) AS n FROM kinds GROUP BY 1, 2) SELECT kind, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_docs FROM per WHERE n > 0 GROUP BY kind"
+    return f"WITH {ctes}, kinds AS ({parts}), per AS (SELECT doc_id, kind, sum(n) AS n FROM kinds GROUP BY 1, 2) SELECT kind, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_docs FROM per WHERE n > 0 GROUP BY kind"
+
+
+def _scrubbed_sql() -> str:
+    ctes, source, counts = _phi_steps()
+    return f"WITH {ctes} SELECT doc_id, length(t) AS chars, CAST({' + '.join(n for _, n in counts)} AS BIGINT) AS n_found FROM {source}"
+
+
+#: Documents without headings are one section; its parts are folded into chunks, and those into packed ones.
+CHUNKS_SQL = r"""
+WITH d AS (SELECT doc_id, text, contains(text, chr(10) || chr(10)) AS paged FROM documents WHERE text <> ''),
+parts AS (SELECT doc_id, text, CASE WHEN paged THEN chr(10) || chr(10) ELSE ' ' END AS glue, CASE WHEN paged THEN string_split(text, chr(10) || chr(10)) ELSE string_split(replace(text, '. ', '.' || chr(10)), chr(10)) END AS parts FROM d),
+folded AS (
+  SELECT doc_id, text, list_reduce(list_prepend({'part': '', 'glue': '', 'chunks': []::VARCHAR[], 'now': ''}, list_transform(parts, lambda p: {'part': p, 'glue': glue, 'chunks': []::VARCHAR[], 'now': ''})),
+    lambda s, x: {'part': '', 'glue': '', 'chunks': CASE WHEN s.now <> '' AND length(s.now || x.glue || x.part) > 2000 THEN list_append(s.chunks, s.now) ELSE s.chunks END,
+      'now': CASE WHEN s.now = '' THEN x.part WHEN length(s.now || x.glue || x.part) > 2000 THEN right(s.now, 200) || x.glue || x.part ELSE s.now || x.glue || x.part END}) AS f
+  FROM parts
+), chunked AS (SELECT doc_id, CASE WHEN length(text) <= 2000 THEN [text] WHEN f.now <> '' THEN list_append(f.chunks, f.now) ELSE f.chunks END AS chunks FROM folded),
+packed AS (
+  SELECT doc_id, list_filter(list_reduce(list_prepend({'chunk': '', 'done': []::VARCHAR[]}, list_transform(chunks, lambda c: {'chunk': c, 'done': []::VARCHAR[]})),
+    lambda s, x: {'chunk': '', 'done': CASE WHEN len(s.done) > 0 AND s.done[-1] <> '' AND length(s.done[-1]) + length(x.chunk) + 1 <= 2000 THEN list_append(s.done[:-2], s.done[-1] || chr(10) || x.chunk) ELSE list_append(s.done, x.chunk) END}).done, lambda c: c <> '') AS chunks
+  FROM chunked
+)
+SELECT doc_id, CAST(unnest(range(0, len(chunks))) AS INTEGER) AS chunk_no, 'other' AS section_type, CAST(unnest(list_transform(chunks, lambda c: length(c))) AS BIGINT) AS chars FROM packed
+"""
 
 
 QUERIES = {
     "q50_phi_report": (q_phi_report, _phi_sql()),
-    "q51_scrubbed_texts": (q_scrubbed, None),
+    "q51_scrubbed_texts": (q_scrubbed, _scrubbed_sql()),
     "q52_content_groups": (q_content_groups, "SELECT sha256(text) AS content_hash, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1"),
-    "q53_chunks": (q_chunks, None),
+    "q53_chunks": (q_chunks, CHUNKS_SQL),
     "q54_conversation_text": (q_conversation_text, CONVERSATION_SQL),
     "q55_page_titles": (q_page_titles, PAGES_SQL),
     "q56_scorer": (q_scorer, SCORER_SQL),
@@ -196,6 +242,6 @@ QUERIES = {
     "q58_terms": (q_terms, TERMS_SQL),
     "q59_fhir_projection": (q_fhir_projection, FHIR_SQL),
     "q60_source_labels": (q_source_labels, LABELS_SQL),
-    "q61_rate_limit": (q_rate_limit, None),
+    "q61_rate_limit": (q_rate_limit, RATE_SQL),
     "q62_encounter_links": (q_encounter_links, ENCOUNTER_SQL),
 }
