@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions import resources
 from wardline.functions.clinical import parse_dosage
 from wardline.functions.fhir import bound
 
@@ -27,6 +28,21 @@ DONE_STATUSES = ["completed", "performed", "done", "historical", "resolved", "fi
 UNIT_WORDS = ["mg", "mcg", "ug", "g", "kg", "lb", "lbs", "oz", "ml", "l", "dl", "mmhg", "bpm", "mm", "cm", "m", "in", "ft", "iu", "meq", "mmol", "mol", "ng", "pg", "u", "units", "unit", "kcal", "cal", "bmi", "f", "c", "percent", "pct"]
 NO_DRUGS = ["ppi", "ppis", "ldn", "nsaid", "nsaids", "ssri", "ssris", "snri", "snris", "ace", "acei", "aceis", "arb", "arbs", "tca", "tcas", "maoi", "maois", "bb", "ccb", "dmard", "dmards", "otc", "prn", "ic", "go", "iv", "po", "im", "sq", "bid", "tid", "qid", "qhs", "qd", "tab", "tabs", "cap", "caps", "rx", "med", "meds", "drug", "drugs"]
 LIFESTYLE = ["exercise", "diet", "alcohol", "tobacco", "smoking", "smoke", "caffeine", "sleep", "drugs", "substance", "activity", "nutrition", "recreational drugs", "physical activity"]
+#: Verbs that open advice rather than history.
+DIRECTIVES = "avoid increase decrease reduce stop quit limit continue maintain start begin recommend recommended consider discuss encourage advise advised counsel cut eliminate abstain minimize follow".split()
+#: Words and phrases of occupations, hobbies and food, which are no measurements.
+OCCUPATION = "occupation accountant attorney lawyer analyst engineer manager consultant teacher professor developer programmer technician administrator executive director clerk cashier secretary salesman saleswoman salesperson electrician plumber carpenter mechanic chef waiter waitress pilot architect scientist researcher contractor realtor banker broker designer writer editor journalist retired unemployed homemaker student employed businessman businesswoman business".split()
+OCCUPATION_PHRASES = ["works as", "occupation is", "job title", "self employed", "employed as", "business owner", "stay at home"]
+HOBBY = "tennis golf golfer soccer basketball baseball football hockey yoga pilates crossfit marathon triathlon skiing snowboarding surfing gardening fishing hunting athlete weightlifting bodybuilding jogging cycling avid player hobby hobbies".split()
+HOBBY_PHRASES = ["weight lifting", "weight training", "lifts weights", "plays tennis", "plays golf", "works out", "tennis player", "martial arts", "rock climbing"]
+FOOD = "diet fodmap vegetarian vegan pescatarian keto ketogenic paleo spicy coffee snacks snacking food foods".split()
+FOOD_PHRASES = ["low fodmap", "gluten free", "dairy free", "low carb", "low fat", "acidic foods", "acidic food", "spicy foods", "fatty foods", "intermittent fasting", "food preference", "food preferences", "small frequent meals", "balanced diet"]
+#: Words of substance use, words that make it a status, and how long commentary without one is.
+SUBSTANCE = "smoke smoking smoker smokes tobacco cigarette cigarettes cigar cigars vape vapes vaping nicotine marijuana cannabis".split()
+SUBSTANCE_STATUS = "former never current currently non ex active social occasional occasionally heavy light daily denies denied quit none history past prior pack packs ppd year years use used status".split()
+COMMENTARY_WORDS = 4
+#: Supplements, letters and digits only.
+SUPPLEMENTS = "b1 b2 b3 b5 b6 b7 b9 b12 bcomplex thiamine riboflavin niacin biotin folate folicacid cobalamin cyanocobalamin d2 d3 k1 k2 ascorbicacid iron ferroussulfate ironsulfate magnesium magnesiumoxide zinc calcium potassium selenium chromium iodine coq10 coenzymeq10 omega3 omega6 fishoil melatonin probiotic multivitamin glucosamine creatine".split()
 #: Words of interpretation, and their codes.
 INTERPRETATIONS = {"critical high": "HH", "critical low": "LL", "abnormal": "A", "normal": "N", "positive": "POS", "negative": "NEG", "high": "H", "low": "L", "wnl": "N"}
 
@@ -82,72 +98,116 @@ def is_vaccine(s: Column) -> Column:
     return F.coalesce(s.rlike(rf"(?i)\b({VACCINES})\b"), F.lit(False))
 
 
+LABEL = r"(?s)^\s*([A-Za-z][A-Za-z /]*?)\s*:\s*(.*)$"
+
+
+def _label(text: Column) -> Column:
+    return F.lower(_some(F.regexp_extract(text, LABEL, 1)))
+
+
+def _is_lifestyle(text: Column) -> Column:
+    return F.coalesce(_label(text).isin(*LIFESTYLE), F.lit(False))
+
+
 def entity_class(cls: Column, text: Column) -> Column:
     """The class after reclassification: vaccines among drugs and procedures, lifestyle labels among measurements."""
-    label = F.lower(_some(F.regexp_extract(text, r"^\s*([A-Za-z][A-Za-z /]*?)\s*:", 1)))
-    return F.when(cls.isin("medication", "procedure") & is_vaccine(text), "immunization").when(cls.isin("observation", "lab_result", "vital") & F.coalesce(label.isin(*LIFESTYLE), F.lit(False)), "social_history").otherwise(cls)
+    return F.when(cls.isin("medication", "procedure") & is_vaccine(text), "immunization").when(cls.isin("observation", "lab_result", "vital") & _is_lifestyle(text), "social_history").otherwise(cls)
+
+
+def is_directive(text: Column) -> Column:
+    """Advice: what stands after a label, or else the text, opens with such a verb."""
+    said = F.when(_label(text).isNotNull(), F.regexp_extract(text, LABEL, 2)).otherwise(text)
+    first = F.lower(F.regexp_replace(F.substring_index(F.trim(said), " ", 1), "[^A-Za-z]", ""))
+    return F.coalesce(first.isin(*DIRECTIVES), F.lit(False))
+
+
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def _has_word(plain: Column, words: list[str]) -> Column:
+    return F.arrays_overlap(F.split(plain, " "), F.array(*[F.lit(w) for w in words]))
+
+
+def is_lifestyle_noise(text: Column) -> Column:
+    """Occupation, hobby or food told without a number."""
+    plain = _plain(text)
+    padded = F.concat(F.lit(" "), plain, F.lit(" "))
+    phrases = [f" {p} " for p in OCCUPATION_PHRASES + HOBBY_PHRASES + FOOD_PHRASES]
+    return ~F.coalesce(text.rlike(r"\d"), F.lit(False)) & (_has_word(plain, OCCUPATION + HOBBY + FOOD) | _any(padded, phrases))
+
+
+def is_substance_commentary(text: Column) -> Column:
+    """Four words or more about substance use with neither a status nor a number."""
+    plain = _plain(text)
+    return ~F.coalesce(text.rlike(r"\d"), F.lit(False)) & _has_word(plain, SUBSTANCE) & ~_has_word(plain, SUBSTANCE_STATUS) & (F.size(F.split(plain, " ")) >= COMMENTARY_WORDS)
 
 
 def procedure_happened(text: Column, context: Column, status: Column) -> Column:
-    """Whether a procedure was done: by status, words, or a surgical name, unless it is only planned."""
-    around = F.lower(F.concat_ws(" ", text, context))
-    done = F.coalesce(F.lower(status).isin(*DONE_STATUSES), F.lit(False)) | _any(around, PERFORMED)
+    """Whether a procedure was done: not if words plan or advise it; else by a year, status, words or a surgical name."""
+    whole = F.concat_ws(" ", text, context, status)
+    around = F.lower(whole)
     surgical = F.coalesce(text.rlike(r"(?i)\w+(ectomy|otomy|ostomy|oplasty|plasty)\b"), F.lit(False))
-    return done | (surgical & ~_any(around, PLANNED))
+    done = F.coalesce(F.lower(status).isin(*DONE_STATUSES), F.lit(False)) | _any(around, PERFORMED) | whole.rlike(r"\b(?:19|20)\d{2}\b") | surgical
+    return done & ~_any(around, PLANNED)
 
 
 def is_fragment(text: Column) -> Column:
-    """A value without an analyte: numbers, and no words but units."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z/]+", " "), " "), lambda w: w != "")
-    return text.rlike(r"\d") & (F.size(F.filter(words, lambda w: ~F.regexp_replace(w, "/", "").isin(*UNIT_WORDS) & ~F.forall(F.split(w, "/"), lambda p: (p == "") | p.isin(*UNIT_WORDS)))) == 0)
+    """A value without an analyte: a digit or inch mark, and no words but units; blank text too."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Za-z]+)"))
+    named = F.exists(words, lambda w: ~F.lower(w).isin(*UNIT_WORDS))
+    return _some(text).isNull() | (~named & text.rlike("[\\d'\"]"))
 
 
 def is_drug_name(text: Column) -> Column:
-    """Not a class abbreviation, a bare letter, or one letter with digits that is no vitamin."""
-    plain = F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
-    vitamin = plain.rlike(r"^(b([1-3]|[5-7]|9|12)|d[23]|k[12]|vitamin.+)$")
-    return vitamin | (~plain.isin(*NO_DRUGS) & ~plain.rlike(r"^[a-z]\d+$") & (F.length(plain) > 1))
+    """A supplement, or three letters or more that are neither an abbreviation nor one letter with digits."""
+    low, plain = F.lower(F.trim(text)), F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+    supplement = plain.isin(*SUPPLEMENTS) | plain.startswith("vitamin")
+    return ~low.isin(*NO_DRUGS) & (supplement | (~low.rlike(r"^[a-z]\d+$") & (F.length(F.regexp_replace(low, "[^a-z]", "")) >= 3)))
 
 
 def is_placeholder(text: Column) -> Column:
-    """Only what de-identification left."""
-    return text.rlike(r"^\s*(\[[A-Z_]+\][\s,.;-]*)+$")
+    """Holds what de-identification left."""
+    return text.rlike(r"\[[A-Z][A-Z0-9_]+\]")
 
 
 def kept(cls: Column, text: Column, context: Column, status: Column) -> Column:
-    """Whether an entity becomes a record."""
-    fine = F.when(cls == "procedure", procedure_happened(text, context, status)).when(cls.isin("observation", "lab_result", "vital"), ~is_fragment(text)).when(cls == "medication", is_drug_name(text)).otherwise(True)
+    """Whether an entity of its class after reclassification becomes a record."""
+    measured = ~is_lifestyle_noise(text) & ~is_substance_commentary(text) & ~is_fragment(text)
+    fine = (
+        F.when(cls == "procedure", procedure_happened(text, context, status))
+        .when(cls.isin("observation", "lab_result", "vital"), measured)
+        .when(cls == "medication", is_drug_name(text))
+        .when(cls == "social_history", ~is_directive(text))
+        .otherwise(True)
+    )
     return F.coalesce(fine, F.lit(True)) & _some(text).isNotNull() & ~is_placeholder(text)
 
 
 def to_records(entities: DataFrame) -> DataFrame:
-    """Kept entities (doc_id, pos, entity_class, text, context, status) as record rows with their resource as JSON."""
-    rows = entities.withColumn("entity_class", entity_class(F.col("entity_class"), F.col("text")))
+    """Kept entities (doc_id, pos, entity_class, text, context, status) as record rows with their resource as JSON.
+
+    ``attributes`` (map of text) and ``provider`` are used where the columns are there.
+    """
+    rows = entities.withColumn("_given", F.col("entity_class")).withColumn("entity_class", entity_class(F.col("entity_class"), F.col("text")))
     rows = rows.filter(kept(F.col("entity_class"), F.col("text"), F.col("context"), F.col("status")) & F.col("entity_class").isin(*RECORDS))
     pick = lambda i: F.create_map(*[F.lit(x) for k, v in RECORDS.items() for x in (k, v[i])])[F.col("entity_class")]
-    lab, sig = parse_lab(F.col("text")), parse_dosage(F.col("text"))
+    none = F.lit(None).cast("map<string,string>")
+    given = F.col("attributes") if "attributes" in entities.columns else none
+    given = F.map_concat(F.coalesce(given, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.when(F.col("status").isNotNull() & ~F.map_contains_key(F.coalesce(given, F.create_map(F.lit(""), F.lit(""))), F.lit("status")), F.create_map(F.lit("status"), F.col("status"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
     cls = F.col("entity_class")
-    order = (cls == "lab_result") & is_panel(F.col("text")) & lab["value"].isNull()
+    # A measurement that turned out to be lifestyle is labelled as such.
+    label = F.create_map(F.lit("category"), _label(F.col("text")), F.lit("value"), F.coalesce(_some(F.regexp_extract("text", LABEL, 2)), F.col("text")))
+    moved = (cls == "social_history") & (F.col("_given") != "social_history")
+    attrs = F.when(moved, F.map_concat(F.map_filter("_attrs", lambda k, v: ~k.isin("category", "value")), label)).otherwise(F.col("_attrs"))
+    rows = rows.withColumn("_attrs", given).withColumn("_attrs", attrs)
+    rows = rows.withColumn("_lab", parse_lab(F.col("text"))).withColumn("_sig", parse_dosage(F.concat_ws(" ", "text", F.try_element_at("_attrs", F.lit("dosage")), F.try_element_at("_attrs", F.lit("frequency")))))
+    order = (cls == "lab_result") & is_panel(F.col("text")) & F.col("_lab.value").isNull()
     rows = rows.withColumn("record_type", F.when(order, "service_request").otherwise(pick(0))).withColumn("fhir_resource_type", F.when(order, "ServiceRequest").otherwise(pick(1)))
-    measured = cls.isin("lab_result", "vital") & lab["value"].isNotNull()
-    concept = F.struct(F.when(measured, lab["analyte"]).otherwise(F.trim("text")).alias("text"))
-    of = lambda test, x: F.when(test, x)
-    dose = F.array(F.struct(F.trim("text").alias("text"), F.when(sig["dose_value"].isNotNull(), F.array(F.struct(F.struct(sig["dose_value"].alias("value"), sig["dose_unit"].alias("unit")).alias("doseQuantity")))).alias("doseAndRate")))
-    resource = F.to_json(
-        F.struct(
-            F.col("fhir_resource_type").alias("resourceType"),
-            F.coalesce("status", F.when(cls == "procedure", "completed").when(cls.isin("lab_result", "vital", "social_history"), "final")).alias("status"),
-            of(~cls.isin("medication", "immunization", "family_history", "encounter"), concept).alias("code"),
-            of(cls == "medication", concept).alias("medicationCodeableConcept"),
-            of(cls == "immunization", concept).alias("vaccineCode"),
-            of(cls == "family_history", F.array(F.struct(concept.alias("code")))).alias("condition"),
-            of((cls == "medication") & sig["dose_value"].isNotNull(), dose).alias("dosageInstruction"),
-            of(measured, F.struct(lab["value"].alias("value"), lab["unit"].alias("unit"))).alias("valueQuantity"),
-            of(measured & lab["ref_low"].isNotNull(), F.array(F.struct(F.struct(lab["ref_low"].alias("value")).alias("low"), F.struct(lab["ref_high"].alias("value")).alias("high")))).alias("referenceRange"),
-            of(measured & lab["interpretation"].isNotNull(), F.array(F.struct(F.array(F.struct(lab["interpretation"].alias("code"))).alias("coding")))).alias("interpretation"),
-        )
-    )
-    return rows.select("doc_id", "pos", "entity_class", "record_type", "fhir_resource_type", concept["text"].alias("display_text"), F.lit("ai_extracted").alias("source_format"), F.lit(True).alias("ai_extracted"), resource.alias("resource_json"))
+    provider = F.col("provider") if "provider" in entities.columns else F.lit(None).cast("string")
+    who = F.coalesce(resources.attr(F.col("_attrs"), "provider", "provider_name", "performer"), provider)
+    json = resources.build(F.col("fhir_resource_type"), cls, F.col("text"), F.col("_attrs"), who, F.col("_lab"), F.col("_sig"))
+    return rows.select("doc_id", "pos", "entity_class", "record_type", "fhir_resource_type", resources.display(cls, F.col("text"), F.col("_attrs")).alias("display_text"), F.lit("ai_extracted").alias("source_format"), F.lit(True).alias("ai_extracted"), json.alias("resource_json"))
 
 
 #: Fields a resource must have besides its type.
