@@ -309,3 +309,44 @@ def project(resources: DataFrame, r: str = "resource", source_format: str = "fhi
         "identity.external_id",
         resource_hash(r).alias("content_hash"),
     )
+
+
+#: Parts of names of facilities, and of rooms, which are none.
+FACILITIES = ["hospital", "clinic", "medical", "health", "center", "centre", "associates", "group", "practice", "pharmacy", "laborator", "imaging", "radiology", "institute", "department", "dept", "medicine", "care", "physicians", "specialists", "oncology", "cardiology", "orthopedic", "surgery", "urgent"]
+ROOMS = ["room", "rm ", " rm", "bed", "exam", "suite", "floor", "wing", "bay", "chair", "cubicle", "pod ", "ward"]
+#: Fields that name people, which no judge is shown.
+PERSONAL = ["subject", "patient", "performer", "author", "recorder", "requester", "asserter", "participant", "informant", "text"]
+NO_CONTENT = ["resourceType", "_extraction_metadata"]
+
+
+def is_facility(name: Column) -> Column:
+    low = F.lower(name)
+    has = lambda words: low.rlike("|".join(words))
+    return F.coalesce(has(FACILITIES) & ~has(ROOMS), F.lit(False))
+
+
+def with_service_provider(resource_json: Column) -> Column:
+    """An encounter's JSON with the first of its locations that names a facility as its service provider, if it has none."""
+    places = F.from_json(F.get_json_object(resource_json, "$.location"), "array<struct<location:struct<display:string>>>")
+    names = F.filter(F.transform(places, lambda p: p["location"]["display"]), is_facility)
+    first = F.get(names, F.lit(0))
+    open_ended = F.regexp_replace(resource_json, r"\}\s*$", "")
+    named = F.concat(open_ended, F.lit(',"serviceProvider":'), F.to_json(F.struct(first.alias("display"))), F.lit("}"))
+    lacks = (F.get_json_object(resource_json, "$.resourceType") == "Encounter") & F.get_json_object(resource_json, "$.serviceProvider").isNull()
+    return F.when(lacks & first.isNotNull(), named).otherwise(resource_json)
+
+
+def top_fields(resource_json: Column) -> Column:
+    """The fields of a resource as map<string,variant>."""
+    return F.from_json(resource_json, "map<string,variant>")
+
+
+def judged_text(resource_json: Column, scrub) -> Column:
+    """What a judge is shown of a resource: without fields that name people, and scrubbed."""
+    return scrub(F.to_json(F.map_filter(top_fields(resource_json), lambda k, v: ~k.isin(*PERSONAL))))
+
+
+def populated_fields(resource_json: Column) -> Column:
+    """How many fields besides type and metadata have a value (empty texts and lists, zero, false and null are none)."""
+    empty = ["", "[]", "{}", "0", "0.0", "false", "null"]
+    return F.size(F.map_filter(top_fields(resource_json), lambda k, v: ~k.isin(*NO_CONTENT) & F.coalesce(~F.to_json(v).isin(*empty, '""'), F.lit(False))))

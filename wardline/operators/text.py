@@ -128,6 +128,96 @@ def escalate(section_type: Column, mean_confidence: Column, chars: Column, thres
     return section_type.isin(*ESCALATED) | F.coalesce(mean_confidence < threshold, F.lit(False)) | (mean_confidence.isNull() & (chars >= SUBSTANTIVE))
 
 
+def section_confidence(spans: DataFrame, by: list[str]) -> DataFrame:
+    """Mean confidence of the spans of each section: coded ones count 0.9, others 0.5."""
+    return spans.groupBy(*by).agg(F.avg(F.when(F.col("code").isNotNull(), CODED).otherwise(UNCODED)).alias("mean_confidence"))
+
+
+def collect_chunks(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities of the chunks that came back, with their section, and per document how many chunks did not.
+
+    ``results`` has doc_id, chunk_no, section_type, error (null or blank: none)
+    and entities, an array of structs (null: the call itself failed).
+    """
+    failed = F.col("entities").isNull() | (F.coalesce(F.trim("error"), F.lit("")) != "")
+    counts = results.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count_if(failed).alias("n_failed"))
+    found = results.filter(~failed).select("doc_id", "chunk_no", F.col("section_type").alias("source_section"), F.posexplode("entities").alias("pos", "entity"))
+    return found.select("doc_id", "chunk_no", "pos", "source_section", "entity.*"), counts
+
+
+def document_facts(entities: DataFrame) -> DataFrame:
+    """(doc_id, document_date, document_provider): the first dated encounter's date, else the visit's; the first provider named.
+
+    ``entities`` has doc_id, pos, entity_class, text, name, entity_date, visit_date.
+    """
+    first = lambda x, test: F.min_by(x, F.when(test & x.isNotNull(), F.struct("pos", x.alias("x"))))
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    who = F.coalesce(some(F.col("name")), some(F.col("text")))
+    return entities.groupBy("doc_id").agg(F.coalesce(first(F.col("entity_date"), F.col("entity_class") == "encounter"), F.max("visit_date")).alias("document_date"), first(who, F.col("entity_class") == "provider").alias("document_provider"))
+
+
+def sentence_spans(sections: DataFrame, terms: DataFrame) -> DataFrame:
+    """Dictionary spans of sections (doc_id, section_no, section_type, text) with the words around them in their sentence."""
+    cut = sections.select("doc_id", "section_no", "section_type", F.posexplode(F.split("text", r"[.!?\n]+")).alias("sentence_no", "text"))
+    keyed = cut.withColumn("words", F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " "))
+    t = terms.withColumn("parts", F.split("term", " ")).withColumn("head", F.get("parts", F.lit(0)))
+    placed = keyed.select("*", F.posexplode("words").alias("pos", "word")).join(F.broadcast(t), F.col("word") == F.col("head"))
+    hit = placed.filter(F.slice("words", F.col("pos") + 1, F.size("parts")) == F.col("parts"))
+    end = F.col("pos") + F.size("parts")
+    before = F.array_join(F.slice("words", F.lit(1), F.col("pos")), " ")
+    after = F.array_join(F.slice("words", end + 1, F.size("words")), " ")
+    return hit.select("doc_id", "section_no", "section_type", "sentence_no", "pos", "label", "term", "code", before.alias("before"), after.alias("after"))
+
+
+def hybrid(sections: DataFrame, terms: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Entities (doc_id, section_no, source_section, sentence_no, pos, entity_class, text, code, status, confidence, origin) of sections.
+
+    The dictionary goes first. Sections it leaves in doubt (``escalate``) are
+    also given to ``model``, an injected function of sections that returns
+    doc_id, section_no, sentence_no, pos, entity_class, text, status and
+    confidence. ``terms`` is a curated dimension, broadcast.
+    """
+    spans = sentence_spans(sections, terms).withColumn("a", assertion(F.col("before"), F.col("after")))
+    local = spans.withColumn("entity_class", disposition(F.col("label"), F.col("a"))).filter("entity_class IS NOT NULL")
+    confidence = F.when(F.col("code").isNotNull(), CODED).otherwise(UNCODED)
+    cols = ["doc_id", "section_no", "source_section", "sentence_no", "pos", "entity_class", "text", "code", "status", "confidence", "origin"]
+    local = local.select("doc_id", "section_no", F.col("section_type").alias("source_section"), "sentence_no", "pos", "entity_class", F.col("term").alias("text"), "code", entity_status(F.col("a")).alias("status"), confidence.alias("confidence"), F.lit("dictionary").alias("origin"))
+    if model is None:
+        return local
+    mean = section_confidence(spans, ["doc_id", "section_no"])
+    asked = sections.join(mean, ["doc_id", "section_no"], "left").filter(escalate(F.col("section_type"), F.col("mean_confidence"), F.length("text"))).drop("mean_confidence")
+    kinds = sections.select("doc_id", "section_no", F.col("section_type").alias("source_section"))
+    told = model(asked).join(kinds, ["doc_id", "section_no"]).withColumns({"code": F.lit(None).cast("string"), "origin": F.lit("model")})
+    return local.select(*cols).unionByName(told.select(*cols))
+
+
+def confirm(entities: DataFrame, facts: DataFrame, automatic: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Records of extracted entities and what refers to what: the tail of an upload.
+
+    ``entities`` is what ``entities.to_records`` takes, with ``entity_date``;
+    ``facts`` is ``document_facts``. Each record gets its own date or its
+    document's. The automatic way also drops repeats inside a document and
+    links records to the document's first encounter; the manual one leaves
+    both to the person who confirms.
+    """
+    from wardline.functions.entities import to_records
+    from wardline.operators.review import document_references
+
+    said = to_records(entities)
+    dates = entities.select("doc_id", "pos", "entity_date", "text")
+    rows = said.join(dates, ["doc_id", "pos"]).join(facts.select("doc_id", "document_date"), "doc_id", "left")
+    rows = rows.withColumn("effective_date", F.coalesce("entity_date", "document_date")).withColumn("id", F.xxhash64("doc_id", "pos"))
+    if automatic:
+        met = rows.filter("entity_class = 'encounter'").withColumn("provider", F.get_json_object("resource_json", "$.participant[0].individual.display"))
+        met = best_encounters(met.withColumns({"boilerplate": F.lit(False), "n_fields": F.lit(0)})).drop("score", "provider", "boilerplate", "n_fields")
+        rows = met.unionByName(first_entities(rows.filter("entity_class <> 'encounter'")))
+        first = rows.filter("entity_class = 'encounter'").groupBy("doc_id").agg(F.min_by("id", "pos").alias("linked_encounter_id"))
+        rows = rows.join(first, "doc_id", "left").withColumn("linked_encounter_id", F.when(F.col("entity_class") != "encounter", F.col("linked_encounter_id")))
+    else:
+        rows = rows.withColumn("linked_encounter_id", F.lit(None).cast("long"))
+    return rows.drop("entity_date", "document_date", "text"), document_references(rows)
+
+
 def entity_key(text: Column) -> Column:
     """Entity text without parenthesised groups and dates, in lower case."""
     x = F.regexp_replace(text, r"\([^)]*\)|\[[^\]]*\]", " ")

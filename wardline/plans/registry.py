@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wardline.plans import clinical, records, resolution, texts
+from wardline.plans import clinical, records, resolution, service, texts
 
-_MODULES = (records, resolution, texts, clinical)
+_MODULES = (records, resolution, texts, clinical, service)
 
 
 def queries():
