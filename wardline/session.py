@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +28,8 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables under a directory; works for any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder all executors share, under ``spark.checkpoint.dir``; only where that is unset (tests on one machine) under /tmp."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/{name}-{uuid.uuid4().hex}"

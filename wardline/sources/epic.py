@@ -237,6 +237,7 @@ def records(spark: SparkSession, path: str, table_name: str) -> DataFrame:
 
 
 def patient(df: DataFrame) -> DataFrame:
-    """Demographics of the first row of PATIENT.tsv; the birth date without its time."""
+    """Demographics of the first row of PATIENT.tsv, the one of the first file and place; the birth date without its time."""
     r = Row(df)
-    return df.limit(1).select(F.trim(F.regexp_replace(r("PAT_NAME"), r"[\^,|\s]+", " ")).alias("name"), r("PAT_MRN_ID").alias("mrn"), F.substring_index(r("BIRTH_DATE"), " ", 1).alias("birth_date"), r("SEX", "SEX_C_NAME").alias("sex"))
+    place = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"))
+    return df.withColumn("_place", place).orderBy("_place").limit(1).select(F.trim(F.regexp_replace(r("PAT_NAME"), r"[\^,|\s]+", " ")).alias("name"), r("PAT_MRN_ID").alias("mrn"), F.substring_index(r("BIRTH_DATE"), " ", 1).alias("birth_date"), r("SEX", "SEX_C_NAME").alias("sex"))
