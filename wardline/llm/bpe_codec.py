@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm.bpe import load_ranks, stretches
-from wardline.llm.common import Ranges, U, concat_ranges, slices
+from wardline.llm.common import Ranges, U, bounded, concat_ranges, slices
 from wardline.session import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -233,7 +233,8 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str = public_toke
     table: no rows. Other columns are ignored.
     """
     path = ranks or public_tokenizers.path(RANKS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # A batch is a block.
+    rows = bounded(docs, BLOCK_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(MAX_BUCKETS, max(1, -(-size // bucket_bytes))))
     asks = rows.mapInArrow(_asks(pattern, buckets, block_bytes), "block string, bucket int, words binary")

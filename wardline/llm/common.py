@@ -24,11 +24,13 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, set once for ``checkpoint()``.
 
-    It comes from ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a folder under /tmp is taken.
+    It comes from ``spark.checkpoint.dir``; where that is unset, a folder under
+    /tmp is taken on one machine (tests), and a cluster is an error.
     """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
     return jsc.getCheckpointDir().get()
 
@@ -39,14 +41,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded(docs: DataFrame) -> DataFrame:
-    """``docs``, with its session's Arrow batches held to ``BATCH_BYTES``: the default of 10,000 rows is too much where texts are long."""
+def bounded(docs: DataFrame, limit: int = BATCH_BYTES) -> DataFrame:
+    """``docs``, with its session's Arrow batches held to about ``limit`` bytes: the default of 10,000 rows is too much where texts are long."""
     conf = docs.sparkSession.conf
     held = conf.get(_BATCH_SETTING, "64m").lower()
     unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(held[-1], 1)
     size = int(held.rstrip("bkmg") or 0) * unit
-    if size <= 0 or size > BATCH_BYTES:
-        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    if size <= 0 or size > limit:
+        conf.set(_BATCH_SETTING, str(limit))
     return docs
 
 
@@ -56,14 +58,15 @@ def held_out(id_col: str, modulus: int, remainder: int):
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cut batches so that a slice holds about ``limit`` bytes of text (one row at least); null texts become empty."""
+    """Cut batches evenly into slices of about ``limit`` bytes of text (one row at least); null texts become empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        share = ends[-1] / max(1, round(ends[-1] / limit))
         at = 0
         while at < len(column):
-            k = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
+            k = min(len(column), max(at + 1, int(np.searchsorted(ends, ends[at] + share))))
             yield batch.slice(at, k - at), [x or b"" for x in column.slice(at, k - at).cast(pa.large_binary()).to_pylist()]
             at = k
 
