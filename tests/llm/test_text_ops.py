@@ -132,6 +132,89 @@ def test_gray_index_against_all_pairs():
         assert len({*zip(want, got.tolist(), strict=True)}) == len(set(want)) == len(set(got.tolist()))
 
 
+def test_very_long_texts(spark):
+    """A text of 300,000 words beside short ones, null and empty, through every operator on texts; ids tie with a repeated row."""
+    rng = random.Random(3)
+    vocab = ["the", "of", "und", "der", "cc", "by", "été"] + ["w%d" % i for i in range(200)]
+    long = " ".join(rng.choice(vocab) for _ in range(300_000))
+    rows = [(1, "the cat and the dog"), (2, long), (3, None), (4, ""), (5, long[1000:3000]), (5, long[1000:3000])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    want = expected_removals([r for r in rows[:5]], 20)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept.encode()) for r in substring_dedup.substring_dedup(d).collect()}
+    assert got == want and got[5][1] > 100
+    prints = {r.doc_id: r.fingerprint for r in simhash_dedup.simhash_dedup(d).collect()}
+    assert prints == {i: f"{expected_simhash(t):016x}" for i, t in rows}
+    base = len(re.findall("(?=(?<!\\S)cc by(?!\\S))", long))
+    scanned = {r.doc_id: (r.n_words, r.n_base) for r in license_scan.license_scan(d).collect()}
+    assert base > 0 and scanned[2] == (len(re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", long)), base)
+    library = bpe_codec.encoding(public_tokenizers.path(bpe_codec.RANKS), public_tokenizers.PATTERN)
+    assert {r.doc_id: r.ids for r in bpe_codec.encode(d).collect()}[2] == library.encode_ordinary(long)
+    pieces = [r for r in packing.pack_documents(d, added=True).collect() if r.doc_id == 2]
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(long, add_special_tokens=False).ids + [0]
+    assert sum(p.length for p in pieces) == len(whole) and len(pieces) == -(-len(whole) // 2048)
+    model = language_id.train(spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20)], "doc_id long, text string, lang string"))
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(d, model).collect()}[2] in ("de", "en")
+    scores = [r.quality_score for r in quality.score(d, quality.fit(rng_statistics(), np.arange(60) % 2)).collect()]
+    assert len(scores) == 6 and all(0 <= s <= 1 for s in scores)
+
+
+def rng_statistics():
+    return np.random.default_rng(0).normal(size=(60, len(quality.STATISTICS)))
+
+
+@pytest.mark.parametrize("name", quality.STATISTICS)
+def test_quality_statistics(name):
+    """Each statistic of the vectorised pass against a plain computation on one text."""
+    words = lambda t: t.split()
+    ratio = lambda a, b: a / b if b else 0.0
+    logit = lambda p: np.log((min(max(p, 0), 1) * 0.998 + 0.001) / (1 - (min(max(p, 0), 1) * 0.998 + 0.001)))
+    texts = [b"", b" \n ", b"a", "The cat, the CAT! été | naïve\nthe cat\nthe cat\n#1 a$b AbC extraordinarily.".encode(), b"x x x\n\nx"]
+    got = quality.statistics(texts)[:, quality.STATISTICS.index(name)]
+    for t, value in zip(texts, got, strict=True):
+        w = words(t)
+        n, total = len(w), sum(map(len, w))
+        lines = t.split(b"\n")
+        of = lambda test: logit(ratio(sum(map(test, w)), n))  # noqa: B023, E731
+        mean = ratio(total, n)
+        plain = {
+            "bytes": np.log1p(len(t)), "words": np.log1p(n), "mean_word": np.log1p(mean), "spread_word": np.log1p(np.sqrt(max(ratio(sum(len(x) ** 2 for x in w), n) - mean**2, 0))),
+            "distinct": np.log1p(len(set(w))) / max(np.log1p(n), 1e-9), "repeat": logit(ratio(sum(a == b for a, b in zip(w, w[1:], strict=False)), n)), "top_word": logit(ratio(max((w.count(x) for x in w), default=0), n)),
+            "line_words": np.log1p(n / len(lines)), "repeat_line": logit(1 - len(set(lines)) / len(lines)), "short_word": of(lambda x: len(x) <= 3), "long_word": of(lambda x: len(x) >= 12), "end_mark": of(lambda x: x[-1] in b".!?"),
+            "symbol_word": of(lambda x: any(quality.CLASSES["symbol"][c] for c in x)), "capital_word": of(lambda x: sum(65 <= c <= 90 for c in x) > 1),
+        } | {k: logit(ratio(sum(lut[c] for x in w for c in x), total)) for k, lut in quality.CLASSES.items()}
+        assert value == pytest.approx(plain[name]), t
+
+
+def test_license_labels_of_statements(spark):
+    """Added labels against a plain longest common subsequence over every window of a text."""
+    rng = random.Random(8)
+    texts = []
+    for _, statement in license_scan.STATEMENTS:
+        w = statement.split()
+        cut = [x for x in w if rng.random() > 0.1]
+        texts += [statement, "before " + " ".join(cut) + " after", " ".join(w[: len(w) // 2]), " ".join(w[: len(w) // 2] + ["new"] + w[len(w) // 2 :])]
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                keep = row[j + 1]
+                row[j + 1] = last + 1 if x == y else max(row[j + 1], row[j])
+                last = keep
+        return row[-1]
+
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, texts[0])], "doc_id long, text string")
+    rows = license_scan.license_scan(d).collect()
+    for r in rows:
+        words = (texts[r.doc_id] if r.doc_id is not None else texts[0]).split()
+        sure = {label for label, s in license_scan.STATEMENTS if s in " ".join(words)}
+        most = {label for label, s in license_scan.STATEMENTS if common(s.split(), words) >= 0.8 * len(s.split())}
+        given = set(filter(None, r.labels.split(","))) - {label for label, _ in license_scan.BASE}
+        assert sure - {label for label, _ in license_scan.BASE} <= given <= most, words
+    assert len({(r.labels, r.score) for r in rows if r.doc_id is None} | {(r.labels, r.score) for r in rows if r.doc_id == 0}) == 1
+
+
 def test_simhash_empty(docs):
     assert simhash_dedup.simhash_dedup(empty(docs)).count() == 0
 
