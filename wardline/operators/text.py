@@ -191,14 +191,15 @@ def hybrid(sections: DataFrame, terms: DataFrame, model: Callable[[DataFrame], D
     return local.select(*cols).unionByName(told.select(*cols))
 
 
-def confirm(entities: DataFrame, facts: DataFrame, automatic: bool = True) -> tuple[DataFrame, DataFrame]:
+def confirm(entities: DataFrame, facts: DataFrame, automatic: bool = True, store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Records of extracted entities and what refers to what: the tail of an upload.
 
     ``entities`` is what ``entities.to_records`` takes, with ``entity_date``;
     ``facts`` is ``document_facts``. Each record gets its own date or its
     document's. The automatic way also drops repeats inside a document and
     links records to the document's first encounter; the manual one leaves
-    both to the person who confirms.
+    both to the person who confirms. With ``store`` records are written there
+    first and references drawn from what was written.
     """
     from wardline.functions.entities import to_records
     from wardline.operators.review import document_references
@@ -208,14 +209,22 @@ def confirm(entities: DataFrame, facts: DataFrame, automatic: bool = True) -> tu
     rows = said.join(dates, ["doc_id", "pos"]).join(facts.select("doc_id", "document_date"), "doc_id", "left")
     rows = rows.withColumn("effective_date", F.coalesce("entity_date", "document_date")).withColumn("id", F.xxhash64("doc_id", "pos"))
     if automatic:
-        met = rows.filter("entity_class = 'encounter'").withColumn("provider", F.get_json_object("resource_json", "$.participant[0].individual.display"))
-        met = best_encounters(met.withColumns({"boilerplate": F.lit(False), "n_fields": F.lit(0)})).drop("score", "provider", "boilerplate", "n_fields")
-        rows = met.unionByName(first_entities(rows.filter("entity_class <> 'encounter'")))
-        first = rows.filter("entity_class = 'encounter'").groupBy("doc_id").agg(F.min_by("id", "pos").alias("linked_encounter_id"))
-        rows = rows.join(first, "doc_id", "left").withColumn("linked_encounter_id", F.when(F.col("entity_class") != "encounter", F.col("linked_encounter_id")))
+        # Of a day's encounters the one with someone and a date, of others the first of a class and text: one window for both.
+        met = F.col("entity_class") == "encounter"
+        who = F.get_json_object("resource_json", "$.participant[0].individual.display")
+        worth = F.when(met & who.isNotNull(), 100).otherwise(0) + F.when(met & F.col("effective_date").isNotNull(), 50).otherwise(0)
+        key = F.when(met, F.coalesce(F.to_date("effective_date").cast("string"), F.lit(""))).otherwise(entity_key(F.col("text")))
+        order = Window.partitionBy("doc_id", "entity_class", key).orderBy(F.desc(worth), "pos")
+        rows = rows.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
+        first = F.min(F.when(met, F.struct("pos", "id"))).over(Window.partitionBy("doc_id"))
+        rows = rows.withColumn("linked_encounter_id", F.when(~met, first["id"]))
     else:
         rows = rows.withColumn("linked_encounter_id", F.lit(None).cast("long"))
-    return rows.drop("entity_date", "document_date", "text"), document_references(rows)
+    rows = rows.drop("entity_date", "document_date", "text")
+    if store:
+        rows.write.parquet(store)
+        rows = entities.sparkSession.read.parquet(store)
+    return rows, document_references(rows)
 
 
 def entity_key(text: Column) -> Column:

@@ -13,7 +13,7 @@ from wardline.operators import scorer
 from wardline.operators import text as T
 from wardline.plans.records import RECORDS_SQL, active, records
 from wardline.plans.resolution import SCAN_SQL, _scored
-from wardline.session import table
+from wardline.session import table, work_dir
 
 KEY = "0123456789abcdef"
 
@@ -226,7 +226,7 @@ def q_document_facts(spark, sf_dir):
 def q_confirmed(spark, sf_dir):
     """Records of confirmed documents, those an encounter is linked to, and references of assessments."""
     e = _entities(spark, sf_dir)
-    rows, references = T.confirm(e, T.document_facts(e))
+    rows, references = T.confirm(e, T.document_facts(e), store=work_dir(spark, "confirmed"))
     per = rows.groupBy("doc_id").agg(F.count("*").alias("n_records"), F.count("effective_date").alias("n_dated"), F.count("linked_encounter_id").alias("n_linked"))
     of = rows.select(F.col("id").alias("document_record_id"), "doc_id")
     told = references.join(of, "document_record_id").groupBy("doc_id").agg(F.count("*").alias("n_references"), F.count_if(F.col("reference_type") == "prescribes").alias("n_prescribes"))
