@@ -111,9 +111,9 @@ def status(r: str) -> Column:
     return F.coalesce(text(r, "$.status"), text(r, "$.clinicalStatus.coding[0].code"))
 
 
-def display_text(r: str) -> Column:
+def display_text(r: str, kind: Column | None = None) -> Column:
     """What a person would call the record: its code's text or first display, else by type, else the type's name."""
-    kind = resource_type(r)
+    kind = resource_type(r) if kind is None else kind
     encounter = F.coalesce(text(r, "$.type[0].text"), F.concat(F.lit("Encounter ("), text(r, "$.class.code"), F.lit(")")), F.lit("Encounter"))
     family = F.concat(text(r, "$.condition[0].code.text"), F.coalesce(F.concat(F.lit(" ("), text(r, "$.relationship.text"), F.lit(")")), F.lit("")))
     by_type = (
@@ -175,9 +175,9 @@ def source_label(source_format: Column, source_system: Column) -> Column:
     return F.coalesce(named, labels[F.lower(F.trim(source_format))], F.initcap(F.replace(source_format, F.lit("_"), F.lit(" "))), F.lit("Unknown"))
 
 
-def identity(r: str, source_format: Column) -> Column:
+def identity(r: str, source_format: Column, kind: Column | None = None) -> Column:
     """struct(source_system, external_id) from identifiers, else the id; null where there is none to rely on."""
-    kind = resource_type(r)
+    kind = resource_type(r) if kind is None else kind
     ids = F.transform(items(r, "$.identifier"), lambda x: F.struct(text(x, "$.system").alias("s"), text(x, "$.value").alias("v")))
     first = F.get(ids, F.lit(0))
     acts = F.get(F.filter(ids, lambda x: x["v"].isNotNull() & ~F.coalesce(F.regexp_replace(x["s"], "^urn:oid:", ""), F.lit("")).isin(*PERSON_ROOTS)), F.lit(0))
@@ -290,10 +290,20 @@ def observation_subtype(category: Column) -> Column:
     return F.coalesce(F.get(F.filter(told, lambda x: x.isNotNull()), F.lit(0)), F.lit("lab"))
 
 
-def project(resources: DataFrame, r: str = "resource", source_format: str = "fhir_r4") -> DataFrame:
-    """Resources (VARIANT column ``r``) to canonical record columns; types that are no records are dropped."""
-    rows = resources.withColumn("fhir_resource_type", resource_type(r)).withColumn("record_type", record_type(r)).filter(F.col("record_type").isNotNull())
-    rows = rows.withColumn("coding", coding(r)).withColumn("identity", identity(r, F.lit(source_format)))
+def project(resources: DataFrame, r: str = "resource", source_format: str = "fhir_r4", only: str | None = None) -> DataFrame:
+    """Resources (VARIANT column ``r``) to canonical record columns; types that are no records are dropped.
+
+    ``only`` names the type where all resources have one, which leaves the
+    rules of other types out of the plan.
+    """
+    # The filter would be pushed below a parse and repeat it; as an exploded column the resource is parsed once.
+    rows = resources.withColumn(r, F.explode(F.array(r)))
+    if only:
+        rows = rows.withColumn("fhir_resource_type", F.lit(only)).withColumn("record_type", F.lit(RECORD_TYPES[only]))
+    else:
+        rows = rows.withColumn("fhir_resource_type", resource_type(r)).withColumn("record_type", _map(RECORD_TYPES)[F.col("fhir_resource_type")]).filter(F.col("record_type").isNotNull())
+    kind = F.col("fhir_resource_type")
+    rows = rows.withColumn("coding", coding(r)).withColumn("identity", identity(r, F.lit(source_format), kind))
     return rows.select(
         *[c for c in resources.columns],
         "record_type",
@@ -304,7 +314,7 @@ def project(resources: DataFrame, r: str = "resource", source_format: str = "fhi
         status(r).alias("status"),
         categories(r).alias("category"),
         "coding.*",
-        display_text(r).alias("display_text"),
+        display_text(r, kind).alias("display_text"),
         "identity.source_system",
         "identity.external_id",
         resource_hash(r).alias("content_hash"),

@@ -14,12 +14,12 @@ from wardline.operators import text as T
 from wardline.plans.records import RECORDS_SQL, active, records
 from wardline.plans.resolution import SCAN_SQL
 from wardline.sources import epic, fhir_bundle
-from wardline.session import table
+from wardline.session import spread, table
 
 
 def _resources(spark, sf_dir):
     """Active records as resources with a reading, a range, a flag and someone who did it."""
-    r = active(records(spark, sf_dir))
+    r = spread(active(records(spark, sf_dir)))
     i = F.col("id")
     quantity = F.when(i % 9 != 0, F.struct(F.floor("value").alias("value"), F.lit("u").alias("unit")))
     flags = F.array(*[F.struct(F.array(F.struct(F.lit(c).alias("code"))).alias("coding")) for c in ("H", "L", "N")])
@@ -65,7 +65,7 @@ FROM active
 
 def q_lab_lines(spark, sf_dir):
     """Result lines written from order rows, read back: analyte, value, unit, range and flag."""
-    l = table(spark, sf_dir, "lineitem")
+    l = spread(table(spark, sf_dir, "lineitem"))
     q = F.floor("l_quantity").cast("string")
     line = F.concat(F.lit("Marker "), F.element_at(F.array(*[F.lit(x) for x in "ABCDEFG"]), (F.col("l_partkey") % 7 + 1).cast("int")), F.lit(": "), q, F.when(F.col("l_linenumber") % 2 == 0, " mg/dL").otherwise(" mmol/L"), F.when(F.col("l_suppkey") % 3 == 0, " (5-40)").otherwise(""), F.when(F.col("l_returnflag") == "R", " high").when(F.col("l_returnflag") == "A", " L").otherwise(""))
     d = l.select(E.parse_lab(line).alias("d")).select("d.*")
@@ -81,7 +81,7 @@ FROM lineitem GROUP BY ALL
 
 def q_first_dates(spark, sf_dir):
     """The first date in a note written about each order, in one of six forms or none, after numbers that are no dates."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     i = F.col("o_orderkey") % len(FORMS)
     said = F.get(F.array(*[F.date_format("o_orderdate", form) if form else F.lit("37.5/38") for form in FORMS]), i.cast("int"))
     note = F.concat(F.lit("BP 120/80, 20 mg, no. 20241. Café: seen "), said, F.lit("; next 2031-01-05"))
@@ -97,7 +97,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN DATE '2031-01-05' WHEN o_or
 
 def q_entity_dates(spark, sf_dir):
     """Dates of entities made from orders: by attribute, by another attribute, by text, by document."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     i, day = F.col("o_orderkey"), F.col("o_orderdate")
     short = F.date_format(day, "M/d/yyyy")
     none = F.lit(None).cast("string")
@@ -293,14 +293,14 @@ SELECT o_orderkey, concat_ws(',', CASE WHEN e IS DISTINCT FROM f THEN 'extra' EN
 
 def q_epic_results(spark, sf_dir):
     """Result rows of an Epic export as records."""
-    l = table(spark, sf_dir, "lineitem")
+    l = spread(table(spark, sf_dir, "lineitem"))
     rows = l.select(
         F.col("l_orderkey").cast("string").alias("ORDER_PROC_ID"), F.when(F.col("l_suppkey") % 9 != 0, F.col("l_linenumber").cast("string")).otherwise(" ").alias("LINE"),
         F.when(F.col("l_partkey") % 11 != 0, F.concat(F.lit(" component "), (F.col("l_partkey") % 10).cast("string"))).alias("COMPONENT_ID_NAME"), F.floor("l_quantity").cast("string").alias("ORD_NUM_VALUE"),
         F.lit("5").alias("REFERENCE_LOW"), F.lit("40").alias("REFERENCE_HIGH"), F.lit("mg/dL").alias("REFERENCE_UNIT"), F.date_format("l_shipdate", "M/d/yyyy h:mm:ss a").alias("RESULT_DATE"),
         F.when(F.col("l_linestatus") == "O", "Preliminary result").otherwise("Final").alias("RESULT_STATUS_C_NAME"), F.when(F.col("l_returnflag") == "R", "High").when(F.col("l_returnflag") == "A", "L").alias("RESULT_FLAG_C_NAME"),
     )
-    p = fhir.project(epic.to_resources(rows, "ORDER_RESULTS").withColumnsRenamed({"source_system": "system", "external_id": "key"}).withColumn("resource", F.parse_json("resource_json")), source_format="epic_ehi")
+    p = fhir.project(epic.to_resources(rows, "ORDER_RESULTS").withColumnsRenamed({"source_system": "system", "external_id": "key"}).withColumn("resource", F.parse_json("resource_json")), source_format="epic_ehi", only="Observation")
     reading = fhir.reading("resource", F.col("display_text"))
     return p.select("key", "system", "record_type", "display_text", "status", F.to_date("effective_date").alias("day"), reading["value"].alias("value"), reading["interpretation"].alias("interpretation"), reading["ref_high"].alias("ref_high")).groupBy("system", "record_type", "display_text", "status", "day", "interpretation", "ref_high").agg(F.count("*").alias("n"), F.count("key").alias("n_keys"), F.sum("value").alias("total"))
 

@@ -10,20 +10,20 @@ from wardline.functions.clinical import normalize_term, parse_dosage
 from wardline.functions.deident import PATTERNS, scrub_report
 from wardline.operators import text as T
 from wardline.plans.records import RECORDS_SQL, active, records
-from wardline.session import table
+from wardline.session import spread, table
 
 
 
 def q_phi_report(spark, sf_dir):
     """How many identifiers of each kind all documents hold, and in how many documents."""
-    d = scrub_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = scrub_report(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     # Outer, or else the optimizer scrubs once more to leave out documents without a find.
     found = d.select("doc_id", F.explode_outer("counts").alias("kind", "n")).filter("kind IS NOT NULL")
     return found.groupBy("kind").agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("n_docs"))
 
 
 def q_scrubbed(spark, sf_dir):
-    d = scrub_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = scrub_report(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return d.select("doc_id", F.length("scrubbed").cast("long").alias("chars"), F.coalesce(F.aggregate(F.map_values("counts"), F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_found"))
 
 
@@ -34,7 +34,7 @@ def q_content_groups(spark, sf_dir):
 
 
 def q_chunks(spark, sf_dir):
-    return T.chunk_documents(table(spark, sf_dir, "documents")).select("doc_id", "chunk_no", "section_type", F.length("chunk").cast("long").alias("chars"))
+    return T.chunk_documents(spread(table(spark, sf_dir, "documents"))).select("doc_id", "chunk_no", "section_type", F.length("chunk").cast("long").alias("chars"))
 
 
 def q_conversation_text(spark, sf_dir):
@@ -81,7 +81,7 @@ SELECT source, tp, fp, fn, CASE WHEN tp + fp > 0 THEN round_even(tp / (tp + fp),
 
 def q_dosages(spark, sf_dir):
     """Sigs written from order rows, parsed back."""
-    l = table(spark, sf_dir, "lineitem")
+    l = spread(table(spark, sf_dir, "lineitem"))
     n = F.col("l_quantity").cast("long")
     sig = F.concat_ws(" ", F.lit("take"), n.cast("string"), F.when(n % 2 == 0, "mg").otherwise("mL"), F.when(n % 3 == 0, "by mouth").when(n % 3 == 1, "IV"), F.when(n % 5 == 0, "twice daily").when(n % 5 == 1, "q8h").when(n % 5 == 2, "weekly"), F.when(F.col("l_returnflag") == "R", "as needed"))
     d = l.select(parse_dosage(sig).alias("d"))
@@ -108,7 +108,7 @@ SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name) || 's ' || lo
 
 def fhir_resources(spark, sf_dir):
     """Each active record written as a FHIR resource (JSON) and parsed again."""
-    r = active(records(spark, sf_dir))
+    r = spread(active(records(spark, sf_dir)))
     day = F.date_format("effective_date", "yyyy-MM-dd'T'HH:mm:ss")
     code = F.struct(F.array(F.struct(F.col("code_system").alias("system"), F.col("code_value").alias("code"), F.col("code_display").alias("display"))).alias("coding"))
     doc = F.to_json(F.struct(F.col("fhir_resource_type").alias("resourceType"), F.col("id").cast("string").alias("id"), F.when(F.col("id") % 2 == 0, F.col("status")).alias("status"), F.struct(F.array(F.struct(F.col("status").alias("code"))).alias("coding")).alias("clinicalStatus"), F.when(F.col("code_value").isNotNull(), code).alias("code"), F.when(F.col("id") % 3 == 0, day).alias("issued"), F.when(F.col("id") % 3 == 1, F.struct(day.alias("start"))).alias("period"), F.when(F.col("id") % 3 == 2, F.struct(day.alias("lastUpdated"))).alias("meta"), F.struct(F.col("value").alias("value"), F.lit("u").alias("unit")).alias("valueQuantity")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
@@ -30,6 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan dealt to all cores where its files give fewer parts than there are cores.
+
+    For heavy work per row on a table of few files, which Spark can't split
+    below a row group. A scan of as many parts stays as it is, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder all executors share, under ``spark.checkpoint.dir``; only where that is unset (tests on one machine) under /tmp."""
     return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/{name}-{uuid.uuid4().hex}"

@@ -189,23 +189,23 @@ def _family(r: Row):
     return gate, _resource("FamilyMemberHistory", status=F.lit("completed"), relationship=_text(r("RELATION_C_NAME")), condition=F.array(F.struct(_text(gate).alias("code"), onset.alias("onsetAge"), F.when(years.isNull(), age).alias("onsetString"))))
 
 
-#: Table name: mapper and the columns of its identity.
-TABLES: dict[str, tuple[Callable[[Row], tuple[Column, Column]], list[str]]] = {
-    "PROBLEM_LIST": (_problem, ["PROBLEM_LIST_ID"]),
-    "PROBLEM_LIST_ALL": (_problem, ["PROBLEM_LIST_ID"]),
-    "MEDICAL_HX": (_medical_history, ["PAT_ENC_CSN_ID", "LINE"]),
-    "ORDER_MED": (_order_med, ["ORDER_MED_ID"]),
-    "ORDER_RESULTS": (_order_result, ["ORDER_PROC_ID", "LINE"]),
-    "PAT_ENC": (_encounter, ["PAT_ENC_CSN_ID"]),
-    "DOC_INFORMATION": (_document, ["DOC_INFO_ID"]),
-    "ALLERGY": (_allergy, ["ALLERGY_ID"]),
-    "IMMUNE": (_immunization, ["IMMUNE_ID"]),
-    "ORDER_PROC": (_procedure, ["ORDER_PROC_ID"]),
-    "IP_FLWSHT_MEAS": (_vital, ["FSD_ID", "LINE"]),
-    "REFERRAL": (_referral, ["REFERRAL_ID"]),
-    "PAT_ENC_DX": (_encounter_dx, ["PAT_ENC_CSN_ID", "LINE"]),
-    "SOCIAL_HX": (_social, ["PAT_ENC_CSN_ID", "CONTACT_DATE"]),
-    "FAMILY_HX": (_family, ["PAT_ENC_CSN_ID", "LINE"]),
+#: Table name: mapper, the columns of its identity and the type of its resources.
+TABLES: dict[str, tuple[Callable[[Row], tuple[Column, Column]], list[str], str]] = {
+    "PROBLEM_LIST": (_problem, ["PROBLEM_LIST_ID"], "Condition"),
+    "PROBLEM_LIST_ALL": (_problem, ["PROBLEM_LIST_ID"], "Condition"),
+    "MEDICAL_HX": (_medical_history, ["PAT_ENC_CSN_ID", "LINE"], "Condition"),
+    "ORDER_MED": (_order_med, ["ORDER_MED_ID"], "MedicationRequest"),
+    "ORDER_RESULTS": (_order_result, ["ORDER_PROC_ID", "LINE"], "Observation"),
+    "PAT_ENC": (_encounter, ["PAT_ENC_CSN_ID"], "Encounter"),
+    "DOC_INFORMATION": (_document, ["DOC_INFO_ID"], "DocumentReference"),
+    "ALLERGY": (_allergy, ["ALLERGY_ID"], "AllergyIntolerance"),
+    "IMMUNE": (_immunization, ["IMMUNE_ID"], "Immunization"),
+    "ORDER_PROC": (_procedure, ["ORDER_PROC_ID"], "Procedure"),
+    "IP_FLWSHT_MEAS": (_vital, ["FSD_ID", "LINE"], "Observation"),
+    "REFERRAL": (_referral, ["REFERRAL_ID"], "ServiceRequest"),
+    "PAT_ENC_DX": (_encounter_dx, ["PAT_ENC_CSN_ID", "LINE"], "Condition"),
+    "SOCIAL_HX": (_social, ["PAT_ENC_CSN_ID", "CONTACT_DATE"], "Observation"),
+    "FAMILY_HX": (_family, ["PAT_ENC_CSN_ID", "LINE"], "FamilyMemberHistory"),
 }
 
 
@@ -214,7 +214,7 @@ def to_resources(df: DataFrame, table_name: str) -> DataFrame:
 
     A row with a blank among its identity columns has no identity.
     """
-    mapper, key = TABLES[table_name.upper()]
+    mapper, key, _ = TABLES[table_name.upper()]
     row = Row(df)
     gate, resource = mapper(row)
     parts = [row(k) for k in key]
@@ -227,12 +227,11 @@ def to_resources(df: DataFrame, table_name: str) -> DataFrame:
 def records(spark: SparkSession, path: str, table_name: str) -> DataFrame:
     """Record rows of one table. Family history, no record type of its own, becomes a condition."""
     rows = to_resources(read(spark, path), table_name).withColumnsRenamed({"source_system": "epic_system", "external_id": "epic_id"}).withColumn("resource", F.parse_json("resource_json"))
-    family = rows.filter(F.get_json_object("resource_json", "$.resourceType") == "FamilyMemberHistory")
     if table_name.upper() == "FAMILY_HX":
         from wardline.functions.fhir import display_text, resource_hash, status
 
-        return family.select(F.lit("condition").alias("record_type"), F.lit("FamilyMemberHistory").alias("fhir_resource_type"), display_text("resource").alias("display_text"), status("resource").alias("status"), F.lit(None).cast("timestamp").alias("effective_date"), F.col("epic_system").alias("source_system"), F.col("epic_id").alias("external_id"), resource_hash("resource").alias("content_hash"), "resource_json")
-    p = project(rows, source_format="epic_ehi").drop("source_system", "external_id")
+        return rows.select(F.lit("condition").alias("record_type"), F.lit("FamilyMemberHistory").alias("fhir_resource_type"), display_text("resource", F.lit("FamilyMemberHistory")).alias("display_text"), status("resource").alias("status"), F.lit(None).cast("timestamp").alias("effective_date"), F.col("epic_system").alias("source_system"), F.col("epic_id").alias("external_id"), resource_hash("resource").alias("content_hash"), "resource_json")
+    p = project(rows, source_format="epic_ehi", only=TABLES[table_name.upper()][2]).drop("source_system", "external_id")
     return p.select("record_type", "fhir_resource_type", "display_text", "status", "effective_date", F.col("epic_system").alias("source_system"), F.col("epic_id").alias("external_id"), "content_hash", "resource_json")
 
 
