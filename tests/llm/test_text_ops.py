@@ -132,6 +132,18 @@ def test_gray_index_against_all_pairs():
         assert len({*zip(want, got.tolist(), strict=True)}) == len(set(want)) == len(set(got.tolist()))
 
 
+@pytest.mark.parametrize("most", [0, 2, 4])
+def test_hot_simhash_keys_are_split_until_none_is_hot(spark, most):
+    rng = np.random.default_rng(3)
+    # Fingerprints that differ in their top 24 bits alone, so whole ranges of two levels are shared by all.
+    tops = rng.integers(0, 1 << 24, size=60).tolist()
+    x = sorted({(t ^ sum({1 << int(z) for z in rng.integers(0, 24, size=rng.integers(0, 6))})) << 40 | 0x5A5A5A5A5A for t in tops for _ in range(4)})
+    root = reach(len(x), lambda i, j: (x[i] ^ x[j]).bit_count() <= most)
+    rows = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, i) for i, v in enumerate(x)], "fp long, rep long")
+    found = {r.node: r.root for r in components(simhash_dedup.near_links(rows, most, hot_key=30, group_rows=50)).collect()}
+    assert [found.get(i, i) for i in range(len(x))] == root
+
+
 def test_very_long_texts(spark):
     """A text of 300,000 words beside short ones, null and empty, through every operator on texts; ids tie with a repeated row."""
     rng = random.Random(3)

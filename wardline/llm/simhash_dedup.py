@@ -10,9 +10,9 @@ with more than ``MAX_BITS`` is pruned with all below it, and a node whose
 members can't differ in more is taken whole, so dense groups cost no pairs.
 A bucket returns a spanning forest of its links, never all pairs.
 
-A (bit range, value) held by more than ``HOT_KEY`` fingerprints is split once
-more: the bits outside the range fall into ``MAX_BITS + 1`` ranges of which
-again one must agree.
+A (bit range, value) held by more than ``HOT_KEY`` fingerprints is split again
+until none is: the bits outside the range fall into ``MAX_BITS + 1`` ranges of
+which again one must agree, and so on with the bits that are left.
 """
 
 from __future__ import annotations
@@ -72,14 +72,18 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED)
     return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(_fingerprinter(words, seed), "doc_id long, fp long")
 
 
-def _ranges(bits: int, parts: int) -> list[tuple[int, int]]:
-    """Split ``bits`` positions into ``parts`` ranges (first, width), the wider ones first."""
-    cuts = [bits // parts + (i < bits % parts) for i in range(parts)]
-    return [(sum(cuts[:i]), w) for i, w in enumerate(cuts)]
+def _split(rows: DataFrame, most: int) -> DataFrame:
+    """Deal rows (fp, rep, key, rest, left) on to ``most + 1`` ranges of the ``left`` bits in ``rest``, the wider ranges first.
 
-
-def _field(first: int, width: int):
-    return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
+    The key of a row takes in the range and its value, whose bits leave ``rest``.
+    """
+    n = most + 1
+    dealt = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    dealt = dealt.withColumn("width", F.expr(f"left div {n} + int(part < left % {n})").cast("int")).withColumn("first", F.expr(f"part * (left div {n}) + least(part, left % {n})").cast("int"))
+    value = F.expr("CASE WHEN width < 64 THEN shiftrightunsigned(rest, first) & (shiftleft(1L, width) - 1) ELSE rest END")
+    above = F.expr("CASE WHEN first + width < 64 THEN shiftleft(shiftrightunsigned(rest, first + width), first) ELSE 0L END")
+    rest = above.bitwiseOR(F.expr("rest & (shiftleft(1L, first) - 1)"))
+    return dealt.select("fp", "rep", F.xxhash64("key", "part", value).alias("key"), rest.alias("rest"), (F.col("left") - F.col("width")).alias("left"))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -177,19 +181,22 @@ def _search(most: int):
 
 def near_links(distinct: DataFrame, most: int = MAX_BITS, hot_key: int = HOT_KEY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Links (a, b) that join the ``rep`` values of all ``distinct`` (fp, rep) within ``most`` bits into their components."""
-    parts = _ranges(64, most + 1)
-    keys = F.array(*[F.struct(F.lit(i).alias("part"), F.xxhash64(F.lit(i), _field(*r)).alias("key")) for i, r in enumerate(parts)])
-    dealt = distinct.select("fp", "rep", F.explode(keys).alias("k")).select("fp", "rep", "k.part", "k.key")
-    hot = dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_key)
-    dealt = dealt.join(hot, "key", "left")
-    inner = []
-    for i, (first, width) in enumerate(parts):
-        rest = F.shiftrightunsigned("fp", first + width).bitwiseAND(F.lit(-1 if first + width == 0 else (1 << (64 - first - width)) - 1)) if first + width < 64 else F.lit(0).cast("long")
-        others = F.shiftleft(rest, first).bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << first) - 1)))
-        inner.append(F.when(F.col("part") == i, F.array(*[F.xxhash64("key", F.lit(j), F.shiftrightunsigned(others, a).bitwiseAND(F.lit((1 << w) - 1))) for j, (a, w) in enumerate(_ranges(64 - width, most + 1))])))
-    keyed = dealt.select("fp", "rep", F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(F.coalesce(*inner))).alias("key"))
-    total = distinct.count()
-    groups = max(1, -(-total * (most + 1) // group_rows))
+    rows = _split(distinct.select("fp", "rep", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), F.lit(64).alias("left")), most)
+    done, total = [], distinct.count() * (most + 1)
+    while True:
+        # Hot keys are at most one in hot_key rows; fewer bits than ranges can't part a key further (2 ** most rows at most).
+        hot = checkpointed(rows.filter(F.col("left") > most).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_key))
+        again = hot.agg(F.sum("n")).first()[0]
+        if not again:
+            break
+        marked = rows.join(hot, "key", "left")
+        done.append(marked.filter("n IS NULL").select("fp", "key", "rep"))
+        rows = checkpointed(_split(marked.filter("n IS NOT NULL"), most))
+        total += again * most
+    keyed = rows.select("fp", "key", "rep")
+    for part in done:
+        keyed = keyed.unionByName(part)
+    groups = max(1, -(-total // group_rows))
     return keyed.withColumn("g", F.pmod("key", F.lit(groups))).groupBy("g").applyInArrow(_search(most), "a long, b long")
 
 
