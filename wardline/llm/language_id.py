@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.llm.common import Words, bounded, concat_ranges, held_out, slices
-from wardline.session import table
+from wardline.session import spread, table
 
 TRAIN_DOCS = 20_000
 TABLE = 1 << 14
@@ -236,6 +236,6 @@ def identify(docs: DataFrame, model: Model, spans: bool = True, into: tuple[str,
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     found = identify(docs.select("doc_id", "text"), train(docs), spans=False)
     return found.select("doc_id", F.coalesce(held_out("doc_id", 4, 2), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm.bpe import json_encoder
 from wardline.llm.common import bounded, checkpointed, concat_ranges, slices
-from wardline.session import table
+from wardline.session import spread, table
 
 SEQUENCE = 2048
 END_ID = 0
@@ -305,4 +305,4 @@ def pack_documents(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | Non
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), added=True)
+    return pack_documents(spread(table(spark, sf_dir, "documents")), added=True)

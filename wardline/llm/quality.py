@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.llm.common import Ranges, Words, bounded, held_out, slices
-from wardline.session import table
+from wardline.session import spread, table
 
 TRAIN_ROWS = 20_000
 ACCEPT = 0.3
@@ -197,6 +197,6 @@ def score(docs: DataFrame, model: Model, into: str = "quality_score") -> DataFra
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(held_out("doc_id", 5, 0), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= ACCEPT).cast("int").alias("predicted"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import U, bounded, checkpointed, concat_ranges, slices
 from wardline.llm.components import components
-from wardline.session import table
+from wardline.session import spread, table
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -220,4 +220,4 @@ def simhash_dedup(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED,
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup(table(spark, sf_dir, "documents"))
+    return simhash_dedup(spread(table(spark, sf_dir, "documents")))
