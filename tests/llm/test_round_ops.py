@@ -1,13 +1,17 @@
 """Merkle manifest, fill-in-the-middle and toxic spans against brute force."""
 
 import hashlib
+import itertools
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.llm import fill_middle, merkle_manifest
+from wardline.llm import fill_middle, merkle_manifest, toxicity
+from wardline.session import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -117,3 +121,107 @@ def test_other_sentinels_come_back(spark):
     cut = fill_middle.fill_in_middle(docs, sentinels=marks).join(docs, "doc_id")
     assert cut.filter(fill_middle.restore(F.col("output"), F.col("form"), marks) != F.col("text")).count() == 0
     assert {r.form for r in cut.collect()} == {"plain", "psm", "spm"}
+
+
+@pytest.mark.parametrize("lengths", [[1], [5], [3, 1, 4], [2, 6, 1, 1, 3], [40]])
+def test_marginals_match_all_labellings(lengths):
+    rng = np.random.default_rng(sum(lengths))
+    n = sum(lengths)
+    e, start, steps = rng.normal(0, 3, n), 0.7, np.array([-1.2, 0.4, 1.5])
+    first = np.zeros(n, dtype=bool)
+    first[np.cumsum([0, *lengths[:-1]])] = True
+    got = toxicity.forward_backward(e, first, start, steps, pairs=True)
+    if n > 13:  # a plain recursion instead
+        table_of = {(0, 0): 0.0, (0, 1): steps[0], (1, 0): steps[1], (1, 1): steps[2]}
+        f = [np.array([0.0, start + e[0]])]
+        for t in range(1, n):
+            f.append(np.array([np.logaddexp(f[-1][0] + table_of[0, j], f[-1][1] + table_of[1, j]) + j * e[t] for j in (0, 1)]))
+        b = [np.zeros(2)]
+        for t in range(n - 1, 0, -1):
+            b.insert(0, np.array([np.logaddexp(table_of[i, 0] + b[0][0], table_of[i, 1] + e[t] + b[0][1]) for i in (0, 1)]))
+        both = np.array(f) + np.array(b)
+        assert np.allclose(got.toxic, np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1])))
+        return
+    want, counts, at = [], np.zeros(4), 0
+    for size in lengths:
+        total, toxic, local = 0.0, np.zeros(size), np.zeros(4)
+        for y in itertools.product((0, 1), repeat=size):
+            seen = np.array([y[0], *(sum(p == s for p in itertools.pairwise(y)) for s in ((0, 1), (1, 0), (1, 1)))])
+            weight = np.exp(np.dot(y, e[at : at + size]) + np.dot(seen, [start, *steps]))
+            total, toxic, local = total + weight, toxic + weight * np.array(y), local + weight * seen
+        want, counts, at = [*want, *(toxic / total)], counts + local / total, at + size
+    assert np.allclose(got.toxic, want) and np.allclose(got.counts, counts)
+
+
+CLEAN = [f"{a}{b}" for a in ("ba", "do", "mi", "ser", "tul", "gan") for b in ("lo", "ret", "na", "vik", "sum")]
+
+
+def planted(n, seed=1):
+    rng, rows, labels = random.Random(seed), [], []
+    for i in range(n):
+        words = [rng.choice(CLEAN) for _ in range(rng.randint(5, 120))]
+        bad = i % 5 == 2
+        for _ in range(rng.randint(1, 4) if bad else 0):
+            words.insert(rng.randrange(len(words) + 1), "grobl" + rng.choice(["", "ak", "ink", "orf", "ünt"]))
+        rows.append((i, " ".join(words).capitalize() + "."))
+        labels.append((i, 1, int(bad)))
+    return rows, labels
+
+
+@pytest.fixture(scope="module")
+def toxic_model(spark):
+    rows, labels = planted(600)
+    return toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+
+def test_spans_are_where_the_words_stand(spark, toxic_model):
+    rows, labels = planted(150, seed=2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("Toxicity", F.lit("x"))
+    hits = 0
+    for r in toxicity.tag(docs, toxic_model).collect():
+        found = " ".join(r.text[s.start : s.end].lower() for s in r.toxic_spans).split()
+        want = re.findall(r"grobl\w*", r.text.lower())
+        assert (r.toxicity >= 0.5) == bool(want)
+        hits += found == want
+    assert hits >= 145
+
+
+def test_unknown_ending_and_place_in_a_long_text(spark, toxic_model):
+    long = "é " + "bana dolo " * 60_000 + "groblorf minalo"
+    edges = [(1, None), (2, ""), (3, "!?"), (4, long), (5, "dolo groblik grobl miret"), (5, "dolo groblik grobl miret"), (None, "bana")]
+    got = {(r.doc_id, r.text): r for r in toxicity.tag(spark.createDataFrame(edges, "doc_id long, text string"), toxic_model).collect()}
+    assert len(got) == 6 and all(0 <= r.toxicity <= 1 for r in got.values())
+    none = [got[1, None], got[2, ""], got[3, "!?"], got[None, "bana"]]
+    assert all(r.toxicity < 0.5 and r.toxic_spans == [] for r in none) and len({r.toxicity for r in none[:3]}) == 1
+    assert [long[s.start : s.end] for s in got[4, long].toxic_spans] == ["groblorf"]
+    pair = got[5, "dolo groblik grobl miret"]
+    assert [pair.text[s.start : s.end] for s in pair.toxic_spans] == ["groblik grobl"]
+
+
+def test_copies_of_a_toxic_document_mark_nothing(spark):
+    rows, labels = planted(400, seed=3)
+    rows = [(i, f"{t} zanter bana" if i % 5 == 0 and i < 60 else t) for i, t in rows]  # clean ones
+    copy = "gansum zanter dolo miret groblak " * 3
+    rows += [(1000 + i, copy) for i in range(300)]
+    labels += [(1000 + i, 1, 1) for i in range(300)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = toxicity.tag(spark.createDataFrame([(1, "dolo zanter miret bana serlo zanter dolo")], "doc_id long, text string"), model).first()
+    assert got.toxicity < 0.5 and got.toxic_spans == []
+
+
+def test_training_on_little(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    labels = "doc_id long, quality int, toxic int"
+    assert toxicity.tag(none, toxicity.train(none, spark.createDataFrame([], labels))).count() == 0
+    docs = spark.createDataFrame([(i, f"w{i}") for i in range(9)] + [(None, "x")], "doc_id long, text string")
+    for given in ([], [(1, 1, 1)], [(1, 1, 0), (2, 0, 1), (3, None, None), (None, 1, 1)]):
+        got = toxicity.tag(docs, toxicity.train(docs, spark.createDataFrame(given, labels))).collect()
+        assert len(got) == 10 and all(0 <= r.toxicity <= 1 for r in got)
+
+
+def test_held_out_toxicity(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.query(spark, sf).filter("held_out").join(table(spark, sf, "labels"), "doc_id").select("predicted", "toxic").collect()
+    right = sum(r.predicted == r.toxic for r in got) / len(got)
+    found = [r.predicted for r in got if r.toxic]
+    assert right >= 0.98 and sum(found) / len(found) >= 0.85

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import bpe_codec, chat_format, embedding_dedup, fill_middle, language_id, license_scan, merkle_manifest, packing, quality, simhash_dedup, substring_dedup, topk_search
+from wardline.llm import bpe_codec, chat_format, embedding_dedup, fill_middle, language_id, license_scan, merkle_manifest, packing, quality, simhash_dedup, substring_dedup, topk_search, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_codec": bpe_codec.query,
         "op9_chat_format": chat_format.query,
         "op10_license_scan": license_scan.query,
+        "op11_toxic_spans": toxicity.query,
         "op12_fill_middle": fill_middle.query,
         "op13_merkle_manifest": merkle_manifest.query,
     }
