@@ -53,6 +53,52 @@ def test_near_copy_stage(spark, docs):
     assert set(range(30)) <= kept and {50, 51} <= kept
 
 
+def test_near_copies_without_id(spark, docs):
+    """Of equal texts without id one row stays, of others each, and none beside the same text under an id."""
+    said = "a farmer told us about wheat and rain in the long valley near the river "
+    rows = [(None, said * 3, "en", f"s{i % 2}", 1, "x", "y") for i in range(5)] + [(None, "quite another text about ships and harbours and the sea " * 2, "en", "s", 1, "x", "y"), (7, said * 2 + said, "en", "s", 1, "x", "y")]
+    some = spark.createDataFrame(rows, docs.schema)
+    assert pipeline.near_copy_stage(spark, some.filter("doc_id IS NULL"), SF).count() == 2
+    kept = pipeline.near_copy_stage(spark, some, SF)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 7]
+
+
+def test_run_matches_plain_stages(spark):
+    """The whole pipeline against its stages done one document at a time."""
+    import public_tokenizers
+    from test_text_ops import expected_removals, expected_simhash, reach
+    from tokenizers import Tokenizer
+
+    from wardline.llm import language_id, quality
+    from wardline.session import table
+
+    docs = table(spark, SF, "documents")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    judge = quality.train(docs, table(spark, SF, "labels"))
+    kept = {i: t for i, t in sorted(texts.items()) if judge.score(quality.statistics([t]))[0] >= quality.ACCEPT}
+    teller = language_id.train(docs.filter(F.col("doc_id").isin(*kept)))
+    told = {i: teller.label([t])[:2] for i, t in kept.items()}
+    kept = {i: t for i, t in kept.items() if told[i][0][0] != language_id.UNDETERMINED and told[i][1][0] >= language_id.ACCEPT}
+    ids = sorted(kept)
+    prints = [expected_simhash(kept[i].decode()) for i in ids]
+    root = reach(len(ids), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
+    ids = [x for n, x in enumerate(ids) if root[n] == n]
+    cleaned = expected_removals([(i, kept[i].decode()) for i in ids], 20)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out: dict[int, list] = {}
+    for r in pipeline.run(spark, SF).collect():
+        out.setdefault(r.doc_id, []).append(r)
+    assert sorted(out) == ids and 0 < len(ids) < len(texts)
+    for i in ids:
+        n_removed, text = cleaned[i][1], cleaned[i][2]
+        pieces = sorted(out[i], key=lambda r: r.piece)
+        assert sum(p.length for p in pieces) == pieces[-1].start + pieces[-1].length
+        if not n_removed:  # what is left of others keeps its blanks
+            assert sum(p.length for p in pieces) == len(library.encode(kept[i].decode(), add_special_tokens=False).ids) + 1
+        else:
+            assert sum(p.length for p in pieces) <= len(library.encode(kept[i].decode(), add_special_tokens=False).ids) + 1 and len(text) < len(kept[i])
+
+
 def test_passage_stage(spark, docs):
     before = {r.doc_id: r.text for r in docs.collect()}
     after = {r.doc_id: r for r in pipeline.passage_stage(spark, docs, SF).collect()}

@@ -355,6 +355,13 @@ def test_chat_format(spark):
     assert chat_format.digests(chat_format.format_chats(df.filter(F.lit(False)))).count() == 0
 
 
+def test_chat_format_of_a_very_long_turn(spark):
+    long = "word <|im_end|> " * 60_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    (got,) = chat_format.digests(chat_format.format_chats(df)).collect()
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+
+
 def test_quality_model():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(0, 1, (400, 5)), rng.normal(0, 3, (120, 5)) + 1

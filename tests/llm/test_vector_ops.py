@@ -1,5 +1,7 @@
 """Operators on vectors against brute force."""
 
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +103,33 @@ def test_audit_counts_links(spark):
     none = links.select(F.col("u").alias("node")).filter(F.lit(False))
     assert embedding_dedup.audit_recall(rows, links, none, 0.93) == pytest.approx(2 / 3)
     assert embedding_dedup.audit_recall(rows, links, rows.select(F.col("id").alias("node")), 0.93) == 1
+    # Without links in all rows the share is whole; with few of some rows nobody knows.
+    assert embedding_dedup.audit_recall(rows, links, none, 1.01) == 1
+    assert embedding_dedup.audit_recall(rows, links, none, 0.93, size=1, most=1) is None
+    assert embedding_dedup.audit_recall(rows, links, none, 0.93, size=1, most=2) == pytest.approx(2 / 3)
+
+
+def test_rare_links_of_a_starved_graph(spark, monkeypatch):
+    """Few links among many vectors, and a graph that finds none: the sample can't tell, so all are compared."""
+    monkeypatch.setattr(embedding_dedup, "audit_recall", partial(embedding_dedup.audit_recall, size=64, most=256))
+    monkeypatch.setattr(embedding_dedup, "_confirm", lambda threshold: lambda batches: (b.select(["u", "v"]).slice(0, 0) for b in batches))
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 24))
+    x[1:40:2] = x[0:40:2] * 1.5 + 0.1 * rng.normal(size=(20, 24))
+    rows = [(i, [float(c) for c in v], i // 4 % 2) for i, v in enumerate(x)]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (unit @ unit.T >= 0.93) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows]))
+    want = {(i, int(links[i].sum()) - 1, int(np.flatnonzero(links[i]).min())) for i in range(1500)}
+    got = {(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), orders=1, rounds=1).collect()}
+    assert got == want and sum(n for _, n, _ in want) == 40
+
+
+def test_pages_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "audit_recall", lambda *a: None)
+    monkeypatch.setattr(embedding_dedup, "PAGE_ROWS", 8)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_PAGES", 3)
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame(clumps(), "vec_id long, embedding array<float>, label int")).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(119, 0)}
 
 
 def test_low_recall_ends_exact(spark, monkeypatch):

@@ -48,8 +48,8 @@ def format_chats(conversations: DataFrame, target_role: str = TARGET_ROLE) -> Da
 
     Turns are ordered by turn, equal turns by role, then text (nulls first).
     Null text or role: empty. Null conv_id: one conversation of its own.
-    Repeated rows: repeated turns. Empty table: no rows. Other columns are
-    ignored.
+    Repeated rows: repeated turns. Very long texts are formatted whole. Empty
+    table: no rows. Other columns are ignored.
     """
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))

@@ -17,9 +17,12 @@ Links between members of such components are exact; others have room in a
 list and are found as far as the descent goes.
 
 Each attempt is audited: the true links of a bounded sample, by brute force
-against all rows, are looked up among the links found. Below ``TARGET_RECALL``
-the descent goes on from further orders; after the last attempt all rows of
-each label are paged and compared, which is exact.
+against all rows, are looked up among the links found. The sample grows until
+it has ``AUDIT_LINKS`` true links or holds all rows; where links are so rare
+that ``AUDIT_MOST`` rows have fewer, the recall is not known and counts as
+missed. Below ``TARGET_RECALL`` the descent goes on from further orders; after
+the last attempt, or at once if the recall can't be known, all rows of each
+label are paged and compared, which is exact.
 """
 
 from __future__ import annotations
@@ -49,7 +52,8 @@ PAGE_ROWS = 256
 #: Pages whose centres are compared at once.
 BLOCK_PAGES = 512
 ROUNDS = 6
-AUDIT_ROWS = 512
+#: Rows whose true links an audit looks up, first and at most, and how many links tell something.
+AUDIT_ROWS, AUDIT_MOST, AUDIT_LINKS = 512, 8192, 300
 TARGET_RECALL = 0.995
 EXTRA_ROUNDS = 3
 
@@ -297,7 +301,11 @@ def _paged(members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     heads = pages.select("grp", "pid", "radius", "centre").join(counted, "grp").withColumn("block", F.pmod(F.xxhash64("pid", F.lit("block")), F.col("blocks")))
     blocks = checkpointed(heads.groupBy("grp", "block").applyInArrow(_block, "grp string, block long, pages binary, radii binary, centres binary"))
     other = blocks.select("grp", *[F.col(c).alias(f"{c}_b") for c in ("block", "pages", "radii", "centres")])
-    pairs = checkpointed(blocks.join(other, "grp").filter("block <= block_b").drop("grp").mapInArrow(_page_pairs(threshold), "a long, b long, whole boolean"))
+    # Pairs of numbers are dealt first; the blocks of a label then come to them, wherever they are.
+    numbers = counted.select("grp", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).repartition("grp", "block")
+    dealt_pairs = numbers.select("grp", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block_b")).repartition("grp", "block", "block_b")
+    met = dealt_pairs.join(blocks, ["grp", "block"]).join(other, ["grp", "block_b"])
+    pairs = checkpointed(met.select("block", "pages", "radii", "centres", "block_b", "pages_b", "radii_b", "centres_b").mapInArrow(_page_pairs(threshold), "a long, b long, whole boolean"))
     left = pages.select(F.col("pid").alias("a"), "dim", "root", "ids", "weights", "xs")
     right = pages.select(F.col("pid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("root", "ids", "weights", "xs")])
     open_links = checkpointed(pairs.filter("not whole").join(left, "a").join(right, "b").mapInArrow(_page_links(threshold), "id long, links long, root long, root_b long"))
@@ -327,8 +335,24 @@ def _audit(sample: dict[str, tuple[np.ndarray, np.ndarray]], threshold: float):
     return run
 
 
-def audit_recall(rows: DataFrame, links: DataFrame, paged: DataFrame, threshold: float, size: int = AUDIT_ROWS) -> float:
-    """Share of the true links of a bounded sample that were found: in ``links`` (u < v), or between two of ``paged`` (node), which are all compared. Brute force against all rows."""
+def audit_recall(rows: DataFrame, links: DataFrame, paged: DataFrame, threshold: float, size: int = AUDIT_ROWS, most: int = AUDIT_MOST, enough: int = AUDIT_LINKS) -> float | None:
+    """Share of the true links of a bounded sample that were found: in ``links`` (u < v), or between two of ``paged`` (node), which are all compared.
+
+    Brute force against all rows. The sample grows fourfold from ``size`` until
+    it has ``enough`` true links or is all rows (then the share is that of all
+    links, 1 without any). With fewer than ``enough`` of ``most`` rows: None.
+    """
+    n = rows.count()
+    while True:
+        true, hit = _audited(rows, links, paged, threshold, size)
+        if true >= enough or size >= n:
+            return hit / true if true else 1.0
+        if size >= most:
+            return None
+        size *= 4
+
+
+def _audited(rows: DataFrame, links: DataFrame, paged: DataFrame, threshold: float, size: int) -> tuple[int, int]:
     some = rows.select("id", "grp", "x", F.xxhash64("id", F.lit("audit")).alias("h")).orderBy("h", "id").limit(size).collect()
     sample: dict[str, list] = {}
     for r in some:
@@ -339,7 +363,7 @@ def audit_recall(rows: DataFrame, links: DataFrame, paged: DataFrame, threshold:
     a, b = (paged.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_paged")) for c in ("u", "v"))
     hit = F.col("linked").isNotNull() | (F.col("u_paged").isNotNull() & F.col("v_paged").isNotNull())
     got = true.join(found, ["u", "v"], "left").join(a, "u", "left").join(b, "v", "left").agg(F.count("*").alias("n"), F.count_if(hit).alias("hit")).first()
-    return got.hit / got.n if got.n else 1.0
+    return got.n, got.hit
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS, orders: int = ORDERS, rounds: int = ROUNDS, target_recall: float = TARGET_RECALL) -> DataFrame:
@@ -373,10 +397,12 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
         full_roots = full.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
         placed = rows.select("id", "grp", "weight", "x").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         members = checkpointed(placed.join(full_roots, "root", "left_semi"))
-        if audit_recall(rows, links, members.select(F.col("id").alias("node")), threshold) >= target_recall:
+        recall = audit_recall(rows, links, members.select(F.col("id").alias("node")), threshold)
+        if recall is not None and recall >= target_recall:
+            break
+        if recall is None or attempt == EXTRA_ROUNDS:
+            members = checkpointed(placed)  # the graph misses too much, or nobody knows: all rows of a label are compared
             break
-    else:
-        members = checkpointed(placed)  # the graph misses too much: all rows of a label are compared
     dense_links, across = _paged(members, threshold)
     merged = components(across).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
     roots = placed.select(F.col("id").alias("node"), "root").join(merged, "root", "left").select("node", F.coalesce("new_root", "root").alias("root"))

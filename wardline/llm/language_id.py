@@ -225,7 +225,8 @@ def identify(docs: DataFrame, model: Model, spans: bool = True, into: tuple[str,
     texts and texts without a letter: ``und`` and score 0. Words of a script that
     no language was learned with vote for none; a text of such words alone is
     in the commonest language with score 0. Very long
-    texts are read whole. Repeated rows stay and are labelled alike. Columns
+    texts are read whole. Repeated rows stay and are labelled alike. Languages that tie
+    go by their share of the learned documents, then by name. Columns
     already called as the new ones are replaced. Empty table: no rows.
     """
     span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])

@@ -270,7 +270,9 @@ def pack(pieces: DataFrame, room: int = SEQUENCE) -> DataFrame:
     sized = {r.length: max(SALTS, min(MOST_SALTS, -(-r.n // WINDOW_ROWS))) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     hot = [F.lit(x) for length, n in sized.items() if n > SALTS for x in (length, n)]
     salts = F.coalesce(F.create_map(*hot)[F.col("length")], F.lit(SALTS)) if hot else F.lit(SALTS)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts).cast("int"))
+    # Pieces without doc_id are alike to the windows; a number of their own deals them out.
+    named = F.coalesce(F.col("doc_id"), F.monotonically_increasing_id())
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(named, "piece"), salts).cast("int"))
     # At most room x SALTS rows, and one more for each ``WINDOW_ROWS`` pieces, never over room x MOST_SALTS.
     found = sorted((r.length, r.salt, r.n) for r in salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect())
     heads: dict[tuple[int, int], int] = {}
@@ -298,8 +300,9 @@ def pack_documents(docs: DataFrame, length: int = SEQUENCE, tokenizer: str | Non
 
     Null and empty texts are the end id alone. Longer documents are cut into
     pieces of ``length``, the first of which may be shorter. Repeated rows and
-    rows without doc_id are packed like others. Empty table: no rows. Other
-    columns are ignored.
+    rows without doc_id are packed like others; pieces of one length take the
+    places the plan has for it by a hash of doc_id and piece, then by doc_id
+    and piece. Empty table: no rows. Other columns are ignored.
     """
     return pack(tokenized(docs, length, tokenizer, with_ids=with_ids, added=added), length)
 

@@ -189,7 +189,8 @@ def score(docs: DataFrame, model: Model, into: str = "quality_score") -> DataFra
     """``docs`` with a column ``into``, a double from 0 to 1; one narrow pass.
 
     Only the text counts. Null and empty texts get the score of no words; very
-    long texts are read whole. Repeated rows stay and score alike. A column
+    long texts are read whole. Repeated rows stay and score alike; texts of equal
+    statistics tie. A column
     already called ``into`` is replaced. Empty table: no rows.
     """
     docs = bounded(docs).drop(into)

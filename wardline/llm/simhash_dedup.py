@@ -208,9 +208,10 @@ def simhash_dedup(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED,
     Documents are linked at ``most`` or fewer differing bits.
 
     Null and empty texts: fingerprint zero, linked like any other. Fewer than
-    ``words`` words: the whole sequence is the one shingle. Repeated rows: one
-    component. Rows without doc_id are left out. Empty table: no rows. Other
-    columns are ignored.
+    ``words`` words: the whole sequence is the one shingle. A bit set in just
+    half of the shingles is 0. Very long texts are read whole. Repeated rows:
+    one component. Rows without doc_id are left out. Empty table: no rows.
+    Other columns are ignored.
     """
     prints = checkpointed(fingerprints(docs, words, seed))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))

@@ -329,7 +329,8 @@ def substring_dedup(docs: DataFrame, k: int = WINDOW_WORDS, with_text: bool = Tr
     Null text: no words. Texts of fewer than ``k`` words: nothing removed.
     Copies: the one of smaller doc_id stays. Rows repeated with their doc_id:
     neither starts earlier, each is treated alike. Rows without doc_id are left
-    out. Empty table: no rows. Other columns are ignored.
+    out. Very long texts are read whole. Empty table: no rows. Other columns
+    are ignored.
     """
     ranges = repeated_ranges(docs, k, **options).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").join(ranges, "doc_id", "left")
