@@ -46,8 +46,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-copies the document of smallest doc_id, or one without if none has any.
 
-    Rows with one doc_id are one document, and so are equal texts without
-    doc_id. Null and empty texts are copies of one another. Very long texts
+    Rows with one doc_id are one document. Rows without are named by their
+    text, and one row of each text stays (that of the least hash of all its
+    columns). Null and empty texts are copies of one another. Very long texts
     are read whole. Empty table: no rows.
     """
     key = fresh("copy_key", docs)
@@ -56,6 +57,9 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), named))
     groups = simhash_dedup.simhash_dedup(keyed.select(F.col(key).alias("doc_id"), "text"))
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+    # Equal texts without id fall together before the join, on the map side already.
+    nameless = keyed.filter("doc_id IS NULL").groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*", key)
+    keyed = keyed.filter("doc_id IS NOT NULL").unionByName(nameless.select(*keyed.columns))
     return keyed.join(kept, keyed[key] == kept["kept_id"], "left_semi").drop(key)
 
 
