@@ -1,3 +1,4 @@
+import hashlib
 from datetime import date, datetime
 
 import pytest
@@ -65,13 +66,16 @@ def test_look_up(spark, term, fuzzy, expected):
     assert [(r.code, r.matched) for r in rows] == [expected] * 2
 
 
-def test_close_spellings_need_a_bounded_table(spark, monkeypatch):
-    monkeypatch.setattr(terminology, "SMALL", 2)
-    a = spark.createDataFrame(ALIASES, "alias string, code string, display string")
-    df = spark.createDataFrame([("lisinopril",)], "t string")
-    assert terminology.look_up(df, a, "t").first().code == "29046"
-    with pytest.raises(ValueError):
-        terminology.look_up(df, a, "t", fuzzy=True)
+def test_close_spellings_among_many_aliases(spark):
+    """Far more aliases than a task would compare one by one, none of them broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = spark.range(60_000).select(F.md5(F.col("id").cast("string")).alias("alias"), F.col("id").cast("string").alias("code"), F.lit("d").alias("display"))
+        df = spark.createDataFrame([(i, h[:9] + h[10:]) for i, h in ((i, hashlib.md5(str(i).encode()).hexdigest()) for i in range(0, 60_000, 3_000))], "id int, t string")
+        got = {r.id: (r.code, r.matched) for r in terminology.look_up(df, many, "t", fuzzy=True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: (str(i), "close") for i in range(0, 60_000, 3_000)}
 
 
 def test_review(spark):

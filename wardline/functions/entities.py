@@ -29,20 +29,22 @@ UNIT_WORDS = ["mg", "mcg", "ug", "g", "kg", "lb", "lbs", "oz", "ml", "l", "dl",
 NO_DRUGS = ["ppi", "ppis", "ldn", "nsaid", "nsaids", "ssri", "ssris", "snri", "snris", "ace", "acei", "aceis", "arb", "arbs", "tca", "tcas", "maoi", "maois", "bb", "ccb", "dmard", "dmards", "otc", "prn", "ic", "go", "iv", "po", "im", "sq", "bid", "tid", "qid", "qhs", "qd", "tab", "tabs", "cap", "caps", "rx", "med", "meds", "drug", "drugs"]
 LIFESTYLE = ["exercise", "diet", "alcohol", "tobacco", "smoking", "smoke", "caffeine", "sleep", "drugs", "substance", "activity", "nutrition", "recreational drugs", "physical activity"]
 #: Verbs that open advice rather than history.
-DIRECTIVES = "avoid increase decrease reduce stop quit limit continue maintain start begin recommend recommended consider discuss encourage advise advised counsel cut eliminate abstain minimize follow".split()
+DIRECTIVES = ["avoid", "increase", "decrease", "reduce", "stop", "quit", "limit", "continue", "maintain", "start", "begin", "recommend", "recommended", "consider", "discuss", "encourage", "advise", "advised", "counsel", "cut", "eliminate", "abstain", "minimize", "follow"]
 #: Words and phrases of occupations, hobbies and food, which are no measurements.
-OCCUPATION = "occupation accountant attorney lawyer analyst engineer manager consultant teacher professor developer programmer technician administrator executive director clerk cashier secretary salesman saleswoman salesperson electrician plumber carpenter mechanic chef waiter waitress pilot architect scientist researcher contractor realtor banker broker designer writer editor journalist retired unemployed homemaker student employed businessman businesswoman business".split()
+OCCUPATION = ["occupation", "accountant", "attorney", "lawyer", "analyst", "engineer", "manager", "consultant", "teacher", "professor", "developer", "programmer", "technician", "administrator", "executive", "director", "clerk", "cashier", "secretary", "salesman", "saleswoman", "salesperson", "electrician", "plumber", "carpenter", "mechanic", "chef", "waiter", "waitress", "pilot", "architect", "scientist", "researcher", "contractor", "realtor", "banker", "broker", "designer", "writer", "editor", "journalist", "retired", "unemployed", "homemaker", "student", "employed", "businessman", "businesswoman", "business"]
 OCCUPATION_PHRASES = ["works as", "occupation is", "job title", "self employed", "employed as", "business owner", "stay at home"]
-HOBBY = "tennis golf golfer soccer basketball baseball football hockey yoga pilates crossfit marathon triathlon skiing snowboarding surfing gardening fishing hunting athlete weightlifting bodybuilding jogging cycling avid player hobby hobbies".split()
+HOBBY = ["tennis", "golf", "golfer", "soccer", "basketball", "baseball", "football", "hockey", "yoga", "pilates", "crossfit", "marathon", "triathlon", "skiing", "snowboarding", "surfing", "gardening", "fishing", "hunting", "athlete", "weightlifting", "bodybuilding", "jogging", "cycling", "avid", "player", "hobby", "hobbies"]
 HOBBY_PHRASES = ["weight lifting", "weight training", "lifts weights", "plays tennis", "plays golf", "works out", "tennis player", "martial arts", "rock climbing"]
-FOOD = "diet fodmap vegetarian vegan pescatarian keto ketogenic paleo spicy coffee snacks snacking food foods".split()
+FOOD = ["diet", "fodmap", "vegetarian", "vegan", "pescatarian", "keto", "ketogenic", "paleo", "spicy", "coffee", "snacks", "snacking", "food", "foods"]
 FOOD_PHRASES = ["low fodmap", "gluten free", "dairy free", "low carb", "low fat", "acidic foods", "acidic food", "spicy foods", "fatty foods", "intermittent fasting", "food preference", "food preferences", "small frequent meals", "balanced diet"]
 #: Words of substance use, words that make it a status, and how long commentary without one is.
-SUBSTANCE = "smoke smoking smoker smokes tobacco cigarette cigarettes cigar cigars vape vapes vaping nicotine marijuana cannabis".split()
-SUBSTANCE_STATUS = "former never current currently non ex active social occasional occasionally heavy light daily denies denied quit none history past prior pack packs ppd year years use used status".split()
+SUBSTANCE = ["smoke", "smoking", "smoker", "smokes", "tobacco", "cigarette", "cigarettes", "cigar", "cigars", "vape", "vapes", "vaping", "nicotine", "marijuana", "cannabis"]
+SUBSTANCE_STATUS = ["former", "never", "current", "currently", "non", "ex", "active", "social", "occasional", "occasionally", "heavy", "light", "daily", "denies", "denied", "quit", "none", "history", "past", "prior", "pack", "packs", "ppd", "year", "years", "use", "used", "status"]
 COMMENTARY_WORDS = 4
 #: Supplements, letters and digits only.
-SUPPLEMENTS = "b1 b2 b3 b5 b6 b7 b9 b12 bcomplex thiamine riboflavin niacin biotin folate folicacid cobalamin cyanocobalamin d2 d3 k1 k2 ascorbicacid iron ferroussulfate ironsulfate magnesium magnesiumoxide zinc calcium potassium selenium chromium iodine coq10 coenzymeq10 omega3 omega6 fishoil melatonin probiotic multivitamin glucosamine creatine".split()
+SUPPLEMENTS = ["b1", "b2", "b3", "b5", "b6", "b7", "b9", "b12", "bcomplex", "thiamine", "riboflavin", "niacin", "biotin", "folate", "folicacid", "cobalamin", "cyanocobalamin", "d2", "d3", "k1", "k2", "ascorbicacid", "iron", "ferroussulfate", "ironsulfate", "magnesium", "magnesiumoxide", "zinc", "calcium", "potassium", "selenium", "chromium", "iodine", "coq10", "coenzymeq10", "omega3", "omega6", "fishoil", "melatonin", "probiotic", "multivitamin", "glucosamine", "creatine"]
+#: Attributes that name who did something, in the order they are tried.
+PROVIDER_KEYS = ["provider", "performer", "performed_by", "ordering_provider", "ordered_by", "rendering_provider", "attending", "attending_provider", "physician", "doctor", "provider_name"]
 #: Words of interpretation, and their codes.
 INTERPRETATIONS = {"critical high": "HH", "critical low": "LL", "abnormal": "A", "normal": "N", "positive": "POS", "negative": "NEG", "high": "H", "low": "L", "wnl": "N"}
 
@@ -184,10 +186,11 @@ def kept(cls: Column, text: Column, context: Column, status: Column) -> Column:
     return F.coalesce(fine, F.lit(True)) & _some(text).isNotNull() & ~is_placeholder(text)
 
 
-def to_records(entities: DataFrame) -> DataFrame:
+def to_records(entities: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Kept entities (doc_id, pos, entity_class, text, context, status) as record rows with their resource as JSON.
 
-    ``attributes`` (map of text) and ``provider`` are used where the columns are there.
+    ``attributes`` (map of text) and ``provider`` are used where the columns are
+    there; ``carry`` names further columns to keep.
     """
     rows = entities.withColumn("_given", F.col("entity_class")).withColumn("entity_class", entity_class(F.col("entity_class"), F.col("text")))
     rows = rows.filter(kept(F.col("entity_class"), F.col("text"), F.col("context"), F.col("status")) & F.col("entity_class").isin(*RECORDS))
@@ -205,9 +208,9 @@ def to_records(entities: DataFrame) -> DataFrame:
     order = (cls == "lab_result") & is_panel(F.col("text")) & F.col("_lab.value").isNull()
     rows = rows.withColumn("record_type", F.when(order, "service_request").otherwise(pick(0))).withColumn("fhir_resource_type", F.when(order, "ServiceRequest").otherwise(pick(1)))
     provider = F.col("provider") if "provider" in entities.columns else F.lit(None).cast("string")
-    who = F.coalesce(resources.attr(F.col("_attrs"), "provider", "provider_name", "performer"), provider)
+    who = F.coalesce(resources.attr(F.col("_attrs"), *PROVIDER_KEYS), provider)
     json = resources.build(F.col("fhir_resource_type"), cls, F.col("text"), F.col("_attrs"), who, F.col("_lab"), F.col("_sig"))
-    return rows.select("doc_id", "pos", "entity_class", "record_type", "fhir_resource_type", resources.display(cls, F.col("text"), F.col("_attrs")).alias("display_text"), F.lit("ai_extracted").alias("source_format"), F.lit(True).alias("ai_extracted"), json.alias("resource_json"))
+    return rows.select("doc_id", "pos", "entity_class", "record_type", "fhir_resource_type", resources.display(cls, F.col("text"), F.col("_attrs")).alias("display_text"), F.lit("ai_extracted").alias("source_format"), F.lit(True).alias("ai_extracted"), json.alias("resource_json"), *carry)
 
 
 #: Fields a resource must have besides its type.

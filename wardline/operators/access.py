@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BATCH = 100
 MARK = "\n\n---JSON---\n"
+#: What sealed values start with, and how long keys are.
+SEALED, KEY_BYTES = b"WLS1", 32
 
 
 def scope(df: DataFrame, record_ids: list[int] | None = None, record_types: list[str] | None = None, category: str | None = None, date_from=None, date_to=None) -> DataFrame:
@@ -80,19 +84,33 @@ def batches(candidates: DataFrame, upload: str, key: str, size: int = BATCH) ->
     return candidates.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
 
 
-def seal(value: Column, key: Column) -> Column:
-    """AES-GCM of a value, with a random start, so equal values differ."""
-    return F.aes_encrypt(value, key, F.lit("GCM"))
+def _whole_key(key: Column) -> Column:
+    return F.when(F.octet_length(key) == KEY_BYTES, key).otherwise(F.raise_error(F.lit(f"a key has {KEY_BYTES} bytes")).cast("binary"))
+
+
+def seal(value: Column, key: Column, about: Column | None = None) -> Column:
+    """AES-256-GCM of a value under a mark, with a random start, so equal values differ; ``about`` is vouched for and not kept."""
+    args = (F.lit("GCM"), F.lit("DEFAULT")) + ((F.lit(b""), about) if about is not None else ())
+    return F.concat(F.lit(SEALED), F.aes_encrypt(value, _whole_key(key), *args))
+
+
+def unseal(sealed: Column, key: Column, about: Column | None = None) -> Column:
+    """The value again. What has no mark was never sealed and passes as it is; a changed value, another key or another ``about`` is an error."""
+    args = (F.lit("GCM"), F.lit("DEFAULT")) + ((about,) if about is not None else ())
+    body = F.substr(sealed, F.lit(len(SEALED) + 1))
+    return F.when(F.startswith(sealed, F.lit(SEALED)), F.aes_decrypt(body, _whole_key(key), *args)).otherwise(sealed)
 
 
-def unseal(sealed: Column, key: Column) -> Column:
-    """The value again; what was never sealed passes as it is."""
-    return F.coalesce(F.try_aes_decrypt(sealed, key, F.lit("GCM")), sealed)
+def hmac_sha256(value: Column, key: bytes) -> Column:
+    """HMAC-SHA256 of a binary value as lower-case hex."""
+    block = (key if len(key) <= 64 else hashlib.sha256(key).digest()).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in block) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), value), 256))), 256)
 
 
-def blind_index(value: Column, key: Column) -> Column:
-    """A keyed digest to look a sealed value up by: equal for equal values in any case and spacing."""
-    return F.sha2(F.concat(key, F.lower(F.trim(value))), 256)
+def blind_index(value: Column, key: bytes) -> Column:
+    """A keyed digest to look a sealed value up by: equal for equal values in any case and spacing around."""
+    return hmac_sha256(F.encode(F.lower(F.regexp_replace(value, r"(?U)^\s+|\s+$", "")), "utf-8"), key)
 
 
 def summary_text(said: Column, data: Column) -> Column:

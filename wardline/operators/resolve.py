@@ -13,6 +13,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.functions.similarity import token_set_ratio_udf
 
@@ -129,20 +130,27 @@ def greedy_merges(scored: DataFrame, threshold: float = AUTO) -> DataFrame:
     """The scan's merges (primary_id, secondary_id, score): once merged, a record takes part in no further pair.
 
     Only pairs at the threshold travel; they are walked in scan order per
-    (user, type, bucket), which the pairs never leave.
+    (user, type, bucket), which the pairs never leave. The walk is a fold over
+    the sorted pairs of a bucket, and buckets of a batch go to Python together.
     """
-    hit = scored.filter(F.col("score") >= threshold).select("user_id", "record_type", "bucket", F.col("place_a.u").alias("ua"), F.col("place_a.d").alias("da"), "id_a", F.col("place_b.u").alias("ub"), F.col("place_b.d").alias("db"), "id_b", "score")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ua", "da", "id_a", "ub", "db", "id_b"], na_position="last")
-        gone, out = set(), []
-        for a, b, s in zip(pdf.id_a, pdf.id_b, pdf.score, strict=True):
+    hit = scored.filter(F.col("score") >= threshold).select("user_id", "record_type", "bucket", F.struct("place_a", "place_b", "id_a", "id_b", "score").alias("pair"))
+    walked = hit.groupBy("user_id", "record_type", "bucket").agg(F.array_sort(F.collect_list("pair")).alias("pairs"))
+    kept = walked.select("pairs", F.explode(_walk("pairs.id_a", "pairs.id_b")).alias("at")).select(F.get("pairs", F.col("at")).alias("pair"))
+    return kept.select(F.col("pair.id_a").alias("primary_id"), F.col("pair.id_b").alias("secondary_id"), F.col("pair.score").alias("score"))
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _walk(firsts: pd.Series, seconds: pd.Series) -> pd.Series:
+    """The numbers of the pairs that merge."""
+    out = []
+    for a_ids, b_ids in zip(firsts, seconds, strict=True):
+        gone, kept = set(), []
+        for i, (a, b) in enumerate(zip(a_ids, b_ids, strict=True)):
             if a not in gone and b not in gone:
                 gone.add(b)
-                out.append((a, b, s))
-        return pd.DataFrame(out, columns=["primary_id", "secondary_id", "score"])
-
-    return hit.groupBy("user_id", "record_type", "bucket").applyInPandas(walk, "primary_id long, secondary_id long, score double")
+                kept.append(i)
+        out.append(kept)
+    return pd.Series(out)
 
 
 def best_merge(decided: DataFrame) -> DataFrame:

@@ -76,3 +76,12 @@ def document_references(entities: DataFrame) -> DataFrame:
     plans = entities.filter("entity_class = 'assessment_plan'").select("doc_id", F.col("id").alias("document_record_id"))
     others = entities.filter("entity_class NOT IN ('assessment_plan', 'encounter')").select("doc_id", F.col("id").alias("referenced_record_id"), F.coalesce(kinds[F.col("entity_class")], F.lit("addresses")).alias("reference_type"))
     return plans.join(others, "doc_id").drop("doc_id")
+
+
+def reference_totals(*kinds: str) -> list[Column]:
+    """Aggregates over a document's records: n_references and n_<kind> of what ``document_references`` gives, without listing it."""
+    cls = F.col("entity_class")
+    plans, others = F.count_if(cls == "assessment_plan"), ~cls.isin("assessment_plan", "encounter")
+    named = F.create_map(*[F.lit(x) for kv in REFERENCES.items() for x in kv])
+    of = lambda kind: F.count_if(others & (F.coalesce(named[cls], F.lit("addresses")) == kind))
+    return [(plans * F.count_if(others)).alias("n_references"), *((plans * of(k)).alias(f"n_{k}") for k in kinds)]

@@ -1,20 +1,26 @@
 """Codes for terms: a normalised alias, else its first word, else its last, else a close spelling.
 
-Aliases are a curated dimension (alias, code, display). It is broadcast while
-it has at most ``SMALL`` rows and joined by a shuffle beyond. Terms are looked
-up once each, however many rows carry them.
+Aliases are a dimension (alias, code, display) of any size. They are joined to
+the distinct terms, so a term is looked up once, however many rows carry it,
+and Spark broadcasts whichever side is small.
+
+Close spellings are found through an index of parts. Two texts whose characters
+agree up to d insertions and deletions, of which the one is cut into d + 1 parts,
+share a part: every operation touches one part at most. The parts of all aliases
+are a table, a term's pieces that may be one of them meet it in an equi-join,
+and only pairs that share one are compared.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.functions.clinical import normalize_term
 from wardline.functions.similarity import _ratio, token_set_ratio
 
-SMALL = 50_000
 #: Both similarities of a close spelling, 0 to 100, must reach this.
 CLOSE = 88.0
 
@@ -23,37 +29,79 @@ def _one_per_alias(aliases: DataFrame) -> DataFrame:
     return aliases.groupBy("alias").agg(F.min_by(F.struct("code", "display"), F.struct("code", "display")).alias("hit"))
 
 
-def _closest(known: dict[str, tuple[str, str]]):
-    by_length = sorted(known, key=lambda a: (len(a), a))
+def _apart(total: Column, close: float) -> Column:
+    """Insertions and deletions that texts of ``total`` characters may differ by; a little is added for rounding."""
+    return F.floor(total * (1 - close / 100) + 1e-9).cast("int")
+
+
+def _longest(length: Column, close: float) -> Column:
+    """The longest text that can be close to one of ``length``."""
+    return F.floor(length * close / (200 - close) * ((200 - close) / close) ** 2 + 1e-9).cast("int")
+
+
+def close_index(aliases: DataFrame, close: float = CLOSE) -> DataFrame:
+    """(size, part_no, part, alias) of distinct aliases: an index of close spellings, to be kept as a table or built on the way.
+
+    An alias is cut evenly into one part more than the operations between it and
+    the longest text it can be close to. Null and empty aliases have none.
+    """
+    rows = aliases.filter("alias <> ''").select("alias").distinct().withColumn("size", F.length("alias"))
+    rows = rows.withColumn("parts", _parts(F.col("size"), close)).select("alias", "size", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_no"))
+    at, to = _edge(F.col("part_no")), _edge(F.col("part_no") + 1)
+    return rows.select("size", "part_no", F.substr("alias", at + 1, to - at).alias("part"), "alias")
+
+
+def _parts(size: Column, close: float) -> Column:
+    return F.least(size, _apart(size + _longest(size, close), close) + 1)
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for key in b.term_key:
-                best = (0.0, "")
-                for alias in by_length:
-                    short, long = sorted((len(alias), len(key)))
-                    if 200.0 * short < CLOSE * (short + long):  # so short beside the other that their ratio can't reach it
-                        continue
-                    alike = token_set_ratio(key, alias)
-                    if alike >= CLOSE and alike > best[0]:
-                        best = (alike, alias)
-                fits = best[1] and _ratio(key, best[1]) >= CLOSE
-                out.append((key, *(known[best[1]] if fits else (None, None))))
-            yield pd.DataFrame(out, columns=["term_key", "close_code", "close_display"])
 
-    return run
+def _edge(part_no: Column) -> Column:
+    """Where a part begins: sizes and parts are columns of those names."""
+    return F.floor(part_no * F.col("size") / F.col("parts")).cast("int")
 
 
-def look_up(df: DataFrame, aliases: DataFrame, term: str, first_word: bool = True, last_word: bool = False, fuzzy: bool = False) -> DataFrame:
+def close_pairs(keys: DataFrame, index: DataFrame, close: float = CLOSE) -> DataFrame:
+    """(term_key, alias, tokens, letters) of all pairs whose two similarities reach ``close``.
+
+    ``keys`` has distinct term_key. For each size of alias that can be close and
+    each part of it, the pieces of the term are taken whose shift the operations
+    before and after that part allow.
+    """
+    k = keys.withColumn("n", F.length("term_key"))
+    least = F.ceil(F.col("n") * close / (200 - close) - 1e-9).cast("int")
+    rows = k.select("term_key", "n", F.explode(F.sequence(F.greatest(least, F.lit(1)), F.greatest(_longest(F.col("n"), close), F.lit(1)))).alias("size"))
+    rows = rows.withColumn("d", _apart(F.col("n") + F.col("size"), close)).withColumn("parts", _parts(F.col("size"), close))
+    rows = rows.filter("abs(n - size) <= d").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_no"))
+    at, to = _edge(F.col("part_no")), _edge(F.col("part_no") + 1)
+    rows = rows.select("term_key", "n", "size", "part_no", at.alias("at"), (to - at).alias("length"), "d")
+    # A part shifted by s has |s| operations before it at least, and |n - size - s| after it.
+    slack = F.floor((F.col("d") - F.abs(F.col("n") - F.col("size"))) / 2).cast("int")
+    low, high = F.least(F.lit(0), F.col("n") - F.col("size")) - slack, F.greatest(F.lit(0), F.col("n") - F.col("size")) + slack
+    first, last = F.greatest(F.lit(0), F.col("at") + low), F.least(F.col("n") - F.col("length"), F.col("at") + high)
+    rows = rows.withColumn("first", first).withColumn("last", last).filter("first <= last")
+    pieces = rows.select("term_key", "size", "part_no", "length", "d", F.explode(F.sequence("first", "last")).alias("from"))
+    pieces = pieces.select("term_key", "size", "part_no", "d", F.substr("term_key", F.col("from") + 1, F.col("length")).alias("part"))
+    met = pieces.join(index, ["size", "part_no", "part"]).filter(F.levenshtein("term_key", "alias", 1 << 20) <= F.col("d"))
+    pairs = met.select("term_key", "alias").distinct()
+    scored = pairs.select("term_key", "alias", _alike("term_key", "alias").alias("s"))
+    return scored.select("term_key", "alias", "s.tokens", "s.letters").filter((F.col("tokens") >= close) & (F.col("letters") >= close))
+
+
+@F.pandas_udf(T.StructType([T.StructField("tokens", T.DoubleType()), T.StructField("letters", T.DoubleType())]))
+def _alike(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(token_set_ratio(x, y), _ratio(x, y)) for x, y in zip(a, b, strict=True)], columns=["tokens", "letters"], dtype=float)
+
+
+def look_up(df: DataFrame, aliases: DataFrame, term: str, first_word: bool = True, last_word: bool = False, fuzzy: bool = False, index: DataFrame | None = None) -> DataFrame:
     """``df`` with code, display and matched (exact, first word, last word, close, or null) for column ``term``.
 
-    Null and empty terms have no code. ``fuzzy`` compares the terms left over
-    with all aliases inside the tasks, and therefore takes at most ``SMALL``.
+    Null and empty terms have no code. ``fuzzy`` looks for close spellings of
+    the terms left over: of the aliases whose token similarity and letter
+    similarity both reach ``CLOSE`` the one of the higher token similarity, then
+    the shorter, then the first. ``index`` is a kept ``close_index`` of the
+    aliases; without it one is built on the way.
     """
-    known = _one_per_alias(aliases).cache()
-    n = known.limit(SMALL + 1).count()
-    side = F.broadcast(known) if n <= SMALL else known
+    known = _one_per_alias(aliases)
     keyed = df.withColumn("term_key", normalize_term(F.col(term)))
     keys = keyed.select("term_key").filter("term_key <> ''").distinct()
     words = F.split("term_key", " ")
@@ -63,15 +111,14 @@ def look_up(df: DataFrame, aliases: DataFrame, term: str, first_word: bool = Tru
     tries += [("last word", F.when(many, F.element_at(words, -1)))] if last_word else []
     found = keys
     for i, (_, key) in enumerate(tries):
-        found = found.withColumn(f"key_{i}", key).join(side.select(F.col("alias").alias(f"key_{i}"), F.col("hit").alias(f"hit_{i}")), f"key_{i}", "left")
+        found = found.withColumn(f"key_{i}", key).join(known.select(F.col("alias").alias(f"key_{i}"), F.col("hit").alias(f"hit_{i}")), f"key_{i}", "left")
     hits = [F.col(f"hit_{i}") for i in range(len(tries))]
     how = F.coalesce(*[F.when(h.isNotNull(), F.lit(name)) for h, (name, _) in zip(hits, tries, strict=True)])
     found = found.select("term_key", F.coalesce(*hits).alias("hit"), how.alias("matched"))
-    found = found.select("term_key", F.col("hit.code").alias("code"), F.col("hit.display").alias("display"), "matched")
     if fuzzy:
-        if n > SMALL:
-            raise ValueError(f"close spellings are looked for among at most {SMALL} aliases")
-        table = {r.alias: (r.hit.code, r.hit.display) for r in known.collect()}
-        left = found.filter("matched IS NULL").select("term_key").mapInPandas(_closest(table), "term_key string, close_code string, close_display string")
-        found = found.join(left, "term_key", "left").select("term_key", F.coalesce("code", "close_code").alias("code"), F.coalesce("display", "close_display").alias("display"), F.coalesce("matched", F.when(F.col("close_code").isNotNull(), "close")).alias("matched"))
+        pairs = close_pairs(found.filter("matched IS NULL").select("term_key"), index if index is not None else close_index(known))
+        best = pairs.groupBy("term_key").agg(F.min_by("alias", F.struct(-F.col("tokens"), F.length("alias"), F.col("alias"))).alias("alias"))
+        close = best.join(known, "alias").select("term_key", F.col("hit").alias("close"))
+        found = found.join(close, "term_key", "left").select("term_key", F.coalesce("hit", "close").alias("hit"), F.coalesce("matched", F.when(F.col("close").isNotNull(), "close")).alias("matched"))
+    found = found.select("term_key", F.col("hit.code").alias("code"), F.col("hit.display").alias("display"), "matched")
     return keyed.join(found, "term_key", "left").drop("term_key")

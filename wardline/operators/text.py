@@ -7,11 +7,14 @@ maps; model calls are injected functions with deterministic defaults.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.functions.fhir import populated_fields
+
 SECTION_TYPES = ["medications", "labs", "vitals", "procedures", "allergies", "imaging", "social_history", "family_history", "assessment_plan", "review_of_systems", "physical_exam", "history_of_present_illness", "problems", "clinical_note", "other"]
 ESCALATED = ["labs", "vitals", "procedures", "allergies", "imaging", "social_history", "family_history", "assessment_plan", "review_of_systems", "physical_exam", "other", "clinical_note"]
 MAX_CHARS, OVERLAP, SMALL_DOCUMENT, SUBSTANTIVE = 2000, 200, 3000, 40
@@ -91,13 +94,13 @@ def chunk_documents(docs: DataFrame, anchors: Anchors = heading_anchors, most: i
 def find_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Dictionary entities: places where a term's words stand in a text, one row each (doc_id, label, term, code, pos).
 
-    ``terms`` (term, label, code) is a curated dimension of bounded size: it is
-    broadcast, and each word of a text meets only terms that begin with it.
+    ``terms`` has term, label, code; each word of a text meets only terms that
+    begin with it. Spark broadcasts them where they are small enough.
     """
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")
     placed = docs.select("doc_id", words.alias("words")).select("doc_id", "words", F.posexplode("words").alias("pos", "word"))
     t = terms.withColumn("parts", F.split("term", " ")).withColumn("head", F.get("parts", F.lit(0)))
-    hit = placed.join(F.broadcast(t), F.col("word") == F.col("head"))
+    hit = placed.join(t, F.col("word") == F.col("head"))
     return hit.filter(F.slice("words", F.col("pos") + 1, F.size("parts")) == F.col("parts")).select("doc_id", "label", "term", "code", "pos")
 
 
@@ -161,7 +164,7 @@ def sentence_spans(sections: DataFrame, terms: DataFrame) -> DataFrame:
     cut = sections.select("doc_id", "section_no", "section_type", F.posexplode(F.split("text", r"[.!?\n]+")).alias("sentence_no", "text"))
     keyed = cut.withColumn("words", F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " "))
     t = terms.withColumn("parts", F.split("term", " ")).withColumn("head", F.get("parts", F.lit(0)))
-    placed = keyed.select("*", F.posexplode("words").alias("pos", "word")).join(F.broadcast(t), F.col("word") == F.col("head"))
+    placed = keyed.select("*", F.posexplode("words").alias("pos", "word")).join(t, F.col("word") == F.col("head"))
     hit = placed.filter(F.slice("words", F.col("pos") + 1, F.size("parts")) == F.col("parts"))
     end = F.col("pos") + F.size("parts")
     before = F.array_join(F.slice("words", F.lit(1), F.col("pos")), " ")
@@ -175,7 +178,7 @@ def hybrid(sections: DataFrame, terms: DataFrame, model: Callable[[DataFrame], D
     The dictionary goes first. Sections it leaves in doubt (``escalate``) are
     also given to ``model``, an injected function of sections that returns
     doc_id, section_no, sentence_no, pos, entity_class, text, status and
-    confidence. ``terms`` is a curated dimension, broadcast.
+    confidence.
     """
     spans = sentence_spans(sections, terms).withColumn("a", assertion(F.col("before"), F.col("after")))
     local = spans.withColumn("entity_class", disposition(F.col("label"), F.col("a"))).filter("entity_class IS NOT NULL")
@@ -191,42 +194,93 @@ def hybrid(sections: DataFrame, terms: DataFrame, model: Callable[[DataFrame], D
     return local.select(*cols).unionByName(told.select(*cols))
 
 
+#: What marks an encounter as a piece of the document's frame, names of places, and words of a visit.
+CHROME = ["mychart", "after visit summary", "avs", "date of visit", "todays visit", "today visit", "visit summary", "patient instructions", "clinical summary", "discharge instructions", "printed on"]
+PLACES = ["group", "clinic", "hospital", "medical center", "med center", "associates", "physicians", "health system", "healthcare", "practice", "department", "institute", "gastroenterology", "cardiology", "dermatology", "orthopedics", "radiology", "oncology", "urology", "neurology", "pediatrics", "ophthalmology"]
+VISIT_WORDS = ["visit", "follow", "followup", "consult", "consultation", "exam", "examination", "admission", "encounter", "appointment", "telehealth", "office", "established"]
+PLACE_WORDS = 7
+
+
+def plain_text(text: Column) -> Column:
+    """Lower case without apostrophes; whatever else is no letter or digit is one blank."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "['\u2019]", ""), "[^a-z0-9]+", " "))
+
+
+def is_chrome(text: Column) -> Column:
+    """Whether an encounter's text is the document's frame, or names a place and no visit."""
+    plain = plain_text(text)
+    holds = lambda words: reduce(lambda x, w: x | F.contains(plain, F.lit(w)), words, F.lit(False))
+    words = F.split(plain, " ")
+    return holds(CHROME) | ((F.size(words) <= PLACE_WORDS) & ~F.arrays_overlap(words, F.array(*map(F.lit, VISIT_WORDS))) & holds(PLACES))
+
+
+def visit_key(day: Column, chrome: Column, met: Column = None) -> Column:
+    """What encounters of a document are one visit by; null for those that go.
+
+    Without a dated encounter, or with one day, all are one visit. With several
+    days each is one, and of those without a date the document's frame goes and
+    every other stands alone.
+    """
+    seen = day if met is None else F.when(met, day)
+    doc = Window.partitionBy("doc_id")
+    several = F.coalesce(F.min(seen).over(doc) < F.max(seen).over(doc), F.lit(False))
+    return F.when(~several, "").when(day.isNotNull(), day.cast("string")).when(~chrome, F.concat(F.lit("#"), F.col("pos").cast("string")))
+
+
 def confirm(entities: DataFrame, facts: DataFrame, automatic: bool = True, store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Records of extracted entities and what refers to what: the tail of an upload.
 
-    ``entities`` is what ``entities.to_records`` takes, with ``entity_date``;
-    ``facts`` is ``document_facts``. Each record gets its own date or its
-    document's. The automatic way also drops repeats inside a document and
-    links records to the document's first encounter; the manual one leaves
-    both to the person who confirms. With ``store`` records are written there
-    first and references drawn from what was written.
+    ``entities`` is what ``entities.to_records`` takes, with ``entity_date`` and
+    a ``pos`` that is one row's in its document; ``facts`` is
+    ``document_facts``. Each record gets its own date or its document's. The
+    automatic way also drops repeats inside a document (encounters by visit,
+    drugs by code or name, others by class and text) and links records to the
+    document's first encounter; the manual one leaves both to the person who
+    confirms. Records are built once and written to a folder of the job, from
+    which the rest is drawn; with ``store`` what is kept is written there, and
+    references are drawn from that.
     """
     from wardline.functions.entities import to_records
     from wardline.operators.review import document_references
+    from wardline.session import work_dir
 
-    said = to_records(entities)
-    dates = entities.select("doc_id", "pos", "entity_date", "text")
-    rows = said.join(dates, ["doc_id", "pos"]).join(facts.select("doc_id", "document_date"), "doc_id", "left")
+    codes = [c for c in ("code_value",) if c in entities.columns]
+    spark = entities.sparkSession
+    built = work_dir(spark, "records")
+    to_records(entities, carry=("entity_date", "text", *codes)).write.parquet(built)
+    rows = spark.read.parquet(built).join(facts.select("doc_id", "document_date"), "doc_id", "left")
     rows = rows.withColumn("effective_date", F.coalesce("entity_date", "document_date")).withColumn("id", F.xxhash64("doc_id", "pos"))
     if automatic:
-        # Of a day's encounters the one with someone and a date, of others the first of a class and text: one window for both.
-        met = F.col("entity_class") == "encounter"
-        who = F.get_json_object("resource_json", "$.participant[0].individual.display")
-        worth = F.when(met & who.isNotNull(), 100).otherwise(0) + F.when(met & F.col("effective_date").isNotNull(), 50).otherwise(0)
-        key = F.when(met, F.coalesce(F.to_date("effective_date").cast("string"), F.lit(""))).otherwise(entity_key(F.col("text")))
-        order = Window.partitionBy("doc_id", "entity_class", key).orderBy(F.desc(worth), "pos")
-        rows = rows.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
+        met = F.col("record_type") == "encounter"
+        at = lambda path: F.get_json_object("resource_json", path)
+        points = lambda *pairs: reduce(lambda x, p: x + F.when(p[0], p[1]).otherwise(0), pairs, F.lit(0))
+        chrome = is_chrome(F.concat_ws(" ", "text", at("$.type[*].text")))
+        worth = points((~chrome, 1000), (at("$.participant[0].individual.display").isNotNull(), 100), (F.col("effective_date").isNotNull(), 50), (at("$.text").isNotNull(), 10), (at("$.reasonCode").isNotNull(), 10), (at("$.type").isNotNull(), 5), (at("$.serviceProvider").isNotNull(), 3))
+        rows = rows.withColumn("_worth", F.when(met, worth + populated_fields(F.col("resource_json")))).withColumn("_chrome", met & chrome)
+        key = F.when(met, visit_key(F.to_date("effective_date"), F.col("_chrome"), met)).otherwise(entity_key(F.col("text")))
+        rows = rows.withColumn("_key", key).filter(~met | F.col("_key").isNotNull())
+        order = Window.partitionBy("doc_id", "entity_class", "_key").orderBy(F.desc("_worth"), "pos")
+        rows = rows.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place", "_key", "_worth", "_chrome")
+        rows = rows.join(lesser_medications(rows.filter("record_type = 'medication'")), ["doc_id", "pos"], "left_anti")
         first = F.min(F.when(met, F.struct("pos", "id"))).over(Window.partitionBy("doc_id"))
         rows = rows.withColumn("linked_encounter_id", F.when(~met, first["id"]))
     else:
         rows = rows.withColumn("linked_encounter_id", F.lit(None).cast("long"))
-    rows = rows.drop("entity_date", "document_date", "text")
+    rows = rows.drop("entity_date", "document_date", "text", *codes)
     if store:
         rows.write.parquet(store)
-        rows = entities.sparkSession.read.parquet(store)
+        rows = spark.read.parquet(store)
     return rows, document_references(rows)
 
 
+def lesser_medications(rows: DataFrame) -> DataFrame:
+    """(doc_id, pos) of the drug records of a document that another one of the same drug outdoes."""
+    code = F.col("code_value") if "code_value" in rows.columns else F.lit(None).cast("string")
+    dosed = F.get_json_object("resource_json", "$.dosageInstruction").isNotNull()
+    meds = rows.select("doc_id", "pos", "text", code.alias("code_value"), (populated_fields(F.col("resource_json")) + F.when(dosed, 10).otherwise(0)).alias("n_fields"))
+    return meds.select("doc_id", "pos").join(best_medications(meds).select("doc_id", "pos"), ["doc_id", "pos"], "left_anti")
+
+
 def entity_key(text: Column) -> Column:
     """Entity text without parenthesised groups and dates, in lower case."""
     x = F.regexp_replace(text, r"\([^)]*\)|\[[^\]]*\]", " ")
@@ -241,42 +295,62 @@ def first_entities(entities: DataFrame) -> DataFrame:
 
 
 def best_encounters(encounters: DataFrame) -> DataFrame:
-    """One encounter per document and visit day: the most informative, then the earliest."""
+    """One encounter per document and visit (``visit_key``): the most informative, then the earliest.
+
+    ``encounters`` has doc_id, pos, effective_date, provider, boilerplate and n_fields.
+    """
     score = F.when(F.col("boilerplate"), 0).otherwise(1000) + F.when(F.col("provider").isNotNull(), 100).otherwise(0) + F.when(F.col("effective_date").isNotNull(), 50).otherwise(0) + F.col("n_fields")
-    order = Window.partitionBy("doc_id", F.to_date("effective_date")).orderBy(F.desc("score"), "pos")
-    return encounters.withColumn("score", score).withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
+    rows = encounters.withColumn("score", score).withColumn("_key", visit_key(F.to_date("effective_date"), F.col("boilerplate"))).filter("_key IS NOT NULL")
+    order = Window.partitionBy("doc_id", "_key").orderBy(F.desc("score"), "pos")
+    return rows.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place", "_key")
 
 
-def best_medications(meds: DataFrame, alike: float = 90.0, length_floor: float = 0.6) -> DataFrame:
-    """One row per drug of a document: coded ones by code in a window, the others greedily by name within the document."""
-    from wardline.functions.similarity import token_set_ratio, token_sort_ratio
+def best_medications(meds: DataFrame, alike: float = 90.0, sorted_alike: float = 80.0, length_floor: float = 0.6) -> DataFrame:
+    """One row per drug of a document: coded ones by code in a window, the others by name.
 
+    Names are walked in order: one that is like the name of a drug kept so far
+    is that drug, and the better record of both (then the earlier) stays. The
+    walk is a fold over the names of a document; documents of a batch go to
+    Python together. ``pos`` is one row's in its document.
+    """
     score = F.when(F.col("code_value").isNotNull(), 100).otherwise(0) + F.col("n_fields")
     order = Window.partitionBy("doc_id", "code_value").orderBy(F.desc("score"), "pos")
     scored = meds.withColumn("score", score)
     coded = scored.filter("code_value IS NOT NULL").withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
+    uncoded = scored.filter("code_value IS NULL")
+    names = uncoded.select("doc_id", F.col("pos").cast("long").alias("pos"), plain_text(F.col("text")).alias("name"), F.col("score").cast("double").alias("score"))
+    lists = names.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "score"))).alias("drugs"))
+    fold = _drug_fold(alike, sorted_alike, length_floor)
+    stays = lists.select("doc_id", F.explode(fold("drugs.pos", "drugs.name", "drugs.score")).alias("_stays"))
+    left = uncoded.join(stays, (uncoded["doc_id"] == stays["doc_id"]) & (uncoded["pos"] == stays["_stays"]), "left_semi")
+    return coded.unionByName(left)
 
-    def same(a: str, b: str) -> bool:
-        if a == b:
-            return True
-        short, long = sorted((len(a), len(b)))
-        return bool(short) and short / long >= length_floor and token_set_ratio(a, b) >= alike and token_sort_ratio(a, b) >= alike
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("pos").to_dict("records")
-        left: list[dict] = []
-        for r in rows:
-            name = " ".join("".join(c if c.isalnum() else " " for c in (r["text"] or "").lower()).split())
-            r["_name"] = name
-            i = next((i for i, s in enumerate(left) if same(name, s["_name"])), None)
-            if i is None:
-                left.append(r)
-            elif r["score"] > left[i]["score"]:
-                left[i] = r
-        return pd.DataFrame(left).drop(columns="_name")
 
-    uncoded = scored.filter("code_value IS NULL")
-    return coded.unionByName(uncoded.groupBy("doc_id").applyInPandas(greedy, uncoded.schema))
+def same_drug(a: str, b: str, alike: float, sorted_alike: float, length_floor: float) -> bool:
+    from wardline.functions.similarity import token_set_ratio, token_sort_ratio
+
+    if not a or not b or a == b:
+        return bool(a) and a == b
+    short, long = sorted((len(a), len(b)))
+    return short / long >= length_floor and token_set_ratio(a, b) >= alike and token_sort_ratio(a, b) >= sorted_alike
+
+
+def _drug_fold(alike: float, sorted_alike: float, length_floor: float):
+    @F.pandas_udf("array<long>")
+    def fold(places: pd.Series, names: pd.Series, scores: pd.Series) -> pd.Series:
+        out = []
+        for doc in zip(places, names, scores, strict=True):
+            left: list[tuple] = []
+            for row in zip(*doc, strict=True):
+                i = next((i for i, s in enumerate(left) if same_drug(s[1], row[1], alike, sorted_alike, length_floor)), None)
+                if i is None:
+                    left.append(row)
+                elif row[2] > left[i][2]:
+                    left[i] = row
+            out.append([int(r[0]) for r in left])
+        return pd.Series(out)
+
+    return fold
 
 
 def precision_recall(predicted: DataFrame, truth: DataFrame, by: list[str] | None = None) -> DataFrame:

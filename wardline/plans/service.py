@@ -11,11 +11,12 @@ from wardline.functions.deident import scrub
 from wardline.operators import access as A
 from wardline.operators import scorer
 from wardline.operators import text as T
+from wardline.operators.review import reference_totals
 from wardline.plans.records import RECORDS_SQL, active, records
 from wardline.plans.resolution import SCAN_SQL, _scored
-from wardline.session import table, work_dir
+from wardline.session import spread, table
 
-KEY = "0123456789abcdef"
+KEY = b"0123456789abcdef0123456789abcdef"
 
 
 def q_scope(spark, sf_dir):
@@ -115,24 +116,31 @@ def q_summaries(spark, sf_dir):
     # Old rows were stored before sealing and pass as they are.
     kept = stored.withColumn("stored", F.when(F.col("p_partkey") % 7 == 0, F.col("plain")).otherwise(A.seal(F.col("plain"), key)))
     back = kept.withColumn("read", A.read_summary(F.decode(A.unseal(F.col("stored"), key), "utf-8")))
-    return back.select("p_partkey", "read.said", "read.data", (F.col("stored") != F.col("plain")).alias("sealed"), A.blind_index(F.concat(F.lit(" "), F.upper("p_brand")), key).alias("brand_index"))
+    return back.select("p_partkey", "read.said", "read.data", (F.col("stored") != F.col("plain")).alias("sealed"), A.blind_index(F.concat(F.lit(" "), F.upper("p_brand")), KEY).alias("brand_index"))
+
+
+def _hmac_sql(text: str) -> str:
+    """HMAC-SHA256 of a text by its definition."""
+    inner, outer = (bytes(b ^ pad for b in KEY.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode({text}))))"
 
 
 SUMMARIES_SQL = f"""
-SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS said, CASE WHEN p_partkey % 3 <> 1 THEN '{{"p_size":' || p_size || '}}' END AS data, p_partkey % 7 <> 0 AS sealed, sha256('{KEY}' || lower(p_brand)) AS brand_index FROM part
+SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS said, CASE WHEN p_partkey % 3 <> 1 THEN '{{"p_size":' || p_size || '}}' END AS data, p_partkey % 7 <> 0 AS sealed, {_hmac_sql('lower(p_brand)')} AS brand_index FROM part
 """
 
 
 def q_facilities(spark, sf_dir):
     """Encounters of orders: the first place that names a facility becomes the provider; what a judge sees of them; fields filled."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"))
     k = F.col("o_orderkey")
     names = F.array(F.when(k % 3 == 0, "Exam Room 4").when(k % 3 == 1, "Main Street").otherwise("North Clinic"), F.when(k % 4 == 0, F.concat(F.lit("Hospital "), (k % 9).cast("string"))).when(k % 4 == 1, "Ward B, City Hospital"))
     places = F.transform(F.filter(names, lambda n: n.isNotNull()), lambda n: F.struct(F.struct(n.alias("display")).alias("location")))
     doc = F.to_json(F.struct(F.lit("Encounter").alias("resourceType"), F.col("o_orderstatus").alias("status"), places.alias("location"), F.when(k % 5 == 0, F.struct(F.lit("Own").alias("display"))).alias("serviceProvider"), F.struct(F.lit("Ada").alias("display")).alias("subject"), F.lit("mail a@b.org").alias("note"), F.when(k % 2 == 0, F.lit("")).alias("text")))
     x = o.select(k.alias("o_orderkey"), fhir.with_service_provider(doc).alias("doc"))
-    shown = fhir.judged_text(F.col("doc"), scrub)
-    return x.select("o_orderkey", F.get_json_object("doc", "$.serviceProvider.display").alias("provider"), F.get_json_object(shown, "$.note").alias("note"), F.get_json_object(shown, "$.subject").isNull().alias("nameless"), fhir.populated_fields(F.col("doc")).alias("n_fields"))
+    seen = fhir.bound(fhir.judged_text(F.col("doc"), scrub), lambda t: F.struct(F.get_json_object(t, "$.note").alias("note"), F.get_json_object(t, "$.subject").isNull().alias("nameless")))
+    x = x.withColumn("seen", seen)
+    return x.select("o_orderkey", F.get_json_object("doc", "$.serviceProvider.display").alias("provider"), "seen.note", "seen.nameless", fhir.populated_fields(F.col("doc")).alias("n_fields"))
 
 
 FACILITIES_SQL = """
@@ -155,8 +163,8 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'cloud' WHEN o_orderkey % 4
 """
 
 
-def q_extraction_scores(spark, sf_dir):
-    """Extracted entities against what notes hold, by note."""
+def scored_notes(spark, sf_dir):
+    """What notes hold, must not give, tell of relatives, and what was extracted."""
     l = table(spark, sf_dir, "lineitem").withColumn("note", F.col("l_orderkey"))
     n = F.col("l_partkey")
     word = F.concat(F.when(n % 3 == 0, "HTN").when(n % 3 == 1, "breast ca").otherwise("142 over 90"), F.lit(" case "), (n % 5).cast("string"))
@@ -166,7 +174,12 @@ def q_extraction_scores(spark, sf_dir):
     found = l.filter("l_suppkey % 3 <> 0").select("note", F.when(F.col("l_suppkey") % 3 == 1, cls).otherwise("dosage").alias("entity_class"), F.concat(full, F.when(F.col("l_suppkey") % 2 == 0, F.lit(" today!")).otherwise("")).alias("text"))
     barred = l.filter("l_linenumber = 3").select("note", F.lit("medication").alias("entity_class"), word.alias("text"), F.when(n % 2 == 0, "negation").otherwise("attribution").alias("reason"))
     kin = l.filter("l_linenumber = 4").select("note", word.alias("text"))
-    return scorer.evaluate(expected, barred, kin, found)
+    return expected, barred, kin, found
+
+
+def q_extraction_scores(spark, sf_dir):
+    """Extracted entities against what notes hold, by note."""
+    return scorer.evaluate(*scored_notes(spark, sf_dir))
 
 
 SCORES_SQL = """
@@ -208,13 +221,13 @@ def _entities(spark, sf_dir):
     i, n = F.col("l_linenumber"), F.col("l_partkey")
     pos = (i * 10_000_000 + n) * 100_000 + F.col("l_suppkey")
     cls = F.when(n % 6 == 0, "encounter").when(n % 6 == 1, "condition").when(n % 6 == 2, "medication").when(n % 6 == 3, "assessment_plan").when(n % 6 == 4, "provider").otherwise("procedure")
-    text = F.when(n % 6 == 2, F.concat(F.lit("Drug "), (n % 10).cast("string"))).when(n % 6 == 4, F.lit(" Dr Reed ")).when(n % 6 == 5, F.when(n % 4 == 0, "recommend biopsy").otherwise("Appendectomy")).otherwise(F.concat(F.lit("Thing "), (n % 3).cast("string")))
+    text = F.when(n % 18 == 0, "After Visit Summary").when(n % 6 == 2, F.concat(F.lit("Drug "), (n % 10).cast("string"))).when(n % 6 == 4, F.lit(" Dr Reed ")).when(n % 6 == 5, F.when(n % 4 == 0, "recommend biopsy").otherwise("Appendectomy")).otherwise(F.concat(F.lit("Thing "), (n % 3).cast("string")))
     return l.select(F.col("l_orderkey").alias("doc_id"), pos.alias("pos"), cls.alias("entity_class"), text.alias("text"), F.lit(None).cast("string").alias("context"), F.lit(None).cast("string").alias("status"), F.when(n % 12 == 4, F.concat(F.lit("Dr "), i.cast("string"))).alias("name"), F.when(n % 4 == 0, F.col("l_shipdate")).alias("entity_date"), F.when(F.col("l_orderkey") % 2 == 0, F.lit("2024-02-03").cast("timestamp_ntz")).alias("visit_date"))
 
 
 ENTITIES_SQL = """
 e AS (SELECT l_orderkey AS doc_id, (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey AS pos, l_partkey AS n, l_partkey % 6 AS m,
-  CASE l_partkey % 6 WHEN 2 THEN 'Drug ' || (l_partkey % 10) WHEN 4 THEN ' Dr Reed ' WHEN 5 THEN CASE WHEN l_partkey % 4 = 0 THEN 'recommend biopsy' ELSE 'Appendectomy' END ELSE 'Thing ' || (l_partkey % 3) END AS text,
+  CASE WHEN l_partkey % 18 = 0 THEN 'After Visit Summary' ELSE CASE l_partkey % 6 WHEN 2 THEN 'Drug ' || (l_partkey % 10) WHEN 4 THEN ' Dr Reed ' WHEN 5 THEN CASE WHEN l_partkey % 4 = 0 THEN 'recommend biopsy' ELSE 'Appendectomy' END ELSE 'Thing ' || (l_partkey % 3) END END AS text,
   CASE WHEN l_partkey % 12 = 4 THEN 'Dr ' || l_linenumber END AS name, CASE WHEN l_partkey % 4 = 0 THEN l_shipdate END AS entity_date, CASE WHEN l_orderkey % 2 = 0 THEN TIMESTAMP '2024-02-03' END AS visit_date FROM lineitem),
 facts AS (SELECT doc_id, coalesce(arg_min(entity_date, pos) FILTER (WHERE m = 0 AND entity_date IS NOT NULL), max(visit_date)) AS document_date, arg_min(coalesce(name, trim(text)), pos) FILTER (WHERE m = 4) AS document_provider FROM e GROUP BY 1)"""
 
@@ -225,17 +238,15 @@ def q_document_facts(spark, sf_dir):
 
 def q_confirmed(spark, sf_dir):
     """Records of confirmed documents, those an encounter is linked to, and references of assessments."""
-    e = _entities(spark, sf_dir)
-    rows, references = T.confirm(e, T.document_facts(e), store=work_dir(spark, "confirmed"))
-    per = rows.groupBy("doc_id").agg(F.count("*").alias("n_records"), F.count("effective_date").alias("n_dated"), F.count("linked_encounter_id").alias("n_linked"))
-    of = rows.select(F.col("id").alias("document_record_id"), "doc_id")
-    told = references.join(of, "document_record_id").groupBy("doc_id").agg(F.count("*").alias("n_references"), F.count_if(F.col("reference_type") == "prescribes").alias("n_prescribes"))
-    return per.join(told, "doc_id", "left").fillna(0)
+    e = spread(_entities(spark, sf_dir))
+    rows, _ = T.confirm(e, T.document_facts(e))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_records"), F.count("effective_date").alias("n_dated"), F.count("linked_encounter_id").alias("n_linked"), *reference_totals("prescribes"))
 
 
 CONFIRMED_SQL = f"""
 WITH {ENTITIES_SQL}, r AS (SELECT e.*, coalesce(entity_date, document_date) AS seen FROM e JOIN facts USING (doc_id) WHERE m <> 4 AND text <> 'recommend biopsy'),
-met AS (SELECT doc_id, pos, m, seen FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, CAST(seen AS DATE) ORDER BY CASE WHEN seen IS NOT NULL THEN 0 ELSE 1 END, pos) AS k FROM r WHERE m = 0) WHERE k = 1),
+v AS (SELECT *, CAST(seen AS DATE) AS day, text = 'After Visit Summary' AS chrome, coalesce(min(CAST(seen AS DATE)) OVER d < max(CAST(seen AS DATE)) OVER d, false) AS several FROM r WHERE m = 0 WINDOW d AS (PARTITION BY doc_id)),
+met AS (SELECT doc_id, pos, m, seen FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, CASE WHEN several THEN coalesce(CAST(day AS VARCHAR), CAST(pos AS VARCHAR)) END ORDER BY chrome, seen IS NULL, pos) AS k FROM v WHERE NOT (several AND day IS NULL AND chrome)) WHERE k = 1),
 others AS (SELECT doc_id, pos, m, seen FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, m, text ORDER BY pos) AS k FROM r WHERE m <> 0) WHERE k = 1),
 kept AS (SELECT * FROM met UNION ALL SELECT * FROM others),
 n AS (SELECT doc_id, count(*) AS n_records, count(seen) AS n_dated, CASE WHEN count(*) FILTER (WHERE m = 0) > 0 THEN count(*) FILTER (WHERE m <> 0) ELSE 0 END AS n_linked, count(*) FILTER (WHERE m = 3) AS plans, count(*) FILTER (WHERE m IN (1, 2, 5)) AS others, count(*) FILTER (WHERE m = 2) AS drugs FROM kept GROUP BY 1)

@@ -41,5 +41,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder all executors share, under ``spark.checkpoint.dir``; only where that is unset (tests on one machine) under /tmp."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/{name}-{uuid.uuid4().hex}"
+    """A new folder all executors share, under ``spark.checkpoint.dir``.
+
+    Where that is unset it is under /tmp on one machine (tests); on a cluster
+    that is an error. The folder goes when the driver ends in good order.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = f"{base or '/tmp/checkpoints'}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder

@@ -25,7 +25,11 @@ def entries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 def from_documents(docs: DataFrame) -> DataFrame:
     """Entries of parsed documents (file, doc)."""
     listed = F.coalesce(items("doc", "$.entry"), F.when(text("doc", "$.resourceType") != "Bundle", F.array(F.col("doc"))))
-    rows = docs.select("file", F.posexplode(listed).alias("pos", "e"))
+    return resources(docs.select("file", F.posexplode(listed).alias("pos", "e")))
+
+
+def resources(rows: DataFrame) -> DataFrame:
+    """(file, pos, full_url, resource) of entries (file, pos, e)."""
     inner = F.try_variant_get("e", "$.resource", "variant")
     rows = rows.select("file", "pos", text("e", "$.fullUrl").alias("full_url"), F.when(text("e", "$.resourceType").isNotNull() & inner.isNull(), F.col("e")).otherwise(inner).alias("resource"))
     return rows.filter(text("resource", "$.resourceType").isNotNull())

@@ -6,14 +6,14 @@ that fails is run again, and the upsert makes that harmless.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.fhir import project
-from wardline.operators.upsert import current, history, plan_batch
 from wardline.sources.fhir_bundle import from_documents
+from wardline.streaming import progress, upsert_log
 
-IDENTITY = ["source_system", "external_id"]
+IDENTITY, ARRIVAL = ["source_system", "external_id"], ["file", "pos"]
 #: Columns of the kept table; the resource is stored as JSON text.
 COLUMNS = ["record_type", "fhir_resource_type", "effective_date", "status", "code_system", "code_value", "display_text", *IDENTITY, "content_hash", "resource_json", "file", "pos"]
 
@@ -30,41 +30,35 @@ def batch_records(docs: DataFrame) -> DataFrame:
     return rows.withColumn("resource_json", F.to_json("resource")).select(*COLUMNS)
 
 
-def upsert_batch(spark: SparkSession, incoming: DataFrame, folder: str, batch_id: int) -> None:
-    """Write the next snapshot of the table and the versions it replaced, each under the batch's number.
+def upsert_batch(spark: SparkSession, incoming: DataFrame, folder: str, batch_id: int) -> dict[str, int]:
+    """Apply one micro-batch to the kept table and count its records on the way; one that is repeated changes nothing and counts nothing."""
+    if upsert_log.manifest(spark, folder)["batch"] >= batch_id:
+        return {}
+    seen = Observation(f"records of batch {batch_id}")
+    upsert_log.upsert(spark, progress.observed(incoming, seen, skipped=F.col("external_id").isNull()), folder, batch_id, IDENTITY, ARRIVAL)
+    return seen.get
 
-    A snapshot is written beside the one before it, and readers take the
-    latest complete one, so a repeated batch writes the same again.
+
+def latest(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The kept table after its last whole batch."""
+    return upsert_log.read(spark, folder, IDENTITY, ARRIVAL)
+
+
+def run(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int | None = None, tell=None):
+    """Ingest all bundles now in ``source`` and stop; call again, or with another trigger, for later ones.
+
+    ``tell`` is called after each batch with its number and the counts of its
+    records (``skipped`` are those without identity).
     """
-    before = latest(spark, folder, batch_id)
-    state = before.select(*IDENTITY, "content_hash", "version") if before is not None else spark.createDataFrame([], "source_system string, external_id string, content_hash string, version int")
-    planned = plan_batch(incoming, state, IDENTITY, ["file", "pos"])
-    planned = planned.filter(F.col("external_id").isNotNull())
-    new = current(planned, IDENTITY).select(*COLUMNS, "version")
-    out = new if before is None else before.join(new.select(*IDENTITY), IDENTITY, "left_anti").select(*COLUMNS, "version").unionByName(new)
-    old = history(planned, IDENTITY).select(*COLUMNS, "version")
-    if before is not None:
-        old = old.unionByName(before.join(new.select(*IDENTITY), IDENTITY, "left_semi").select(*COLUMNS, "version"))
-    out.write.mode("overwrite").parquet(f"{folder}/snapshot={batch_id:012d}")
-    old.write.mode("overwrite").parquet(f"{folder}/versions/batch={batch_id:012d}")
-
-
-def latest(spark: SparkSession, folder: str, before_batch: int | None = None) -> DataFrame | None:
-    """The newest complete snapshot, of a batch before ``before_batch`` if given."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("snapshot="))
-    names = [n for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")) and (before_batch is None or int(n.split("=")[1]) < before_batch)]
-    return spark.read.parquet(f"{folder}/{names[-1]}") if names else None
-
-
-def run(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int | None = None):
-    """Ingest all bundles now in ``source`` and stop; call again, or with another trigger, for later ones."""
     stream = bundle_stream(spark, source)
     if files_per_batch:
         stream = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(source).select(F.col("_metadata.file_path").alias("file"), "value")
-    q = stream.writeStream.foreachBatch(lambda df, i: upsert_batch(df.sparkSession, batch_records(df), target, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def step(df: DataFrame, batch_id: int) -> None:
+        counted = upsert_batch(df.sparkSession, batch_records(df), target, batch_id)
+        if tell and counted:
+            tell(batch_id, counted)
+
+    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
