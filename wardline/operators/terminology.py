@@ -4,11 +4,12 @@ Aliases are a dimension (alias, code, display) of any size. They are joined to
 the distinct terms, so a term is looked up once, however many rows carry it,
 and Spark broadcasts whichever side is small.
 
-Close spellings are found through an index of parts. Two texts whose characters
-agree up to d insertions and deletions, of which the one is cut into d + 1 parts,
-share a part: every operation touches one part at most. The parts of all aliases
-are a table, a term's pieces that may be one of them meet it in an equi-join,
-and only pairs that share one are compared.
+Close spellings are found through an index of parts. Where the characters of two
+texts agree up to d insertions and deletions and the one is cut into d + 1
+parts, some part i is whole in the other, with exactly i operations before it:
+take the first i that parts 0 to i have no more than i operations in. So a term
+has few pieces that may be that part. The parts of all aliases are a table, the
+pieces meet it in an equi-join, and only pairs that share one are compared.
 """
 
 from __future__ import annotations
@@ -64,23 +65,22 @@ def close_pairs(keys: DataFrame, index: DataFrame, close: float = CLOSE) -> Data
     """(term_key, alias, tokens, letters) of all pairs whose two similarities reach ``close``.
 
     ``keys`` has distinct term_key. For each size of alias that can be close and
-    each part of it, the pieces of the term are taken whose shift the operations
-    before and after that part allow.
+    each part i of it, the pieces of the term are taken that i insertions and
+    deletions before and the operations left after it can shift there.
     """
     k = keys.withColumn("n", F.length("term_key"))
     least = F.ceil(F.col("n") * close / (200 - close) - 1e-9).cast("int")
     rows = k.select("term_key", "n", F.explode(F.sequence(F.greatest(least, F.lit(1)), F.greatest(_longest(F.col("n"), close), F.lit(1)))).alias("size"))
     rows = rows.withColumn("d", _apart(F.col("n") + F.col("size"), close)).withColumn("parts", _parts(F.col("size"), close))
-    rows = rows.filter("abs(n - size) <= d").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_no"))
+    sizes = index.select("size").distinct()
+    rows = rows.join(sizes, "size").filter("abs(n - size) <= d")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("d"), F.col("parts") - 1))).alias("part_no"))
     at, to = _edge(F.col("part_no")), _edge(F.col("part_no") + 1)
-    rows = rows.select("term_key", "n", "size", "part_no", at.alias("at"), (to - at).alias("length"), "d")
-    # A part shifted by s has |s| operations before it at least, and |n - size - s| after it.
-    slack = F.floor((F.col("d") - F.abs(F.col("n") - F.col("size"))) / 2).cast("int")
-    low, high = F.least(F.lit(0), F.col("n") - F.col("size")) - slack, F.greatest(F.lit(0), F.col("n") - F.col("size")) + slack
-    first, last = F.greatest(F.lit(0), F.col("at") + low), F.least(F.col("n") - F.col("length"), F.col("at") + high)
-    rows = rows.withColumn("first", first).withColumn("last", last).filter("first <= last")
-    pieces = rows.select("term_key", "size", "part_no", "length", "d", F.explode(F.sequence("first", "last")).alias("from"))
-    pieces = pieces.select("term_key", "size", "part_no", "d", F.substr("term_key", F.col("from") + 1, F.col("length")).alias("part"))
+    # Each operation before a part shifts it by one, to either side; those after it make up for the rest of the lengths.
+    shifts = F.sequence(-F.col("part_no"), F.col("part_no"), F.lit(2))
+    rows = rows.select("term_key", "n", "size", "part_no", at.alias("at"), (to - at).alias("length"), "d", F.explode(F.when(F.col("part_no") == 0, F.array(F.lit(0))).otherwise(shifts)).alias("shift"))
+    rows = rows.withColumn("from", F.col("at") + F.col("shift")).filter("from >= 0 AND from <= n - length AND abs(n - size - shift) <= d - part_no")
+    pieces = rows.select("term_key", "size", "part_no", "d", F.substr("term_key", F.col("from") + 1, F.col("length")).alias("part"))
     met = pieces.join(index, ["size", "part_no", "part"]).filter(F.levenshtein("term_key", "alias", 1 << 20) <= F.col("d"))
     pairs = met.select("term_key", "alias").distinct()
     scored = pairs.select("term_key", "alias", _alike("term_key", "alias").alias("s"))

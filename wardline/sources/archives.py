@@ -104,10 +104,12 @@ def members(listed: DataFrame, part: int = PART) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened: tuple = (None, None, None, [])
+        held: list[tuple] = []  # small parts leave together
+        weight = 0
         for b in batches:
             for p, n, error in zip(b["path"], b["n"], b["error"], strict=True):
                 if error is not None and not pd.isna(error):
-                    yield pd.DataFrame([(p, None, None, None, None, error)], columns=columns)
+                    held.append((p, None, None, None, None, error))
                     continue
                 if opened[0] != p:
                     if opened[2] is not None:
@@ -117,7 +119,13 @@ def members(listed: DataFrame, part: int = PART) -> DataFrame:
                     z = zipfile.ZipFile(f)
                     opened = (p, z, f, [i for i in z.infolist() if not i.is_dir()])
                 for row in one(opened[1], p, opened[3][int(n)]):
-                    yield pd.DataFrame([row], columns=columns)
+                    held.append(row)
+                    weight += len(row[4] or b"")
+                    if weight >= part or len(held) >= PAGE:
+                        yield pd.DataFrame(held, columns=columns)
+                        held, weight = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns)
 
     dealt = listed.repartition("path", F.pmod(F.xxhash64("member"), F.lit(1 << 20))).sortWithinPartitions("path", "n")
     return dealt.mapInPandas(run, "path string, member string, part long, last boolean, content binary, error string")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.fhir import project
+from wardline.session import work_dir
 from wardline.sources.fhir_bundle import resources
 
 #: The columns that place a piece in its file.
@@ -24,18 +25,18 @@ BLOCK = ["file", "block"]
 SALTS = 64
 
 
-def _outside(piece: Column, odd: int) -> Column:
-    """A piece without escapes and without what lies in texts, where it begins outside of one (0) or inside (1)."""
-    parts = F.split(F.regexp_replace(piece, r"\\.", ""), '"')
-    return F.array_join(F.filter(parts, lambda _, i: i % 2 == odd), "")
+def _outside(bare: Column, inside: bool) -> Column:
+    """What of a piece without escapes lies outside of texts, where it begins inside of one or not."""
+    text = r'"[^"]*("|$)'
+    return F.regexp_replace(F.regexp_replace(bare, r'^[^"]*("|$)', "") if inside else bare, text, "")
 
 
-def _net(text: Column, up: str, down: str) -> Column:
-    return (F.length(F.regexp_replace(text, rf"[^\{up}]", "")) - F.length(F.regexp_replace(text, rf"[^\{down}]", ""))).cast("int")
+def _count(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, i, value, quotes, c0, s0, c1, s1): the pieces of all files with what each does.
+    """(file, size, block, i, value, quotes, c0, s0, c1, s1): the pieces of all files with what each does.
 
     ``quotes`` is the number of quotation marks that open or close a text;
     c and s are the braces and brackets it leaves open (closed: below 0), if it
@@ -43,50 +44,56 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     its brace only if the file ends in one.
     """
     rows = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
-    bare = F.regexp_replace("value", r"\\.", "")
-    quotes = F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))
-    return rows.select(*BLOCK, "i", "size", "value", quotes.alias("quotes"), *(_net(_outside(F.col("value"), s), *p).alias(f"{n}{s}") for s in (0, 1) for n, p in (("c", "{}"), ("s", "[]"))))
+    bare = F.when(F.contains("value", F.lit("\\")), F.regexp_replace("value", r"\\.", "")).otherwise(F.col("value"))
+    rows = rows.withColumn("bare", bare).withColumns({"quotes": _count(F.col("bare"), '"'), "out0": _outside(F.col("bare"), False), "out1": _outside(F.col("bare"), True)})
+    net = [(_count(F.col(f"out{s}"), up) - _count(F.col(f"out{s}"), down)).alias(f"{n}{s}") for s in (0, 1) for n, up, down in (("c", "{", "}"), ("s", "[", "]"))]
+    return rows.select(*BLOCK, "i", "size", "value", "quotes", *net)
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """``pieces`` with sums from the start of their block: flips (0 or 1) and, for both states the block can begin in, c and s."""
+    upto = Window.partitionBy(*BLOCK).orderBy("i")
+    rows = rows.withColumn("flips", (F.sum("quotes").over(upto) % 2).cast("int")).withColumn("was", F.coalesce(F.lag("flips").over(upto), F.lit(0)))
+    open_if = lambda name, s: F.when(F.col("was") == s, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+    # The brace behind a piece counts if the piece ends outside of a text.
+    brace_if = lambda s: F.when(F.col("flips") == s, 1).otherwise(0)
+    sums = [F.sum(open_if(n, s) - (brace_if(s) if n == "c" else 0)).over(upto).cast("int").alias(f"{n}{s}") for s in (0, 1) for n in ("c", "s")]
+    return rows.select(*BLOCK, "i", "size", "value", "flips", *sums)
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """``pieces`` with the state after each: inside (a text), c and s (braces and brackets open), and ended, whether an entry ends there; g numbers the entries of a file.
+    """``summed`` pieces with the state after each: inside (a text), c and s (braces and brackets open), and ended, whether an entry ends there; g numbers the entries of a file.
 
     Sums run over the pieces of one block, which is at most
     ``spark.sql.files.maxPartitionBytes`` long, and over the blocks of one file.
     """
-    in_block = Window.partitionBy(*BLOCK).orderBy("i")
-    whole_block = Window.partitionBy(*BLOCK)
-    blocks_of = Window.partitionBy("file").orderBy("block")
-    earlier = blocks_of.rowsBetween(Window.unboundedPreceding, -1)
-    upto = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("flips", F.sum("quotes").over(upto) % 2).withColumn("was", F.coalesce(F.lag("flips").over(in_block), F.lit(0)))
-    rows = rows.withColumn("n", F.octet_length("value") + 1).withColumn("is_last", F.row_number().over(in_block) == F.count("*").over(whole_block))
-    # Of a block as a whole, for both states it can begin in; the state of its first piece decides all others.
-    open_if = lambda name, s: F.when(F.col("was") == s, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
-    # A brace that ends a piece counts if the piece ends outside of a text.
-    brace_if = lambda s: F.when(F.col("flips") == s, 1).otherwise(0)
-    blocks = rows.groupBy(*BLOCK).agg(
-        F.sum("quotes").alias("q"), F.sum("n").alias("bytes"), F.max("size").alias("size"),
-        *(F.sum(open_if("c", s) - brace_if(s)).alias(f"c{s}") for s in (0, 1)), *(F.sum(open_if("s", s)).alias(f"s{s}") for s in (0, 1)),
-    )
-    blocks = blocks.withColumn("begins", F.coalesce(F.sum("q").over(earlier), F.lit(0)) % 2)
-    of = lambda name: F.when(F.col("begins") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
-    base = lambda x: F.coalesce(F.sum(x).over(earlier), F.lit(0))
     file = Window.partitionBy("file")
+    earlier = file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = lambda x: F.coalesce(F.sum(x).over(earlier), F.lit(0))
+    last = F.max_by(F.struct("flips", "c0", "s0", "c1", "s1"), "i")
+    blocks = rows.groupBy(*BLOCK).agg(last.alias("at"), F.max("i").alias("last_i"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"))
+    blocks = blocks.withColumn("begins", (base("at.flips") % 2).cast("int"))
+    of = lambda n: F.when(F.col("begins") == 0, F.col(f"at.{n}0")).otherwise(F.col(f"at.{n}1"))
     # The last piece has no brace where the bytes and braces of all pieces are one more than the file.
-    blocks = blocks.select(*BLOCK, "begins", base(of("c")).alias("c_base"), base(of("s")).alias("s_base"), (F.sum("bytes").over(file) > F.col("size")).alias("open_end"), (F.col("block") == F.max("block").over(file)).alias("last_block"))
-    rows = rows.drop("size").join(blocks, BLOCK)
-    ends_bare = F.col("open_end") & F.col("last_block") & F.col("is_last")
-    rows = rows.withColumn("inside", (F.col("flips") + F.col("begins")) % 2 == 1)
-    starts_inside = (F.col("was") + F.col("begins")) % 2 == 1
-    brace = F.when(F.col("inside") | ends_bare, 0).otherwise(1)
-    rows = rows.withColumn("dc", F.when(starts_inside, F.col("c1")).otherwise(F.col("c0")) - brace).withColumn("ds", F.when(starts_inside, F.col("s1")).otherwise(F.col("s0")))
-    rows = rows.withColumn("c", F.col("c_base") + F.sum("dc").over(upto)).withColumn("s", F.col("s_base") + F.sum("ds").over(upto))
-    rows = rows.withColumn("ended", (F.col("c") == 1) & (F.col("s") == 1) & (brace == 1)).withColumn("text", F.when(ends_bare, F.col("value")).otherwise(F.concat("value", F.lit("}"))))
-    rows = rows.withColumn("ends_before", F.coalesce(F.sum(F.col("ended").cast("long")).over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ends = rows.groupBy(*BLOCK).agg(F.count_if("ended").alias("ends"))
-    ends = ends.select(*BLOCK, F.coalesce(F.sum("ends").over(earlier), F.lit(0)).alias("g_base"))
-    return rows.join(ends, BLOCK).select(*BLOCK, "i", "text", "inside", "c", "s", "ended", (F.col("g_base") + F.col("ends_before")).alias("g"))
+    bare_end = (F.sum("bytes").over(file) > F.col("size")) & (F.col("block") == F.max("block").over(file))
+    blocks = blocks.select(*BLOCK, "begins", base(of("c")).alias("c_base"), base(of("s")).alias("s_base"), F.when(bare_end, F.col("last_i")).alias("bare_i"))
+    at = rows.join(blocks, BLOCK)
+    bare = F.coalesce(F.col("i") == F.col("bare_i"), F.lit(False))
+    inside = (F.col("flips") + F.col("begins")) % 2 == 1
+    local = lambda n: F.when(F.col("begins") == 0, F.col(f"{n}0")).otherwise(F.col(f"{n}1"))
+    at = at.select(*BLOCK, "i", F.when(bare, F.col("value")).otherwise(F.concat("value", F.lit("}"))).alias("text"), inside.alias("inside"), (F.col("c_base") + local("c") + F.when(bare & ~inside, 1).otherwise(0)).alias("c"), (F.col("s_base") + local("s")).alias("s"), bare.alias("bare"))
+    at = at.withColumn("ended", (F.col("c") == 1) & (F.col("s") == 1) & ~F.col("inside") & ~F.col("bare")).drop("bare")
+    ends = at.groupBy(*BLOCK).agg(F.count_if("ended").alias("ends"))
+    ends = ends.select(*BLOCK, base("ends").alias("g_base"))
+    before = F.coalesce(F.count_if("ended").over(Window.partitionBy(*BLOCK).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return at.withColumn("before", before).join(ends, BLOCK).withColumn("g", F.col("g_base") + F.col("before")).drop("before", "g_base")
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """``placed`` pieces; their sums in blocks are written once, as the rest reads them several times."""
+    kept = work_dir(spark, "pieces")
+    summed(pieces(spark, path)).write.parquet(kept)
+    return placed(spark.read.parquet(kept))
 
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
@@ -97,7 +104,7 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
     JSON by itself is left out and keeps its number. A document that is no
     bundle has no entries here.
     """
-    rows = placed(pieces(spark, path))
+    rows = _read(spark, path)
     # A group of pieces ends with an entry; what follows the last one of a file has none.
     texts = rows.groupBy("file", "g").agg(F.array_sort(F.collect_list(F.struct("block", "i", "text"))).alias("p"), F.max("ended").alias("ended")).filter("ended")
     texts = texts.select("file", "g", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
@@ -116,7 +123,7 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
 
 def report(spark: SparkSession, path: str) -> DataFrame:
     """(file, n_ends, whole): ends of entries and of other listed objects in each file, and whether it is closed at its end."""
-    rows = placed(pieces(spark, path))
+    rows = _read(spark, path)
     last = F.max_by(F.struct("inside", "c", "s"), F.struct("block", "i"))
     g = rows.groupBy("file").agg(F.count_if("ended").alias("n_ends"), last.alias("at"))
     return g.select("file", "n_ends", (~F.col("at.inside") & (F.col("at.c") == 0) & (F.col("at.s") == 0)).alias("whole"))
