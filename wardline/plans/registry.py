@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wardline.plans import clinical, files, records, resolution, service, stores, texts
+from wardline.plans import clinical, details, files, records, resolution, service, stores, texts
 
-_MODULES = (records, resolution, texts, clinical, service, files, stores)
+_MODULES = (records, resolution, texts, clinical, service, files, stores, details)
 
 
 def queries():
