@@ -274,11 +274,14 @@ def confirm(entities: DataFrame, facts: DataFrame, automatic: bool = True, store
 
 
 def lesser_medications(rows: DataFrame) -> DataFrame:
-    """(doc_id, pos) of the drug records of a document that another one of the same drug outdoes."""
+    """(doc_id, pos) of the drug records of a document that another one of the same drug outdoes: what ``best_medications`` leaves out, in one grouping."""
     code = F.col("code_value") if "code_value" in rows.columns else F.lit(None).cast("string")
     dosed = F.get_json_object("resource_json", "$.dosageInstruction").isNotNull()
-    meds = rows.select("doc_id", "pos", "text", code.alias("code_value"), (populated_fields(F.col("resource_json")) + F.when(dosed, 10).otherwise(0)).alias("n_fields"))
-    return meds.select("doc_id", "pos").join(best_medications(meds).select("doc_id", "pos"), ["doc_id", "pos"], "left_anti")
+    score = populated_fields(F.col("resource_json")) + F.when(dosed, 10).otherwise(0) + F.when(code.isNotNull(), 100).otherwise(0)
+    one = F.struct(F.col("pos").cast("long").alias("pos"), plain_text(F.col("text")).alias("name"), score.cast("double").alias("score"), code.alias("code"))
+    lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("drugs")).filter("size(drugs) > 1")
+    fold = _drug_fold(losers=True)
+    return lists.select("doc_id", F.explode(fold("drugs.pos", "drugs.name", "drugs.score", "drugs.code")).alias("pos"))
 
 
 def entity_key(text: Column) -> Column:
@@ -321,7 +324,8 @@ def best_medications(meds: DataFrame, alike: float = 90.0, sorted_alike: float =
     names = uncoded.select("doc_id", F.col("pos").cast("long").alias("pos"), plain_text(F.col("text")).alias("name"), F.col("score").cast("double").alias("score"))
     lists = names.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "score"))).alias("drugs"))
     fold = _drug_fold(alike, sorted_alike, length_floor)
-    stays = lists.select("doc_id", F.explode(fold("drugs.pos", "drugs.name", "drugs.score")).alias("_stays"))
+    none = F.transform("drugs", lambda d: F.lit(None).cast("string"))
+    stays = lists.select("doc_id", F.explode(fold("drugs.pos", "drugs.name", "drugs.score", none)).alias("_stays"))
     left = uncoded.join(stays, (uncoded["doc_id"] == stays["doc_id"]) & (uncoded["pos"] == stays["_stays"]), "left_semi")
     return coded.unionByName(left)
 
@@ -335,19 +339,31 @@ def same_drug(a: str, b: str, alike: float, sorted_alike: float, length_floor: f
     return short / long >= length_floor and token_set_ratio(a, b) >= alike and token_sort_ratio(a, b) >= sorted_alike
 
 
-def _drug_fold(alike: float, sorted_alike: float, length_floor: float):
+def _drug_fold(alike: float = 90.0, sorted_alike: float = 80.0, length_floor: float = 0.6, losers: bool = False):
+    """Of the drugs of each document, in order: the places of those that stay, or of the others. Coded drugs are one by code, others by name."""
+
+    def walk(rows: list[tuple]) -> list[tuple]:
+        left: list[tuple] = []
+        known: dict[str, int] = {}
+        for row in rows:
+            if row[3] is not None:
+                i = known.setdefault(row[3], len(left))
+                i = None if i == len(left) else i
+            else:
+                i = next((i for i, s in enumerate(left) if s[3] is None and same_drug(s[1], row[1], alike, sorted_alike, length_floor)), None)
+            if i is None:
+                left.append(row)
+            elif row[2] > left[i][2]:
+                left[i] = row
+        return left
+
     @F.pandas_udf("array<long>")
-    def fold(places: pd.Series, names: pd.Series, scores: pd.Series) -> pd.Series:
+    def fold(places: pd.Series, names: pd.Series, scores: pd.Series, codes: pd.Series) -> pd.Series:
         out = []
-        for doc in zip(places, names, scores, strict=True):
-            left: list[tuple] = []
-            for row in zip(*doc, strict=True):
-                i = next((i for i, s in enumerate(left) if same_drug(s[1], row[1], alike, sorted_alike, length_floor)), None)
-                if i is None:
-                    left.append(row)
-                elif row[2] > left[i][2]:
-                    left[i] = row
-            out.append([int(r[0]) for r in left])
+        for doc in zip(places, names, scores, codes, strict=True):
+            rows = list(zip(*doc, strict=True))
+            stay = {int(r[0]) for r in walk(rows)}
+            out.append([int(r[0]) for r in rows if (int(r[0]) in stay) != losers])
         return pd.Series(out)
 
     return fold
