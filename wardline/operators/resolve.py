@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardline.functions.fhir import bound
 from wardline.functions.similarity import token_set_ratio_udf
 
 #: Signal weights and thresholds.
@@ -116,6 +117,35 @@ def default_judge(score_column: str = "score") -> tuple[Column, Column]:
     return verdict, F.when(s >= 0.85, F.lit(0.9)).when(s >= 0.65, F.lit(0.6)).otherwise(F.lit(0.8))
 
 
+#: What a judge can say of a pair, what counts where it says something else, and its confidence where it names none.
+VERDICTS, OTHER, UNSAID = ["duplicate", "update", "related", "distinct"], "related", 0.5
+
+
+def read_verdict(answer: Column) -> Column:
+    """struct(verdict, confidence) of a judge's JSON; without one (a failed call, a broken answer) the pair is related with confidence 0, so a person looks at it."""
+
+    def read(said: Column) -> Column:
+        verdict, sure = F.try_variant_get(said, "$.classification", "string"), F.try_variant_get(said, "$.confidence", "double")
+        held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(sure, F.lit(UNSAID))))
+        return F.struct(F.when(verdict.isin(*VERDICTS), verdict).otherwise(OTHER).alias("verdict"), F.when(said.isNull(), 0.0).otherwise(held).alias("confidence"))
+
+    return bound(F.try_parse_json(F.when(answer.rlike(r"^\s*\{"), answer)), read)
+
+
+def decide_by_calls(scored: DataFrame, prompt: Column, keep: float = UPLOAD_KEEP, **options) -> DataFrame:
+    """``decide`` with a model as the judge; pairs that are merged without one are not asked about.
+
+    ``options`` are those of ``calls.call_models``; the operation is dedup. Adds
+    error and attempts of the call.
+    """
+    from wardline.operators.calls import call_models
+
+    rows = scored.filter((F.col("score") >= keep) & (F.col("score") >= JUDGE))
+    asked = rows.withColumn("operation", F.lit("dedup")).withColumn("prompt", F.when(F.col("score") < AUTO, prompt))
+    told = call_models(asked, **options).withColumn("_said", read_verdict(F.col("answer")))
+    return decide(told, keep, lambda: (F.col("_said.verdict"), F.col("_said.confidence"))).drop("operation", "prompt", "provider", "answer", "_said")
+
+
 def decide(scored: DataFrame, keep: float = UPLOAD_KEEP, judge=default_judge) -> DataFrame:
     """Add verdict, confidence and decision (merge, dismiss, pending); pairs below ``keep`` or the judge's band go."""
     verdict, confidence = judge()

@@ -8,7 +8,9 @@ from wardline.functions import clinical, dates, entities, fhir
 from wardline.operators import access as A
 from wardline.operators import resolve as R
 from wardline.operators import text as T
+from wardline.plans.resolution import UPLOAD_SQL, _uploaded
 from wardline.session import spread, table
+from wardline.sources import files
 
 
 def q_resource_fields(spark, sf_dir):
@@ -117,9 +119,53 @@ def _hybrid_sql() -> str:
     return f"SELECT o_orderkey AS doc_id, source_section, entity_class, text, CAST(code AS VARCHAR) AS code, status, CAST(confidence AS DOUBLE) AS confidence, origin FROM orders JOIN (VALUES {values}) v(i, source_section, entity_class, text, code, status, confidence, origin) ON i = o_orderkey % {len(SECTIONS)}"
 
 
+def _verdicts(prompt: str, attempt: int) -> str:
+    """A judge that says one of four things by the sum of the ids, or fails."""
+    n = sum(map(int, prompt.split())) % 5
+    if n == 4:
+        raise ValueError("bad request")
+    return ['{"classification":"duplicate","confidence":0.9}', '{"classification":"distinct","confidence":3}', '{"classification":"twin"}', "no idea"][n]
+
+
+def q_judged_pairs(spark, sf_dir):
+    """Pairs of an upload put to a judge that is sometimes sure, sometimes vague and sometimes fails; sure pairs are not asked about."""
+    judged = R.decide_by_calls(_uploaded(spark, sf_dir), F.concat_ws(" ", "id_a", "id_b"), providers={"judge": _verdicts}, routing={"dedup": "judge"}, backoff=0.0)
+    return judged.select("id_a", "id_b", "verdict", F.bround("confidence", 6).alias("confidence"), "decision", "attempts", F.col("error").isNotNull().alias("failed"))
+
+
+JUDGED_SQL = UPLOAD_SQL + """, j AS (SELECT id_a, id_b, score >= 0.95 AS auto, (id_a + id_b) % 5 AS n FROM scored WHERE score >= 0.6)
+SELECT id_a, id_b, CASE WHEN auto OR n = 0 THEN 'duplicate' WHEN n = 1 THEN 'distinct' ELSE 'related' END AS verdict, CAST(CASE WHEN auto THEN 1.0 ELSE list_extract([0.9, 1.0, 0.5, 0.0, 0.0], CAST(n + 1 AS INTEGER)) END AS DOUBLE) AS confidence,
+  CASE WHEN auto OR n = 0 THEN 'merge' WHEN n = 1 THEN 'dismiss' ELSE 'pending' END AS decision, CAST(NOT auto AS INTEGER) AS attempts, NOT auto AND n = 4 AS failed FROM j
+"""
+
+
+#: Ends of names, what files begin with, the kind each is and whether it is what it says.
+FILES = [
+    (".ZIP", "PK", "zip", True), (".json", "{}", "fhir_r4", True), (".tsv", "A", "epic_ehi", True), (".xml", "<?xml?><ClinicalDocument/>", "cda_r2", True), (".xml", "<other/>", "unknown", True), (".pdf", "%PDF-1.7", "pdf", True),
+    (".pdf", "PDF", "pdf", False), (".rtf", "{\\rtf1 x}", "rtf", True), (".rtf", "plain", "rtf", False), (".TIFF", "II*", "tiff", False), (".txt", "x", "unknown", True),
+]
+
+
+def q_file_kinds(spark, sf_dir):
+    """Customers' files by name and first bytes."""
+    c = table(spark, sf_dir, "customer")
+    i = (F.col("c_custkey") % len(FILES)).cast("int")
+    pick = lambda n: F.get(F.array(*[F.lit(f[n]) for f in FILES]), i)
+    path, content = F.concat(F.lit("/in/"), "c_name", pick(0)), F.encode(F.concat(pick(1), F.repeat(F.lit(" "), 600), F.lit("<ClinicalDocument/>")), "utf-8")
+    found = c.select(files.kind(path, content).alias("kind"), files.magic_ok(path, content).alias("magic_ok"))
+    return found.groupBy("kind", "magic_ok").agg(F.count("*").alias("n"))
+
+
+def _kinds_sql() -> str:
+    values = ", ".join(f"({i}, '{kind}', {str(fine).lower()})" for i, (_, _, kind, fine) in enumerate(FILES))
+    return f"SELECT kind, magic_ok, count(*) AS n FROM customer JOIN (VALUES {values}) v(i, kind, magic_ok) ON i = c_custkey % {len(FILES)} GROUP BY ALL"
+
+
 QUERIES = {
     "q108_resource_fields": (q_resource_fields, FIELDS_SQL),
     "q109_reverted_fields": (q_reverted_fields, REVERTED_SQL),
     "q110_entity_classes": (q_entity_classes, _classes_sql()),
     "q111_hybrid_run": (q_hybrid_run, _hybrid_sql()),
+    "q112_judged_pairs": (q_judged_pairs, JUDGED_SQL),
+    "q113_file_kinds": (q_file_kinds, _kinds_sql()),
 }
