@@ -66,6 +66,13 @@ def test_broken_tail_is_told(small_blocks, tmp_path):
     assert n == {"cut.json": 20, "fine.json": 30}
 
 
+def test_only_edges_of_blocks_are_kept(spark, tmp_path):
+    (tmp_path / "a.json").write_text(next(bundles())[1])
+    known, edges = large_bundle._read(spark, str(tmp_path))
+    assert sorted((r.n, r.ended) for r in edges.collect()) == [(0, True), (60, False)] and known.first().ends == 60
+    assert large_bundle.entries(spark, str(tmp_path)).count() == 60
+
+
 def raised(df):
     with pytest.raises(Exception) as e:
         df.collect()

@@ -22,16 +22,15 @@ from wardline.streaming import upsert_log
 
 def q_large_bundles(spark, sf_dir):
     """Eight bundles that each fill a file, read in blocks by many tasks."""
-    l = spread(table(spark, sf_dir, "lineitem"))
+    l = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 8).alias("part"), F.lit(1).alias("n"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate", "l_quantity")
+    ends = spark.range(8).select(F.col("id").alias("part"), F.explode(F.array(F.lit(0), F.lit(2))).alias("n"))
+    # A file is written by one task, a row at a time; rows are dealt out and sorted before they become text.
+    rows = l.unionByName(ends, allowMissingColumns=True).repartitionByRange(8, "part").sortWithinPartitions("part", "n")
     code = (F.col("l_partkey") % 10).cast("string")
     one = F.struct(F.struct(F.lit("Observation").alias("resourceType"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.when(F.col("l_returnflag") != "R", "final").alias("status"), F.struct(F.array(F.struct(F.lit("http://loinc.org").alias("system"), code.alias("code"), F.concat(F.lit('part } "'), code).alias("display"))).alias("coding")).alias("code"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("effectiveDateTime"), F.struct(F.col("l_quantity").alias("value")).alias("valueQuantity")).alias("resource"))
-    part = (F.col("l_orderkey") % 8).alias("part")
-    lines = l.select(part, F.lit(1).alias("n"), F.concat(F.lit(","), F.to_json(one)).alias("value"))
     head = F.lit('{"resourceType":"Bundle","link":[{"relation":"self"}],"entry":[{"resource":{"resourceType":"Patient","id":"p"}}')
-    ends = spark.range(8).select(F.col("id").alias("part"), F.explode(F.array(F.struct(F.lit(0).alias("n"), head.alias("value")), F.struct(F.lit(2).alias("n"), F.lit("]}").alias("value")))).alias("e")).select("part", "e.*")
     path = work_dir(spark, "large-bundles")
-    # A file is written by one task, a row at a time.
-    lines.unionByName(ends).repartition(8, "part").sortWithinPartitions("part", "n").drop("n").write.partitionBy("part").text(path)
+    rows.select("part", F.when(F.col("n") == 0, head).when(F.col("n") == 2, F.lit("]}")).otherwise(F.concat(F.lit(","), F.to_json(one))).alias("value")).write.partitionBy("part").text(path)
     r = large_bundle.records(spark, path).withColumn("reading", fhir.reading("resource", F.col("display_text")))
     return r.groupBy("record_type", "code_value", "display_text", "status", F.to_date("effective_date").alias("day")).agg(F.count("*").alias("n"), F.sum("reading.value").alias("total"))
 
