@@ -389,3 +389,20 @@ def test_jobs_move_by_events_and_timers(spark, tmp_path):
         assert run(("a", "claim", 42), ("b", "cancel", 42)) == []
     finally:
         spark.conf.unset(job_queue.STORE[0])
+
+
+def test_spread_parts_grow_with_rows(spark, tmp_path, monkeypatch):
+    from wardline import session
+
+    monkeypatch.setattr(session, "SPREAD_ROWS", 10)
+    spark.range(105).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    assert session.spread(session.table(spark, str(tmp_path), "t")).rdd.getNumPartitions() == 12
+
+
+def test_hybrid_broadcasts_no_sections(spark):
+    sections = spark.createDataFrame([(1, 0, "labs", "told")], "doc_id long, section_no int, section_type string, text string").coalesce(1)
+    small = sections.unionByName(sections.limit(0))
+    model = lambda asked: asked.select("doc_id", "section_no", F.lit(0).alias("sentence_no"), F.lit(0).alias("pos"), F.lit("procedure").alias("entity_class"), F.lit("told").alias("text"), F.lit("active").alias("status"), F.lit(0.6).alias("confidence"))
+    found = T.hybrid(small, F.broadcast(spark.createDataFrame([("x", "DISEASE", None)], "term string, label string, code string")), model)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=merge)") == 2 and found.count() == 1
