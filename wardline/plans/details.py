@@ -106,9 +106,9 @@ def q_hybrid_run(spark, sf_dir):
     """Sections of orders through the dictionary, and through a model where it is in doubt."""
     i = (F.col("o_orderkey") % len(SECTIONS)).cast("int")
     pick = lambda n: F.get(F.array(*[F.lit(s[n]) for s in SECTIONS]), i)
-    sections = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("section_no"), pick(0).alias("section_type"), pick(1).alias("text"))
+    sections = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("section_no"), pick(0).alias("section_type"), pick(1).alias("text"))
     model = lambda asked: asked.select("doc_id", "section_no", F.lit(0).alias("sentence_no"), F.lit(0).alias("pos"), F.lit("procedure").alias("entity_class"), F.lit("told").alias("text"), F.lit("active").alias("status"), F.lit(0.6).alias("confidence"))
-    found = T.hybrid(sections, spark.createDataFrame(TERMS, "term string, label string, code string"), model)
+    found = T.hybrid(sections, F.broadcast(spark.createDataFrame(TERMS, "term string, label string, code string")), model)
     return found.select("doc_id", "source_section", "entity_class", "text", "code", "status", "confidence", "origin")
 
 
