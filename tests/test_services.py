@@ -406,3 +406,12 @@ def test_hybrid_broadcasts_no_sections(spark):
     found = T.hybrid(small, F.broadcast(spark.createDataFrame([("x", "DISEASE", None)], "term string, label string, code string")), model)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("rightHint=(strategy=merge)") == 2 and found.count() == 1
+
+
+def test_names_are_taken_out_in_parts_by_id(spark):
+    texts = spark.createDataFrame([(1, "Ada  Reed")], "id long, text string")
+    spans = spark.createDataFrame([(1, 0, 9, "PERSON"), (1, 0, 9, "PERSON"), (1, 5, 9, "PERSON")], "id long, start int, end int, label string")
+    done = names.redact_names(texts, spans)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning(id") == plan.count("REPARTITION_BY_NUM")
+    assert [(r.redacted, r.n_names) for r in done.collect()] == [("[NAME]", 1)]

@@ -178,7 +178,7 @@ UNION ALL SELECT 'refused', count(DISTINCT a), 0 FROM y WHERE bad HAVING count(*
 
 def q_name_redaction(spark, sf_dir):
     """Notes about orders with spans a recogniser found, too wide as they are: names go, eponyms, specialities and drugs stay."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    o = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
     k = F.col("id")
     who = F.get(F.array(*map(F.lit, ["Ada  Reed", "Zoé Crohn", "Metformin", "Cardiology Ward", "MR X"])), (k % 5).cast("int"))
     text = F.concat(F.lit("Seen by "), who, F.lit(" today, then Bo"), F.when(k % 2 == 0, "").otherwise(" Lee"), F.lit("."))
