@@ -415,3 +415,14 @@ def test_names_are_taken_out_in_parts_by_id(spark):
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Exchange hashpartitioning(id") == plan.count("REPARTITION_BY_NUM")
     assert [(r.redacted, r.n_names) for r in done.collect()] == [("[NAME]", 1)]
+
+
+def test_close_pairs_are_told_by_counts_first(spark):
+    known = spark.createDataFrame([("metformin hydrochloride",), ("zoe",), ("été 9",)], "alias string")
+    index = terminology.close_index(known)
+    assert {r.alias for r in index.select("alias", "counts").distinct().collect()} == {"metformin hydrochloride", "zoe", "été 9"}
+    keys = spark.createDataFrame([("metformin hydrochlorid",), ("metformine hydrochloride",), ("zzzzzzzzz hydrochloride",)], "term_key string")
+    pairs = terminology.close_pairs(keys, index)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("bit_count") < plan.index("levenshtein")
+    assert sorted(r.term_key for r in pairs.collect()) == ["metformin hydrochlorid", "metformine hydrochloride"]

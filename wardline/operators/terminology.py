@@ -9,11 +9,16 @@ texts agree up to d insertions and deletions and the one is cut into d + 1
 parts, some part i is whole in the other, with exactly i operations before it:
 take the first i that parts 0 to i have no more than i operations in. So a term
 has few pieces that may be that part. The parts of all aliases are a table, the
-pieces meet it in an equi-join, and only pairs that share one are compared.
+pieces meet it in an equi-join, and only pairs that share one are compared. As
+many share one by chance, each text bears counts of its characters in 64 bits,
+of which an insertion or deletion turns one at most; only pairs that these
+leave in reach are compared letter by letter.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +26,7 @@ from pyspark.sql import types as T
 
 from wardline.functions.clinical import normalize_term
 from wardline.functions.similarity import _ratio, token_set_ratio
+from wardline.session import parts_for
 
 #: Both similarities of a close spelling, 0 to 100, must reach this.
 CLOSE = 88.0
@@ -40,16 +46,24 @@ def _longest(length: Column, close: float) -> Column:
     return F.floor(length * close / (200 - close) * ((200 - close) / close) ** 2 + 1e-9).cast("int")
 
 
+def _counts(text: Column) -> Column:
+    """64 bits: for each of 16 kinds of characters whether a text has at least 1, 2, 3 and 4 of them; characters without a kind don't count."""
+    kinds = ["".join(c for c in (chr(97 + i), chr(113 + i) if i < 10 else "", str(i) if i < 10 else "") if c) for i in range(16)]
+    levels = [F.least(F.regexp_count(text, F.lit(f"[{k}]")), F.lit(4)) for k in kinds]
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.get(F.array(*[F.lit((2**n - 1) << 4 * i if i < 15 or n < 4 else ((2**n - 1) << 4 * i) - 2**64).cast("long") for n in range(5)]), n) for i, n in enumerate(levels)])
+
+
 def close_index(aliases: DataFrame, close: float = CLOSE) -> DataFrame:
-    """(size, part_no, part, alias) of distinct aliases: an index of close spellings, to be kept as a table or built on the way.
+    """(size, part_no, part, alias, counts) of distinct aliases: an index of close spellings, to be kept as a table or built on the way.
 
     An alias is cut evenly into one part more than the operations between it and
     the longest text it can be close to. Null and empty aliases have none.
     """
     rows = aliases.filter("alias <> ''").select("alias").distinct().withColumn("size", F.length("alias"))
-    rows = rows.withColumn("parts", _parts(F.col("size"), close)).select("alias", "size", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_no"))
+    rows = rows.repartition(parts_for(rows)).withColumns({"parts": _parts(F.col("size"), close), "counts": _counts(F.col("alias"))})
+    rows = rows.select("alias", "size", "parts", "counts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_no"))
     at, to = _edge(F.col("part_no")), _edge(F.col("part_no") + 1)
-    return rows.select("size", "part_no", F.substr("alias", at + 1, to - at).alias("part"), "alias")
+    return rows.select("size", "part_no", F.substr("alias", at + 1, to - at).alias("part"), "alias", "counts")
 
 
 def _parts(size: Column, close: float) -> Column:
@@ -68,22 +82,28 @@ def close_pairs(keys: DataFrame, index: DataFrame, close: float = CLOSE) -> Data
     each part i of it, the pieces of the term are taken that i insertions and
     deletions before and the operations left after it can shift there.
     """
-    k = keys.withColumn("n", F.length("term_key"))
+    # Few bytes, but much to do with each: dealt out by number, not by size.
+    parts = parts_for(keys)
+    k = keys.repartition(parts).select("term_key", F.length("term_key").alias("n"), _counts(F.col("term_key")).alias("own"))
     least = F.ceil(F.col("n") * close / (200 - close) - 1e-9).cast("int")
-    rows = k.select("term_key", "n", F.explode(F.sequence(F.greatest(least, F.lit(1)), F.greatest(_longest(F.col("n"), close), F.lit(1)))).alias("size"))
+    rows = k.select("term_key", "n", "own", F.explode(F.sequence(F.greatest(least, F.lit(1)), F.greatest(_longest(F.col("n"), close), F.lit(1)))).alias("size"))
     rows = rows.withColumn("d", _apart(F.col("n") + F.col("size"), close)).withColumn("parts", _parts(F.col("size"), close))
     sizes = index.select("size").distinct()
-    rows = rows.join(sizes, "size").filter("abs(n - size) <= d")
+    rows = rows.join(F.broadcast(sizes), "size").filter("abs(n - size) <= d")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("d"), F.col("parts") - 1))).alias("part_no"))
     at, to = _edge(F.col("part_no")), _edge(F.col("part_no") + 1)
     # Each operation before a part shifts it by one, to either side; those after it make up for the rest of the lengths.
     shifts = F.sequence(-F.col("part_no"), F.col("part_no"), F.lit(2))
-    rows = rows.select("term_key", "n", "size", "part_no", at.alias("at"), (to - at).alias("length"), "d", F.explode(F.when(F.col("part_no") == 0, F.array(F.lit(0))).otherwise(shifts)).alias("shift"))
+    rows = rows.select("term_key", "n", "own", "size", "part_no", at.alias("at"), (to - at).alias("length"), "d", F.explode(F.when(F.col("part_no") == 0, F.array(F.lit(0))).otherwise(shifts)).alias("shift"))
     rows = rows.withColumn("from", F.col("at") + F.col("shift")).filter("from >= 0 AND from <= n - length AND abs(n - size - shift) <= d - part_no")
-    pieces = rows.select("term_key", "size", "part_no", "d", F.substr("term_key", F.col("from") + 1, F.col("length")).alias("part"))
-    met = pieces.join(index, ["size", "part_no", "part"]).filter(F.levenshtein("term_key", "alias", 1 << 20) <= F.col("d"))
+    place = ["size", "part_no", "part"]
+    pieces = rows.select("term_key", "own", "size", "part_no", "d", F.substr("term_key", F.col("from") + 1, F.col("length")).alias("part")).repartition(parts, *place)
+    met = pieces.join(index.repartition(parts, *place).hint("merge"), place)
+    # One condition, so that its parts keep their order.
+    met = met.filter(F.when(F.bit_count(F.col("own").bitwiseXOR(F.col("counts"))) <= F.col("d"), F.levenshtein("term_key", "alias", 1 << 20) <= F.col("d")))
     pairs = met.select("term_key", "alias").distinct()
-    scored = pairs.select("term_key", "alias", _alike("term_key", "alias").alias("s"))
+    # A filter on it would else be pushed below the distinct and score a pair for each part.
+    scored = pairs.select("term_key", "alias", _alike.asNondeterministic()("term_key", "alias").alias("s"))
     return scored.select("term_key", "alias", "s.tokens", "s.letters").filter((F.col("tokens") >= close) & (F.col("letters") >= close))
 
 
