@@ -426,3 +426,15 @@ def test_close_pairs_are_told_by_counts_first(spark):
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.index("bit_count") < plan.index("levenshtein")
     assert sorted(r.term_key for r in pairs.collect()) == ["metformin hydrochlorid", "metformine hydrochloride"]
+
+
+def test_calls_take_a_future_a_worker(spark):
+    def waiting(prompt, attempt):
+        import threading
+
+        queue = next(a for a in threading.current_thread()._args if hasattr(a, "qsize"))
+        return str(queue.qsize())
+
+    asked = spark.range(200).coalesce(1).selectExpr("'x' AS operation", "concat('p', id) AS prompt")
+    told = calls.call_models(asked, providers={"up": waiting}, routing={"default": "up"}).collect()
+    assert [r.prompt for r in told] == [f"p{i}" for i in range(200)] and max(int(r.answer) for r in told) < 4

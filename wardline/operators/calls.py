@@ -64,13 +64,24 @@ def call_models(requests: DataFrame, providers: dict[str, Provider] | None = Non
                 said = str(e) or type(e).__name__
                 if attempt == tries or not any(w in said.lower() for w in TRANSIENT):
                     return name, None, said, attempt
-                time.sleep(backoff**attempt)
+                if backoff:
+                    time.sleep(backoff**attempt)
         return name, None, None, 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(workers) as pool:
             for b in batches:
-                said = pool.map(one, b["operation"], b["prompt"].astype(object).where(b["prompt"].notna(), None))
+                asked = list(zip(b["operation"], b["prompt"].astype(object).where(b["prompt"].notna(), None), strict=True))
+                said: list = [None] * len(asked)
+                left = iter(range(len(asked)))
+
+                # Each worker takes the next row there is; a future a row would cost more than many a call.
+                def work(asked=asked, said=said, left=left):
+                    for i in left:
+                        said[i] = one(*asked[i])
+
+                for done in [pool.submit(work) for _ in range(min(workers, len(asked)))]:
+                    done.result()
                 yield b.assign(**dict(zip(["provider", "answer", "error", "attempts"], map(list, zip(*said, strict=True)), strict=True))) if len(b) else b.assign(provider=[], answer=[], error=[], attempts=[])
 
     new = T.StructType([T.StructField("provider", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType())])
