@@ -108,3 +108,25 @@ def test_titles(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, j string, shown string, kind string, want string")
     x = df.withColumn("r", F.parse_json("j")).select("i", "want", fhir.record_title("r", F.col("shown"), F.col("kind")).alias("got"))
     assert [(r.i, r.got) for r in x.orderBy("i").collect()] == [(i, r[3]) for i, r in enumerate(rows)]
+
+
+def test_lab_lines_that_repeat_are_read_once(spark):
+    """Lines are counted before they are read, so the patterns run per line that differs."""
+    from wardline.plans.clinical import q_lab_lines
+
+    plan = q_lab_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2
+
+
+def test_only_results_and_drugs_are_read_as_such(spark):
+    from wardline.functions import entities
+
+    rows = [(1, 1, "lab_result", "Glucose 95 mg/dL (70-99) H"), (1, 2, "medication", "Aspirin 81 mg po daily"), (1, 3, "condition", "Asthma 5 mg po (1-2)")]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], "doc_id int, pos int, entity_class string, text string, context string, status string")
+    made = entities.to_records(df)
+    got = {r.pos: r.resource_json for r in made.collect()}
+    assert '"value":95.0' in got[1] and '"low":{"value":70.0}' in got[1] and '"code":"H"' in got[1]
+    assert '"frequency":1' in got[2] and '"text":"oral"' in got[2] and "dosage" not in got[3]
+    # The class is told in one place, whatever names it.
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("chickenpox") == 1

@@ -64,12 +64,13 @@ FROM active
 
 
 def q_lab_lines(spark, sf_dir):
-    """Result lines written from order rows, read back: analyte, value, unit, range and flag."""
-    l = spread(table(spark, sf_dir, "lineitem"))
+    """Result lines written from order rows, read back: analyte, value, unit, range and flag. A line that is written often is read once."""
+    l = table(spark, sf_dir, "lineitem")
     q = F.floor("l_quantity").cast("string")
     line = F.concat(F.lit("Marker "), F.element_at(F.array(*[F.lit(x) for x in "ABCDEFG"]), (F.col("l_partkey") % 7 + 1).cast("int")), F.lit(": "), q, F.when(F.col("l_linenumber") % 2 == 0, " mg/dL").otherwise(" mmol/L"), F.when(F.col("l_suppkey") % 3 == 0, " (5-40)").otherwise(""), F.when(F.col("l_returnflag") == "R", " high").when(F.col("l_returnflag") == "A", " L").otherwise(""))
-    d = l.select(E.parse_lab(line).alias("d")).select("d.*")
-    return d.groupBy(*d.columns).agg(F.count("*").alias("n"))
+    lines = l.groupBy(line.alias("line")).agg(F.count("*").alias("n"))
+    d = lines.select("n", F.explode(F.array(E.parse_lab(F.col("line")))).alias("d")).select("n", "d.*")
+    return d.groupBy(*[c for c in d.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
 
 LAB_SQL = """
