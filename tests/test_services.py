@@ -438,3 +438,11 @@ def test_calls_take_a_future_a_worker(spark):
     asked = spark.range(200).coalesce(1).selectExpr("'x' AS operation", "concat('p', id) AS prompt")
     told = calls.call_models(asked, providers={"up": waiting}, routing={"default": "up"}).collect()
     assert [r.prompt for r in told] == [f"p{i}" for i in range(200)] and max(int(r.answer) for r in told) < 4
+
+
+def test_class_scores_compare_once(spark):
+    """Scores and what was missed come from one comparison: each of its four inputs is scanned once."""
+    from wardline.plans.stores import q_class_scores
+
+    plan = q_class_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 4 and "Join" not in plan

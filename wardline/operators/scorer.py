@@ -14,9 +14,10 @@ def normalize(text: Column) -> Column:
     """Lower case, spoken blood pressures as numbers, no punctuation but slashes, abbreviations written out."""
     x = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(\d+)\s+over\s+(\d+)", "$1/$2")
     x = F.trim(F.regexp_replace(F.regexp_replace(x, r"[^\w\s/]", " "), r"\s+", " "))
+    written = x
     for short, full in SYNONYMS.items():
-        x = F.regexp_replace(x, rf"\b{short}\b", full)
-    return x
+        written = F.regexp_replace(written, rf"\b{short}\b", full)
+    return F.when(x.rlike(rf"\b(?:{'|'.join(SYNONYMS)})\b"), written).otherwise(x)
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -64,10 +65,18 @@ def _measures(tp: Column, fp: Column, n_wanted: Column) -> list[Column]:
     return [F.bround(precision, 4).alias("precision"), F.bround(recall, 4).alias("recall"), F.bround(f1, 4).alias("f1")]
 
 
-def by_class(compared: DataFrame, by: tuple[str, ...] = ("note", "entity_class")) -> DataFrame:
-    """tp, fp, fn, precision, recall, f1 of each class that something was expected of; over all notes with ``by`` = entity_class."""
-    g = compared.groupBy(*by).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("n_wanted").alias("n_wanted")).filter("n_wanted > 0")
-    return g.select(*by, "tp", "fp", (F.col("n_wanted") - F.col("tp")).alias("fn"), *_measures(F.col("tp"), F.col("fp"), F.col("n_wanted")))
+def by_class(compared: DataFrame, by: tuple[str, ...] = ("note", "entity_class"), carry: tuple[str, ...] = ()) -> DataFrame:
+    """tp, fp, fn, precision, recall, f1 of each class that something was expected of; over all notes with ``by`` = entity_class.
+
+    ``compared`` has a row per note and class, which are grouped no more;
+    ``carry`` names further columns of it to keep then.
+    """
+    if set(by) == {"note", "entity_class"}:
+        g = compared.withColumn("fp", F.col("fp").cast("long"))
+    else:
+        g = compared.groupBy(*by).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("n_wanted").alias("n_wanted"))
+    g = g.filter("n_wanted > 0")
+    return g.select(*by, *carry, "tp", "fp", (F.col("n_wanted") - F.col("tp")).alias("fn"), *_measures(F.col("tp"), F.col("fp"), F.col("n_wanted")))
 
 
 def evaluate(expected: DataFrame, unwanted: DataFrame, family: DataFrame, extracted: DataFrame) -> DataFrame:

@@ -201,8 +201,8 @@ SELECT id, 'Seen by ' || list_extract(['Ada  Reed', 'Zoé Crohn', 'Metformin', '
 def q_class_scores(spark, sf_dir):
     """Scores of each note and class, with what was missed."""
     compared = scorer.compare(*scored_notes(spark, sf_dir))
-    missed = compared.select("note", "entity_class", F.array_join(F.array_sort("missed"), "; ").alias("missed"), F.array_size("violated").alias("n_violated"))
-    return scorer.by_class(compared).join(missed, ["note", "entity_class"])
+    scores = scorer.by_class(compared, carry=("missed", "violated"))
+    return scores.withColumns({"missed": F.array_join(F.array_sort("missed"), "; "), "n_violated": F.array_size("violated")}).drop("violated")
 
 
 CLASS_SQL = """
