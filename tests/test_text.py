@@ -135,3 +135,22 @@ def test_scores(spark):
     t = spark.createDataFrame([(1, True), (2, False), (3, True), (4, False)], "id int, actual boolean")
     r = T.precision_recall(p, t).first()
     assert (r.precision, r.recall, r.f1) == (0.5, 0.5, 0.5)
+
+
+def test_hints_hide_no_find(spark):
+    """Every kind is found where its hint is looked for first, in the forms the patterns allow."""
+    from pyspark.sql import functions as F
+
+    from wardline.functions import deident as D
+
+    said = [
+        "123-45-6789", "(212) 555-0100", "212.555.0100", "2125550100", "FAX: 212 555 0100", "Facsimile 2125550100", "a.b@c.org", "MRN: 12", "mrn 7", "Medical Record Number 12345678", "10.0.0.255", "https://x.y/z", "90210-1234", "12 Elm St", "1 North  Main street Apt 4",
+        "Acct # 12", "ACCESSION no. 5", "dea AB12", "Certificate: 9", "1HGCM82633A004352", "UDI 12", "Device ID: 9-A", "Retina: 5", "Policy number A-1", "BENEFICIARY id 7", "March 3, 2020", "may 12 2021", "3 June 2020", "2020/1/31", "2020-12-01", "1/31/2020", "91 Year-Old", "100-year old", "Aged: 95", "AGE 102", "nothing here", "",
+    ]
+    df = spark.createDataFrame([(f"x {s} y",) for s in said] + [(" | ".join(said),)], "text string")
+    steps = [p for _, p, _ in D.PATTERNS] + D.DATES + [p for p, _ in D.AGES]
+    assert len(steps) == len(D.HINTS)
+    for p, h in zip(steps, D.HINTS):
+        n, hidden = df.select(F.count_if(F.col("text").rlike(p)), F.count_if(F.col("text").rlike(p) & ~D._may_hold(F.col("text"), h))).first()
+        assert n > 0 and hidden == 0, p
+    assert [r.scrubbed for r in D.scrub_report(df).collect()] == [r.s for r in df.select(D.scrub(F.col("text")).alias("s")).collect()]
