@@ -89,3 +89,25 @@ def test_broken_documents(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"resourceType": "Condition", "id": "q", "code": {"text": "Gout"}}')
     got = fhir_bundle.records(spark, str(tmp_path)).collect()
     assert [(r.display_text, r.external_id) for r in got] == [("Gout", "Condition/q")]
+
+
+def test_fields_give_what_paths_give(rows):
+    """A resource taken apart once against one that is asked path by path."""
+    f = fhir.Fields(F.col("f"))
+    x = rows.withColumn("f", fhir.fields("resource")).withColumn("kind", F.lit("observation"))
+    for what in (fhir.effective_date, fhir.effective_date_end, fhir.status, fhir.categories, fhir.coding, fhir.display_text, fhir.provider, fhir.resource_hash, lambda r: fhir.identity(r, F.lit("fhir_r4")), lambda r: fhir.identity(r, F.lit("cda_r2")), lambda r: fhir.preview(r, F.col("kind")), lambda r: fhir.reading(r, F.lit("d"))):
+        for a, b in x.select(what("resource").alias("a"), what(f).alias("b")).collect():
+            assert a == b
+
+
+def test_projection_tries_no_path_of_a_whole_resource(rows):
+    """Fields a resource lacks are looked up in a map; only its map is taken from the whole."""
+    plan = fhir.project(rows).select("effective_date", "status", "category", "code_value", "display_text", "external_id", "content_hash")._jdf.queryExecution().analyzed().toString()
+    assert "$.effectiveDateTime" not in plan and "$.clinicalStatus" not in plan
+
+
+def test_entries_of_odd_shapes(spark):
+    docs = ['{"resourceType":"Bundle","entry":[1,null,{},{"fullUrl":7,"resource":{"resourceType":"A"}},{"resourceType":"B","id":"b"},{"resource":null,"resourceType":"C"},{"resource":{"resourceType":""}},{"fullUrl":"u","resource":[]}]}']
+    got = fhir_bundle.from_documents(spark.createDataFrame([("f", d) for d in docs], "file string, j string").select("file", F.parse_json("j").alias("doc")))
+    assert [(r.pos, r.full_url, r.t) for r in got.select("pos", "full_url", fhir.text("resource", "$.resourceType").alias("t")).orderBy("pos").collect()] == [(3, "7", "A"), (4, None, "B")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("struct<fullUrl") <= 2

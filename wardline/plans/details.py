@@ -26,12 +26,15 @@ def q_resource_fields(spark, sf_dir):
     doc = lambda stamp, value: F.try_parse_json(say('{"resourceType":"Observation",', named, own, category, when, ',"meta":{"lastUpdated":"', F.lit(stamp), '","source":"m"},"valueQuantity":{"value":', value, "}}"))
     turned = F.try_parse_json(say('{"valueQuantity":{"value":', n, '},"meta":{"source":"m","lastUpdated":"2021-01-01"},', when, ",", category, named, own, '"resourceType":"Observation"}'))
     rows = l.select("l_orderkey", "l_linenumber", n.alias("n"), doc("2020-05-06", n).alias("r"), turned.alias("turned"), doc("2020-05-06", n + 1).alias("other"))
-    rows = rows.withColumns({c: F.explode(F.array(c)) for c in ("r",)})
-    id_of = fhir.identity("r", F.lit("fhir_r4"))
-    codes = fhir.categories("r")
+    # Each resource is parsed and taken apart once.
+    rows = rows.withColumn("x", F.explode(F.array(F.struct(*[fhir.fields(c).alias(c) for c in ("r", "turned", "other")]))))
+    r, turned, other = (fhir.Fields(F.col("x")[c]) for c in ("r", "turned", "other"))
+    id_of = fhir.identity(r, F.lit("fhir_r4"))
+    rows = rows.select("*", F.explode(F.array(F.struct(fhir.categories(r).alias("codes"), fhir.resource_hash(r).alias("hash")))).alias("y"))
+    codes, own_hash = F.col("y.codes"), F.col("y.hash")
     return rows.select(
-        "l_orderkey", "l_linenumber", "n", F.to_date(fhir.effective_date("r")).alias("day"), F.to_date(fhir.effective_date_end("r")).alias("day_end"), F.array_join(codes, "|").alias("categories"), fhir.observation_subtype(codes).alias("subtype"),
-        id_of["source_system"].alias("source_system"), id_of["external_id"].alias("external_id"), (fhir.resource_hash("r") == fhir.resource_hash("turned")).alias("same_turned"), (fhir.resource_hash("r") == fhir.resource_hash("other")).alias("same_other"),
+        "l_orderkey", "l_linenumber", "n", F.to_date(fhir.effective_date(r)).alias("day"), F.to_date(fhir.effective_date_end(r)).alias("day_end"), F.array_join(codes, "|").alias("categories"), fhir.observation_subtype(codes).alias("subtype"),
+        id_of["source_system"].alias("source_system"), id_of["external_id"].alias("external_id"), (own_hash == fhir.resource_hash(turned)).alias("same_turned"), (own_hash == fhir.resource_hash(other)).alias("same_other"),
         fhir.format_number(F.when(F.col("n") % 2 == 0, F.col("n") / 2).otherwise(F.col("n") + 0.25)).alias("shown"),
     )
 
