@@ -30,8 +30,10 @@ def from_documents(docs: DataFrame) -> DataFrame:
 
 def resources(rows: DataFrame) -> DataFrame:
     """(file, pos, full_url, resource) of entries (file, pos, e)."""
-    inner = F.try_variant_get("e", "$.resource", "variant")
-    rows = rows.select("file", "pos", text("e", "$.fullUrl").alias("full_url"), F.when(text("e", "$.resourceType").isNotNull() & inner.isNull(), F.col("e")).otherwise(inner).alias("resource"))
+    # What an entry lacks is dear to look for by path; a struct has it as null. Exploded, it is read once, whatever the filter.
+    rows = rows.select("file", "pos", "e", F.explode(F.array(F.try_variant_get("e", "$", "struct<fullUrl:string,resourceType:string,resource:variant>"))).alias("x"))
+    bare = F.nullif("x.resourceType", F.lit("")).isNotNull() & F.col("x.resource").isNull()
+    rows = rows.select("file", "pos", F.nullif("x.fullUrl", F.lit("")).alias("full_url"), F.when(bare, F.col("e")).otherwise(F.col("x.resource")).alias("resource"))
     return rows.filter(text("resource", "$.resourceType").isNotNull())
 
 
