@@ -192,6 +192,50 @@ def test_manual_confirm_leaves_all_to_the_person(spark):
     assert sorted(auto) == [1, 3] and auto[3].linked_encounter_id == auto[1].id
 
 
+TOLD = [
+    ("encounter", "Office visit", {}), ("encounter", "Consult", {"provider": "Reed", "reason": "cough", "date": "2024-01-03"}), ("encounter", "Exam", {"facility": "North Clinic", "summary": "<b>well</b>", "cpt_code": "99213", "visit_type": "telehealth"}),
+    ("encounter", "Exam", {"reason": " ", "visit_description": "0", "status": "false"}), ("medication", "Metformin", {}), ("medication", "Metformin 500 mg twice daily", {"attending": "Reed"}),
+    ("medication", "Metformin", {"frequency": "prn"}), ("medication", "Metformin", {"route": "po", "dosage": " "}), ("medication", "Flu shot", {}), ("condition", "Gout", {"onset": "2020"}),
+]
+
+
+def test_fields_are_told_without_reading_the_resource(spark):
+    from wardline.functions import entities as E
+    from wardline.functions.fhir import populated_fields
+
+    rows = E.to_records(entities(spark, [(1, i, c, t, a, 0) for i, (c, t, a) in enumerate(TOLD)]), told=True)
+    got = rows.select("pos", "entity_class", "filled", "resource_json", populated_fields(F.col("resource_json")).alias("n")).collect()
+    assert len(got) == len(TOLD)
+    for r in got:
+        if r.entity_class in ("encounter", "medication"):
+            assert r.filled == [k for k in json.loads(r.resource_json) if k not in ("resourceType", "_extraction_metadata")] and len(r.filled) == r.n
+        else:
+            assert r.filled is None
+
+
+def test_words_of_a_visit_on_two_lines(spark):
+    rows = [(1, 1, "encounter", "Valley", {"visit_description": "Cardiology\nvisit"}, 3), (1, 2, "encounter", "Consult", {"facility": "North Clinic"}, 3), (1, 3, "encounter", "Consult", {"visit_description": "Cardiology\ngroup", "provider": "Reed"}, 0)]
+    assert [r.pos for r in kept(spark, rows).collect()] == [3]
+    assert [r.pos for r in kept(spark, [rows[0], (1, 2, "encounter", "Valley Group", {"provider": "Reed"}, 3)]).collect()] == [1]
+
+
+def test_confirm_takes_facts_from_the_entities(spark):
+    rows = [(1, 1, "encounter", "Consult", {}, 0), (1, 2, "encounter", "Exam", {}, 5), (1, 3, "condition", "Gout", {}, 0), (2, 1, "condition", "Gout", {}, 0), (3, 1, "medication", "Metformin", {}, 4), (3, 2, "provider", "Reed", {}, 0)]
+    e = entities(spark, rows).withColumn("name", F.lit(None).cast("string")).withColumn("visit_date", F.when(F.col("doc_id") == 2, F.lit(day(9))))
+    told = lambda df: sorted((r.doc_id, r.pos, r.effective_date and r.effective_date.day, r.linked_encounter_id, r.resource_json) for r in df.collect())
+    assert told(T.confirm(e)[0]) == told(T.confirm(e, T.document_facts(e))[0])
+    assert [x[:3] for x in told(T.confirm(e)[0])] == [(1, 1, 5), (1, 3, 5), (2, 1, 9), (3, 1, 4)]
+
+
+def test_counts_of_confirmed_documents_build_no_resource(spark):
+    """Entities dealt out by document are shuffled no more but for the lists of drugs, whose fold runs once."""
+    from wardline.plans import service
+
+    plan = service.q_confirmed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "to_json" not in plan and "get_json_object" not in plan
+    assert plan.count("Exchange hashpartitioning") <= 3 and plan.count("Broadcast") == 0 and plan.count("ArrowEvalPython") == 1
+
+
 def test_every_key_of_a_provider_is_read(spark):
     keys = ["provider", "performer", "performed_by", "ordering_provider", "ordered_by", "rendering_provider", "attending", "attending_provider", "physician", "doctor", "provider_name"]
     got = kept(spark, [(i, 1, "encounter", "Office visit", {key: f"Dr {key}"}, 3) for i, key in enumerate(keys)]).collect()
