@@ -135,5 +135,7 @@ def test_only_results_and_drugs_are_read_as_such(spark):
 def test_a_sig_is_read_where_something_of_it_is_said(spark):
     said = {"Drug 3": (None, None, None, None, False), None: (None, None, None, None, False), "5mg": (5.0, "mg", None, None, False), "x5%x": (5.0, "%", None, None, False), "po": (None, None, "oral", None, False), "PRN": (None, None, None, None, True), "qevery weekly": (None, None, None, 1, False), "qid": (None, None, None, 4, False), "nightly": (None, None, None, 1, False)}
     df = spark.createDataFrame([(s,) for s in said], "s string")
-    got = {r.s: (r.x.dose_value, r.x.dose_unit, r.x.route, r.x.frequency, r.x.as_needed) for r in df.select("s", clinical.parse_dosage(F.col("s")).alias("x")).collect()}
+    rows = df.select("s", clinical.parse_dosage(F.col("s")).alias("x"), F.coalesce(F.col("s").rlike(clinical.SIG_HINT), F.lit(False)).alias("hinted")).collect()
+    got = {r.s: (r.x.dose_value, r.x.dose_unit, r.x.route, r.x.frequency, r.x.as_needed) for r in rows}
+    assert {r.s: r.hinted for r in rows} == {s: x != (None, None, None, None, False) for s, x in said.items()}
     assert got == said
