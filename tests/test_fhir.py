@@ -1,3 +1,4 @@
+import hashlib
 from datetime import datetime
 from pathlib import Path
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.functions import fhir
+from wardline.plans import registry
 from wardline.sources import fhir_bundle
 
 BUNDLE = str(Path(__file__).parent / "data" / "bundle.json")
@@ -100,6 +102,47 @@ def test_fields_give_what_paths_give(rows):
             assert a == b
 
 
+ODD = [
+    "null", "[]", "7", "{}", '{"effectivePeriod":{},"period":{"start":"2001"}}', '{"effectivePeriod":null,"period":{"start":"2001"}}', '{"effectivePeriod":"x","period":[1]}', '{"effectivePeriod":{"start":{"a":1},"end":"2002-03-04T05:06"},"period":"2001"}',
+    '{"date":"","issued":5,"meta":{"lastUpdated":"2003-04-05T06:07Z"}}', '{"sent":"T12:00","meta":[1]}', '{"start":"2003\\n"}', '{"id":7,"resourceType":"Observation","identifier":[]}', '{"id":"a-b","resourceType":"Observation","identifier":[{"system":"","value":3},{"system":"s","value":"v"}]}',
+    '{"id":"ab","resourceType":"Observation","identifier":{"value":"v"},"category":{"text":"t"}}', '{"resourceType":"Observation","identifier":[null,{"value":"v"}],"category":[{"coding":[{"code":""},{"code":1}]},{"text":""},null,{"text":"VITAL"}]}',
+]
+
+
+def test_typed_and_parts_give_what_paths_give(spark, rows):
+    """A resource read as a struct, and one read where it lies in a list, against one that is asked path by path."""
+    one = spark.createDataFrame([(d,) for d in ODD], "j string").union(rows.select(F.to_json("resource").alias("j")))
+    x = one.select(F.parse_json("j").alias("resource"), F.parse_json(F.concat(F.lit("[0,"), "j", F.lit("]"))).alias("docs"))
+    part = fhir.Part(F.col("docs"), "$[1]")
+    x = x.withColumn("t", fhir.typed(part))
+    for what in (fhir.effective_date, fhir.effective_date_end, fhir.categories, fhir.resource_type, lambda r: fhir.identity(r, F.lit("fhir_r4")), lambda r: fhir.identity(r, F.lit("cda_r2"))):
+        for a, b, c in x.select(what("resource").alias("a"), what(fhir.Typed(F.col("t"))).alias("b"), what(part).alias("c")).collect():
+            assert a == b == c
+    for a, b in x.select(fhir.resource_hash("resource").alias("a"), fhir.resource_hash(part).alias("b")).collect():
+        assert a == b
+
+
+def test_resource_hash_lines(spark):
+    """What is hashed: lines of keys and JSON in order, those of meta last, volatile ones left out."""
+    j = '{"b":{"y":[1.50,null],"x":"\\u00e9\\n"},"a 1":"q","a":1e3,"text":"no","meta":{"source":"no","tag":[{"c":"1","a":true}]},"_extraction_metadata":1}'
+    got = spark.sql("SELECT 1").select(fhir.resource_hash(F.parse_json(F.lit(j)))).first()[0]
+    assert got == hashlib.sha256('a 1:"q"\na:1000.0\nb:{"x":"é\\n","y":[1.5,null]}\nmeta.tag:[{"a":true,"c":"1"}]'.encode()).hexdigest()
+
+
+def test_texts_of_dates_and_parses_are_computed_once(spark):
+    """A date's text is named once by what reads it; the three resources of a line are one parse, and no field of one is looked up by a path of its own."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(spark.range(3).select(fhir.parse_date(F.reverse(F.col("id").cast("string"))).alias("d"))).count("reverse") == 1
+    told = plan(registry.queries()["q108_resource_fields"](spark, "/root/testdata/sf0.001"))
+    assert told.count("parseJson") == 1 and told.count("element_at") == 0
+
+
+def test_subtype_of_category(spark):
+    cases = [(["VITAL-signs"], "vital"), (["x", "Social history", "vital"], "social"), (["Laboratory"], "lab"), (["x"], "lab"), ([], "lab"), (None, "lab"), ([None, "sociAL"], "social")]
+    got = spark.createDataFrame([(c,) for c, _ in cases], "c array<string>").select(fhir.observation_subtype(F.col("c")).alias("s")).collect()
+    assert [r.s for r in got] == [s for _, s in cases]
+
+
 def test_projection_tries_no_path_of_a_whole_resource(rows):
     """Fields a resource lacks are looked up in a map; only its map is taken from the whole."""
     plan = fhir.project(rows).select("effective_date", "status", "category", "code_value", "display_text", "external_id", "content_hash")._jdf.queryExecution().analyzed().toString()
